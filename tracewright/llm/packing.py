@@ -13,6 +13,7 @@ empty result. Columns other than doc_id and text are never read.
 from __future__ import annotations
 
 import os
+import sys
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +27,7 @@ from tracewright.llm.common import columns, rows_bound, settle, small_batches, t
 CAPACITY = 2048
 PIECES_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Whitespace-separated chunks whose ids a worker remembers, and the longest chunk that it does.
-CACHE_CHUNKS, CACHE_CHARS = 400_000, 48
+CACHE_CHUNKS, CACHE_CHARS = 700_000, 48
 #: Ranks are dealt in buckets of about so many pieces, so a common length is not one task's work.
 BUCKET_ROWS = 100_000
 
@@ -41,27 +42,60 @@ class ChunkIds:
     """ids of a text by a tokenizer whose pre-tokenizer never joins across ASCII white space.
 
     Such a tokenizer gives a text the ids of its white-space chunks in order, so each distinct chunk is encoded
-    once; ``join`` returns packed little-endian unsigned 32-bit ids.
+    once for a worker process; ``join`` returns packed little-endian unsigned 32-bit ids. The tokenizer also
+    ignores case and keeps a run of punctuation apart from letters and digits before it, so chunks are looked
+    up in lower case, and a chunk that is new as a whole is put together from its head and its tail.
     """
 
+    #: Punctuation that can be split off behind a letter or digit.
+    TAIL = b".,;:!?|&$#%*\")]}"
+
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
+
+    @classmethod
+    def of_worker(cls, path: str) -> ChunkIds:
+        """One for all tasks that a worker process runs."""
+        held = sys.__dict__.setdefault("_tracewright_chunk_ids", {})
+        if path not in held:
+            held[path] = cls(path)
+        return held[path]
+
+    def _encode(self, chunks: list[bytes]) -> None:
+        for start in range(0, len(chunks), 4096):
+            part = chunks[start : start + 4096]
+            self.known.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(part, self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)))
 
-    def _encode(self, chunks: list[bytes]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch([c.decode() for c in chunks], add_special_tokens=False)]
+    def _learn(self, new: set[bytes]) -> None:
+        known, older = self.known, self.older
+        parts, whole = {}, []
+        for c in new:
+            if c in older:
+                known[c] = older[c]
+                continue
+            head = c.rstrip(self.TAIL)
+            if len(head) == len(c) or not head[-1:].isalnum():
+                whole.append(c)
+            else:
+                parts[c] = head, c[len(head) :]
+        ends = {x for pair in parts.values() for x in pair if x not in known}
+        for x in [x for x in ends if x in older]:
+            known[x] = older[x]
+            ends.discard(x)
+        self._encode([*{*whole, *ends}])
+        for c, (head, tail) in parts.items():
+            known[c] = known[head] + known[tail]
 
     def join(self, bodies: list[bytes]) -> list[bytes]:
-        split = [b.split() for b in bodies]
+        split = [(b if b"<|" in b else b.lower()).split() for b in bodies]  # special tokens are told by their case
         if len(self.known) > CACHE_CHUNKS:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         known = self.known
-        new = list({c for words in split for c in words if c not in known})
-        for start in range(0, len(new), 4096):
-            part = new[start : start + 4096]
-            known.update(zip(part, self._encode(part)))
+        new = {c for words in split for c in words if c not in known}
+        self._learn(new)
         out = [b"".join(map(known.__getitem__, words)) for words in split]
         for c in new:
             if len(c) > CACHE_CHARS:
@@ -70,7 +104,7 @@ class ChunkIds:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterator[pa.RecordBatch]:
-    ids_of = ChunkIds(path)
+    ids_of = ChunkIds.of_worker(path)
     for batch in small_batches(batches):
         ids, bodies = columns(batch)
         rows = []
@@ -114,7 +148,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[Run]
                 whole = min(n, left // each)
                 if whole:
                     runs.append((length, rank, whole * each, first, each, capacity - free))
-                    put(free - whole_room(each, length), first, whole)
+                    put(free - each * length, first, whole)
                     rank, left = rank + whole * each, left - whole * each
                 used = whole
                 if used < n and 0 < left < each:
@@ -143,10 +177,6 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[Run]
     return runs, sequences
 
 
-def whole_room(each: int, length: int) -> int:
-    return each * length
-
-
 def ranked(pieces: DataFrame, total: int) -> DataFrame:
     """pieces with rank: 0, 1, ... within each length. Ranks are counted in buckets and shifted by the counts of the buckets before."""
     buckets = max(1, -(-total // BUCKET_ROWS))
