@@ -29,7 +29,7 @@ PIECES_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long
 #: Whitespace-separated chunks whose ids a worker remembers, and the longest chunk that it does.
 CACHE_CHUNKS, CACHE_CHARS = 700_000, 48
 #: Ranks are dealt in buckets of about so many pieces, so a common length is not one task's work.
-BUCKET_ROWS = 100_000
+BUCKET_ROWS = 8_192
 
 
 def default_tokenizer() -> str:

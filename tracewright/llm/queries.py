@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import decontam, jaccard, packing, pii, quality, secrets
+from tracewright.llm import decontam, jaccard, langid, packing, pii, quality, secrets, toxicity
 from tracewright.llm.common import table
 
 
@@ -14,10 +14,20 @@ def op1_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
+def op2_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.digest(langid.predict(docs, langid.fit(docs)))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.digest(toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -35,7 +45,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = (op1_contextual_pii, op3_benchmark_decontamination, op5_best_fit_packing, op6_quality_rules, op9_ngram_jaccard_join, op10_secret_scans)
+QUERIES = (op1_contextual_pii, op2_crf_language_id, op3_benchmark_decontamination, op4_toxic_segments, op5_best_fit_packing, op6_quality_rules, op9_ngram_jaccard_join, op10_secret_scans)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
