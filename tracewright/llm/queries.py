@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import decontam, jaccard, langid, packing, pii, quality, secrets, toxicity
+from tracewright.llm import decontam, jaccard, langid, lmscore, packing, pii, quality, secrets, suffix, toxicity
 from tracewright.llm.common import table
 
 
@@ -37,6 +37,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op7_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score(table(spark, sf_dir, "documents"))
+
+
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digest(suffix.deduplicate(table(spark, sf_dir, "documents")))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(table(spark, sf_dir, "documents"))
 
@@ -45,7 +53,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = (op1_contextual_pii, op2_crf_language_id, op3_benchmark_decontamination, op4_toxic_segments, op5_best_fit_packing, op6_quality_rules, op9_ngram_jaccard_join, op10_secret_scans)
+QUERIES = (op1_contextual_pii, op2_crf_language_id, op3_benchmark_decontamination, op4_toxic_segments, op5_best_fit_packing, op6_quality_rules, op7_stupid_backoff, op8_suffix_array_dedup, op9_ngram_jaccard_join, op10_secret_scans)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
