@@ -75,7 +75,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.
 
 def _grams(lengths: list[int], body: bytes, order: int, bits: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """Words of each document; for each order the n-grams' hashes in order of place, none across documents, and where they end."""
-    text, known, hashes, at = zstandard.ZstdDecompressor().decompress(body), WordHashes(), [], 0
+    text, known, hashes, at = zstandard.ZstdDecompressor().decompress(body), WordHashes.of_worker(), [], 0
     for n in lengths:
         words = words_of(text[at : at + n])
         hashes.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))

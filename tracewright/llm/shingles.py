@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+from itertools import chain
+
 import numpy as np
 import xxhash
 
@@ -12,7 +15,12 @@ _C1, _C2, _S = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.
 class WordHashes(dict):
     """word -> 64-bit hash, remembered for as many words as fit."""
 
-    most = 1_000_000
+    most = 800_000
+
+    @classmethod
+    def of_worker(cls) -> WordHashes:
+        """One for all tasks that a worker process runs."""
+        return sys.__dict__.setdefault("_tracewright_word_hashes", cls())
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
@@ -36,11 +44,24 @@ def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def shingle_set(text: bytes, known: WordHashes, n: int = WORDS) -> np.ndarray:
-    """The sorted distinct shingles of a text; one of all its words if they are fewer than n; none without words."""
-    words = words_of(text)
-    hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    return np.unique(ngrams(hashes, min(n, len(words)))) if words else hashes
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values.sort()
+    keep = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=keep[1:])
+    return values[keep]
+
+
+def shingle_sets(bodies: list[bytes], known: WordHashes, n: int = WORDS) -> list[np.ndarray]:
+    """The sorted distinct shingles of each text; one of all its words if they are fewer than n; none without words."""
+    words = [words_of(b) for b in bodies]
+    counts = [len(w) for w in words]
+    flat = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.uint64, sum(counts))
+    grams = ngrams(flat, n) if len(flat) >= n else flat[:0]
+    out, at = [], 0
+    for k in counts:
+        out.append(_distinct(grams[at : at + k - n + 1].copy()) if k >= n else ngrams(flat[at : at + k], k) if k else flat[:0])
+        at += k
+    return out
 
 
 def fingerprint(shingles: np.ndarray) -> tuple[int, int]:
