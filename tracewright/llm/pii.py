@@ -27,7 +27,7 @@ KINDS = (
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", lambda m: _digits(m).between(8, 15), "contains(text, '+')"),
 )
 #: Identifier-like tokens: six characters or more with four digits or more.
-TOKENS = Kind("token", r"(?<![A-Za-z0-9])[A-Za-z0-9]++(?:[-/.][A-Za-z0-9]++)*+", lambda m: (F.length(m) >= 6) & (_digits(m) >= 4), "rlike(text, '[0-9]')")
+TOKENS = Kind("token", r"(?<![A-Za-z0-9])(?=[A-Za-z/.-]*+[0-9])[A-Za-z0-9]++(?:[-/.][A-Za-z0-9]++)*+", lambda m: (F.length(m) >= 6) & (_digits(m) >= 4), "rlike(text, '[0-9]')")
 #: As far as contexts reach, in characters.
 REACH = 48
 
