@@ -54,9 +54,9 @@ def scan(docs: DataFrame, *, ledger: str | None = None, rules: str = RULES_VERSI
         unseen = unseen.join(before.select("blob"), "blob", "left_anti")
     one = held.alias("h").join(unseen.alias("u"), (F.col("h.blob") == F.col("u.blob")) & F.col("h.doc_id").eqNullSafe(F.col("u.reader"))).select("h.blob", "h.text")
     new = settle(scan_texts(one).select("blob", F.lit(rules).alias("rules"), "base", "added"), "secret-ledger").dropDuplicates(["blob"])
+    known = settle(new if before is None else before.unionByName(new).dropDuplicates(["blob"]), "secret-known")  # before the append below
     if ledger is not None:
         new.write.mode("append").parquet(ledger)
-    known = new if before is None else settle(before, "secret-known").unionByName(new).dropDuplicates(["blob"])
     return paths.join(known, "blob").select("doc_id", "blob", "base", "added")
 
 
