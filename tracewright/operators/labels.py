@@ -1,0 +1,136 @@
+"""Labels of sessions: the deterministic rung, the digest that a model would get, and the hook for one."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tracewright.functions import vocab as V
+from tracewright.functions.scalars import domain_of_extensions, extension, general_tool
+from tracewright.functions.text import Text, col, matches, scrub
+
+
+def ask_category(ask: Text, editing: Column) -> Column:
+    """What a text asks for; null if no pattern is met."""
+    out = None
+    for name, pattern in V.ASK_CATEGORIES:
+        held = matches(ask, pattern)
+        held = held & ~editing if name == "writing_content" else held
+        out = F.when(held, name) if out is None else out.when(held, name)
+    return out
+
+
+def tool_mix_category(used: Column) -> Column:
+    has = lambda *n: F.arrays_overlap(used, F.array(*map(F.lit, n)))
+    editing, writing = has("Edit", "MultiEdit"), has("Write")
+    return (
+        F.when(has("WebSearch", "WebFetch") & ~editing & ~writing, "research_learning").when(writing & ~editing, "feature_implementation").when(editing, "refactoring")
+        .when(has("Read", "Grep", "Glob") & ~writing, "code_review").when(has("Bash"), "devops_deploy").otherwise("other")
+    )
+
+
+def deterministic_labels(sessions: DataFrame) -> DataFrame:
+    """Sessions with activity_category, domain, classifier and extractor_version."""
+    ask = F.lower(F.left("first_user_text", F.lit(V.ASK_CAP)))
+    editing = F.arrays_overlap("tools_used", F.array(F.lit("Edit"), F.lit("MultiEdit")))
+    ends = F.transform("tool_calls", lambda t: extension(t["file_path"]))
+    s = sessions.withColumns({"ask": ask, "ends": ends})
+    return s.withColumns({
+        "activity_category": F.coalesce(ask_category("ask", editing), tool_mix_category(F.col("tools_used"))),
+        "domain": domain_of_extensions(lambda e: F.arrays_overlap("ends", F.array(*map(F.lit, e)))),
+        "classifier": F.lit("deterministic"), "extractor_version": F.lit(V.EXTRACTOR_VERSION), "classify_cost_usd": F.lit(0.0),
+        "facts": F.array().cast("array<struct<k:string,v_num:double,v_str:string>>"),
+    }).drop("ask", "ends")
+
+
+def histogram(calls: Column) -> Column:
+    """name:count of generalised tool names, most frequent first, then by name without regard to case."""
+    names = F.transform(F.filter(calls, lambda t: t["name"].isNotNull()), lambda t: general_tool(t["name"]))
+    rows = F.transform(F.array_distinct(names), lambda n: F.struct((-F.size(F.filter(names, lambda m: m == n))).alias("n"), F.lower(n).alias("by"), n.alias("name")))
+    shown = F.array_join(F.transform(F.array_sort(rows), lambda r: F.concat(r["name"], F.lit(":"), (-r["n"]).cast("string"))), ", ")
+    return F.coalesce(F.nullif(shown, F.lit("")), F.lit("none"))
+
+
+def digest(sessions: DataFrame) -> Column:
+    """Six labelled lines about a session with metrics: all that a classifier gets. Scrubbed first, cut afterwards."""
+    c = F.col
+    s = lambda x: c(x).cast("string")
+    prompt = F.coalesce(F.nullif(F.left(scrub("first_user_text"), F.lit(V.PROMPT_CAP)), F.lit("")), F.lit("(none)"))
+    return F.left(F.concat_ws(
+        "\n",
+        F.concat(F.lit("First user request (truncated, scrubbed): "), prompt),
+        F.concat(F.lit("Tool calls (histogram): "), histogram(c("tool_calls"))),
+        F.concat(F.lit("Edits: "), s("edit_results"), F.lit(" edit/write result(s), +"), s("lines_added"), F.lit("/-"), s("lines_removed"), F.lit(" lines, "), s("commits"), F.lit(" commit(s)")),
+        F.concat(F.lit("Tests: passed="), s("tests_passed"), F.lit(" failed="), s("tests_failed")),
+        F.concat(F.lit("Outcome: "), F.coalesce(c("outcome"), F.lit("unknown"))),
+        F.concat(F.lit("Duration: "), s("duration_s"), F.lit("s, Turns: "), s("turn_count")),
+    ), F.lit(V.DIGEST_CAP))
+
+
+def condensed() -> Column:
+    """The longer model input: tools in order and scrubbed heads of texts."""
+    tools = F.array_join(F.slice(F.transform("tool_calls", lambda t: general_tool(t["name"])), F.lit(1), F.lit(V.TOOLS_CAP)), ", ")
+    head = lambda x: F.left(scrub(x), F.lit(V.PROMPT_CAP))
+    return F.concat_ws("\n", F.concat(F.lit("Tools used (in order): "), F.coalesce(F.nullif(tools, F.lit("")), F.lit("none"))), F.concat(F.lit("Turn count: "), F.col("turn_count").cast("string")), F.concat(F.lit("First user request (truncated): "), head("first_user_text")), F.concat(F.lit("Assistant summary (truncated): "), head("assistant_text")))
+
+
+def extract_json(text: Text) -> Column:
+    """An object in a model's answer: the whole, what is fenced, or from the first brace to the last."""
+    t = F.coalesce(col(text), F.lit(""))
+    fenced = F.regexp_extract(t, r"```(?:json)?\s*([\s\S]*?)```", 1)
+    body = F.when(t.contains("```") & (fenced != ""), fenced).otherwise(t)
+    inner = F.regexp_extract(body, r"(\{[\s\S]*\})", 1)
+    return F.coalesce(F.try_parse_json(t), F.try_parse_json(F.nullif(inner, F.lit(""))))
+
+
+def parse_answer(text: Text) -> Column:
+    """activity_category, domain, local_intent, cost_usd of a classifier's answer; null if it has neither label. Unknown labels become other."""
+    outer = extract_json(text)
+    at = lambda v, p, t="string": F.try_variant_get(v, p, t)
+    is_object = lambda v: F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    structured = F.variant_get(outer, "$.structured_output", "variant")
+    result = F.coalesce(extract_json(F.when(F.schema_of_variant(F.variant_get(outer, "$.result", "variant")) == "STRING", at(outer, "$.result"))), F.variant_get(outer, "$.result", "variant"))
+    payload = F.when(is_object(structured), structured).when(is_object(result), result).when(is_object(outer), outer)
+    cost = at(outer, "$.total_cost_usd", "double")
+    member = lambda p, known: F.when(at(payload, p).isin(*known), at(payload, p)).otherwise("other")
+    has = (F.coalesce(at(payload, "$.activity_category"), F.lit("")) != "") | (F.coalesce(at(payload, "$.domain"), F.lit("")) != "")
+    return F.when(has, F.struct(
+        member("$.activity_category", V.ACTIVITY_CATEGORIES).alias("activity_category"), member("$.domain", V.DOMAINS).alias("domain"),
+        F.left(F.coalesce(at(payload, "$.local_intent"), F.lit("")), F.lit(120)).alias("local_intent"), F.when(cost > 0, cost).otherwise(0.0).alias("cost_usd"),
+    ))
+
+
+def classification_mode(classify: Text, api_key: Text) -> Column:
+    return F.when(col(classify) == "off", "off").when(F.coalesce(col(api_key), F.lit("")) != "", "on (api-key override)").otherwise("on (headless)")
+
+
+def probe(status: Text, failure: Text) -> Column:
+    """What a server's answer says about the connection."""
+    return F.when(col(failure).isNotNull(), F.concat(F.lit("unreachable ("), col(failure), F.lit(")"))).when(col(status).isin(401, 403), "token rejected").otherwise("connected")
+
+
+def classify(labelled: DataFrame, answer: Callable[[str], str] | None = None, classifier: str = "haiku_headless") -> DataFrame:
+    """Sessions with a column ``digest`` get a model's labels where ``answer`` gives some; without it nothing runs and the deterministic ones stay."""
+    if answer is None:
+        return labelled
+
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            said = []
+            for d in f["digest"]:
+                try:
+                    said.append(answer(d))
+                except Exception:  # noqa: BLE001  a failed call leaves the deterministic label
+                    said.append(None)
+            yield pd.DataFrame({"session_id": f["session_id"], "answer": said})
+
+    got = labelled.select("session_id", "digest").mapInPandas(ask, "session_id string, answer string").withColumn("a", parse_answer("answer"))
+    out = labelled.join(got.select("session_id", "a"), "session_id", "left")
+    ran = F.col("a").isNotNull()
+    return out.withColumns({
+        "activity_category": F.when(ran, F.col("a.activity_category")).otherwise(F.col("activity_category")), "domain": F.when(ran, F.col("a.domain")).otherwise(F.col("domain")),
+        "classifier": F.when(ran, classifier).otherwise(F.col("classifier")), "classify_cost_usd": F.when(ran, F.col("a.cost_usd")).otherwise(F.col("classify_cost_usd")),
+    }).drop("a")
