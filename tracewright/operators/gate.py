@@ -11,7 +11,6 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tracewright.functions import vocab as V
 from tracewright.functions.regex import java
@@ -47,7 +46,7 @@ DICTIONARY = (
     Field("session_facts", "facts"), Field("region_counts", "regions", V.REGION_KEYS, cap=V.REGION_CAP), Field("region_taxonomy", "taxonomy"), Field("schema_version", "schema", cap=99),
 )
 TYPES = {"int": "bigint", "unit": "double", "unit_or_null": "double", "usd": "double", "bool": "boolean", "time": "timestamp", "instant": "timestamp", "tools": "array<string>", "enums": "array<string>", "hashes": "array<string>", "schema": "bigint", "facts": f"array<{FACT}>", "regions": "struct<" + ",".join(f"{k}:bigint" for k in V.REGION_KEYS) + ">"}
-SCHEMA = T.StructType.fromDDL(", ".join(f"{f.name} {TYPES.get(f.kind, 'string')}" for f in DICTIONARY))
+SCHEMA = ", ".join(f"{f.name} {TYPES.get(f.kind, 'string')}" for f in DICTIONARY)
 EVENT = "struct<field:string,reason:string>"
 
 
