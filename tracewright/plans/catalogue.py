@@ -1,15 +1,358 @@
-"""The registered queries and their SQL."""
+"""The registered queries over the driver's tables and inline fixtures, each with SQL written on its own."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from tracewright.functions import scalars as S
+from tracewright.functions import text as X
+from tracewright.functions import vocab as V
+from tracewright.functions.regex import java
+from tracewright.operators import ledger, metrics, records
+from tracewright.plans import fixtures
+from tracewright.sources.tables import event_sessions, prompts, table
+from tracewright.sources.transcripts import is_subagent_path
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _events(daily: bool = False) -> str:
+    session = "CAST(user_id AS VARCHAR)" + (" || '/' || strftime(ts, '%Y-%m-%d')" if daily else "")
+    return f"""e AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY ts, event_id) AS rn FROM (SELECT {session} AS s, ts, event_id, event_type, value, CAST(regexp_extract(props, '[0-9]+') AS INTEGER) AS k FROM events))"""
+
+
+R3 = "floor(({}) * 1000 + 0.5) / 1000"
+OUTCOME = f"""
+WITH {_events(True)},
+a AS (SELECT s, count(*) FILTER (event_type IN ('click', 'view')) AS calls, count(*) FILTER (event_type IN ('error', 'purchase')) AS results, count(*) FILTER (event_type = 'error') AS errors,
+      count(*) FILTER (event_type = 'signup') AS turns, arg_max(event_type, rn) AS last_type,
+      arg_max(CASE WHEN event_type = 'error' THEN 'fail' ELSE 'pass' END, rn) FILTER (event_type = 'error' OR (event_type = 'purchase' AND k % 3 = 0)) AS state FROM e GROUP BY s),
+w AS (SELECT s, max(n) AS most FROM (SELECT s, k % 10 AS f, count(*) AS n FROM e WHERE event_type = 'click' GROUP BY ALL) GROUP BY s),
+b AS (SELECT a.*, least(1.0, errors / CASE WHEN results > 0 THEN results WHEN calls > 0 THEN calls ELSE 1 END) AS er, least(1.0, errors / greatest(3.0, results * 0.15)) AS f, greatest(0.0, least(1.0, (coalesce(most, 0) - 2) / 5)) AS rw FROM a LEFT JOIN w USING (s)),
+c AS (SELECT *, greatest(0.0, least(1.0, CAST(0.5 AS DOUBLE) + CASE WHEN state = 'pass' THEN CAST(0.2 AS DOUBLE) ELSE 0 END + CASE WHEN last_type = 'signup' THEN CAST(0.1 AS DOUBLE) ELSE 0 END - CAST(0.3 AS DOUBLE) * er - CAST(0.15 AS DOUBLE) * rw - CAST(0.15 AS DOUBLE) * f)) AS score,
+      last_type = 'error' OR (turns <= 1 AND errors > 0 AND coalesce(state, '') <> 'pass') AS abandoned FROM b)
+"""
+
+
+@query(f"WITH {_events()} SELECT s AS session_id, min(ts) AS started_at, max(ts) AS ended_at, CAST(greatest(0, round((epoch_ms(max(ts)) - epoch_ms(min(ts))) / 1000)) AS BIGINT) AS duration_s FROM e GROUP BY s")
+def session_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = event_sessions(spark, sf_dir)
+    b = e.groupBy("session_id").agg(F.min_by("ts", "ord").alias("started_at"), F.max_by("ts", "ord").alias("ended_at"))
+    return b.withColumn("duration_s", F.greatest(F.lit(0), F.round((F.unix_millis(F.col("ended_at").cast("timestamp")) - F.unix_millis(F.col("started_at").cast("timestamp"))) / 1000)).cast("long"))
+
+
+@query(OUTCOME + f"SELECT s AS session_id, CAST(errors AS BIGINT) AS errors, {R3.format('er')} AS error_rate, {R3.format('f')} AS err_factor FROM c")
+def error_pressure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = metrics.event_summary(event_sessions(spark, sf_dir, daily=True))
+    c = F.col
+    return s.select("session_id", "errors", S.round3(metrics.error_rate(c("errors"), c("results"), c("calls"))).alias("error_rate"), S.round3(metrics.error_factor(c("errors"), c("results"))).alias("err_factor"))
+
+
+@query(f"WITH {_events()} SELECT s AS session_id, CAST(max(n) AS BIGINT) AS most_edits, {R3.format('greatest(0.0, least(1.0, (max(n) - 2) / 5))')} AS rework FROM (SELECT s, k % 10 AS f, count(*) AS n FROM e WHERE event_type = 'click' GROUP BY ALL) GROUP BY s")
+def rework_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.most_edits(event_sessions(spark, sf_dir)).withColumn("rework", S.round3(metrics.rework(F.col("most_edits"))))
+
+
+@query(f"""WITH {_events()} SELECT s AS session_id, arg_max(CASE WHEN event_type = 'error' THEN 'fail' ELSE 'pass' END, rn) FILTER (event_type = 'error' OR (event_type = 'purchase' AND k % 3 = 0)) AS last_state,
+count(*) FILTER (event_type = 'error') > 0 AS ever_failed, arg_max(CASE WHEN event_type IN ('error', 'purchase') THEN 'tool_result' WHEN event_type = 'signup' THEN 'text' ELSE 'tool_use' END, rn) AS last_kind FROM e GROUP BY s""")
+def last_state_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.event_summary(event_sessions(spark, sf_dir)).select("session_id", "last_state", "ever_failed", F.col("last_event.kind").alias("last_kind"))
+
+
+@query(OUTCOME + f"""SELECT s AS session_id, {R3.format('score')} AS outcome_score, {R3.format('greatest(0.0, least(1.0, CAST(0.4 AS DOUBLE) * er + CAST(0.25 AS DOUBLE) * f + CAST(0.15 AS DOUBLE) * rw))')} AS friction_score,
+CASE WHEN abandoned THEN 'abandoned' WHEN score < 0.45 THEN 'failed' WHEN score < 0.75 THEN CASE WHEN errors > 0 OR state IS NOT NULL OR rw > 0 THEN 'partial' ELSE 'unknown' END ELSE 'success' END AS outcome FROM c""")
+def outcome_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = metrics.event_outcomes(event_sessions(spark, sf_dir, daily=True))
+    return s.select("session_id", S.round3(F.col("score")).alias("outcome_score"), S.round3(F.col("friction")).alias("friction_score"), "outcome")
+
+
+@query(OUTCOME + """SELECT s AS session_id, concat_ws(',', CASE WHEN errors >= 3 AND f >= 0.6 THEN 'repeated_errors' END, CASE WHEN state = 'fail' THEN 'build_test_failures' END, CASE WHEN rw >= 0.5 THEN 'high_rework' END,
+CASE WHEN abandoned THEN 'abandoned_after_error' END, CASE WHEN coalesce(reads, 0) >= 4 THEN 'context_thrash' END) AS reasons
+FROM c LEFT JOIN (SELECT s, max(n) AS reads FROM (SELECT s, k % 10 AS g, count(*) AS n FROM e WHERE event_type = 'view' GROUP BY ALL) GROUP BY s) USING (s)""")
+def friction_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = event_sessions(spark, sf_dir, daily=True)
+    reads = e.where("name = 'Read'").groupBy("session_id", "file_path").agg(F.count("*").alias("n")).groupBy("session_id").agg(F.max("n").alias("reads"))
+    c = F.col
+    s = metrics.event_outcomes(e).join(reads, "session_id", "left")
+    found = X.listed([((c("errors") >= 3) & (c("factor") >= 0.6), "repeated_errors"), (c("failed"), "build_test_failures"), (c("rework") >= 0.5, "high_rework"), (c("outcome") == "abandoned", "abandoned_after_error"), (F.coalesce("reads", F.lit(0)) >= 4, "context_thrash")])
+    return s.select("session_id", F.array_join(found, ",").alias("reasons"))
+
+
+@query(f"""WITH {_events(True)} SELECT s AS session_id, concat_ws(',', CASE WHEN count(*) FILTER (event_type = 'purchase') > 0 THEN 'subagents' END, CASE WHEN count(*) FILTER (event_type = 'signup') > 0 THEN 'todo_tracking' END,
+CASE WHEN count(*) FILTER (event_type = 'view') > 0 THEN 'web_research' END, CASE WHEN count(*) FILTER (event_type = 'error') >= 3 THEN 'extended_thinking' END, CASE WHEN count(*) FILTER (event_type = 'click') >= 2 THEN 'parallel_tools' END) AS techniques FROM e GROUP BY s""")
+def techniques(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tool = F.when(F.col("event_type") == "view", "WebSearch").when(F.col("event_type") == "signup", "TodoWrite").when(F.col("event_type") == "purchase", "Task")
+    s = event_sessions(spark, sf_dir, daily=True).groupBy("session_id").agg(F.collect_set(tool).alias("used"), F.count_if(F.col("event_type") == "error").alias("blocks"), F.count_if(F.col("event_type") == "click").alias("parallel"))
+    return s.select("session_id", F.array_join(metrics.techniques(F.col("used"), F.lit(0), F.col("blocks"), F.col("parallel")), ",").alias("techniques"))
+
+
+@query(f"WITH {_events()}, f AS (SELECT s, CASE event_type WHEN 'click' THEN 'Edit' ELSE 'Read' END AS name, min(rn) AS o FROM e WHERE event_type IN ('click', 'view') GROUP BY ALL) SELECT s AS session_id, string_agg(name, ',' ORDER BY o) AS tools FROM f GROUP BY s")
+def tools_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.tools_first_seen(event_sessions(spark, sf_dir)).select("session_id", F.array_join("tools", ",").alias("tools"))
+
+
+@query(f"WITH {_events()} SELECT s AS session_id, CAST(count(*) FILTER (event_type = 'view') AS BIGINT) AS visual, CAST(count(*) FILTER (event_type = 'click') AS BIGINT) AS cerebellum, CAST(count(*) FILTER (event_type = 'purchase') AS BIGINT) AS parietal, CAST(0 AS BIGINT) AS motor FROM e GROUP BY s")
+def region_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = event_sessions(spark, sf_dir).withColumn("region", F.when(F.col("name").isNotNull() | (F.col("event_type") == "purchase"), S.region_of(F.coalesce("name", "event_type"))))
+    return e.groupBy("session_id").agg(*(F.count_if(F.col("region") == r).alias(r) for r in ("visual", "cerebellum", "parietal", "motor")))
+
+
+@query(f"WITH {_events()}, f AS (SELECT *, min(rn) FILTER (event_type = 'click') OVER (PARTITION BY s) AS first FROM e) SELECT s AS session_id, CAST(count(*) FILTER (event_type = 'view' AND (first IS NULL OR rn < first)) AS BIGINT) AS searches FROM f GROUP BY s")
+def pre_first_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.searches_before_edit(event_sessions(spark, sf_dir))
+
+
+@query(f"WITH {_events()} SELECT s AS session_id, CAST(max(n) AS BIGINT) AS max_parallel FROM (SELECT s, date_trunc('day', ts) AS m, count(*) FILTER (event_type IN ('click', 'view')) AS n FROM e GROUP BY ALL) GROUP BY s")
+def parallel_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    per_message = event_sessions(spark, sf_dir).groupBy("session_id", F.date_trunc("DAY", "ts").alias("msg")).agg(F.count_if(F.col("kind") == "tool_use").alias("n"))
+    return per_message.groupBy("session_id").agg(F.max("n").alias("max_parallel"))
+
+
+@query(f"WITH {_events()} SELECT s AS session_id, CAST(count(*) AS BIGINT) AS turns, CAST(sum(k) AS BIGINT) AS tokens FROM e GROUP BY s")
+def msg_dedupe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = event_sessions(spark, sf_dir).withColumn("part", F.explode(F.array(F.lit(0), F.lit(1))))  # each message on two lines
+    first = F.row_number().over(Window.partitionBy("session_id", "event_id").orderBy("part")) == 1
+    return e.withColumn("first", first).where("first").groupBy("session_id").agg(F.count("*").alias("turns"), F.sum("k").cast("long").alias("tokens"))
+
+
+def _throttle_sql(minutes: int) -> str:
+    return f"""WITH RECURSIVE e AS (SELECT user_id, event_type, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events),
+f AS (SELECT user_id, event_type, ts, rn, ts AS logged, true AS emitted FROM e WHERE rn = 1
+UNION ALL SELECT e.user_id, e.event_type, e.ts, e.rn, CASE WHEN e.ts >= f.logged + INTERVAL {minutes} MINUTE THEN e.ts ELSE f.logged END, e.ts >= f.logged + INTERVAL {minutes} MINUTE FROM f JOIN e ON e.user_id = f.user_id AND e.event_type = f.event_type AND e.rn = f.rn + 1)
+SELECT user_id, event_type, ts FROM f WHERE emitted"""
+
+
+@query(_throttle_sql(1440))
+def nudge_throttle_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.throttle(table(spark, sf_dir, "events"), ["user_id", "event_type"], "ts", 1440)
+
+
+@query(_throttle_sql(10))
+def nudge_throttle_10m(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.throttle(table(spark, sf_dir, "events"), ["user_id", "event_type"], "ts", 10)
+
+
+@query("""WITH m AS (SELECT max(ts) AS now FROM events), s AS (SELECT user_id, max(ts) AS ended_at FROM events WHERE event_type = 'view' GROUP BY user_id), d AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND value > 190)
+SELECT CAST(user_id AS VARCHAR) AS session_id, ended_at FROM s, m WHERE ended_at BETWEEN now - INTERVAL 30 DAY AND now - INTERVAL 1 DAY AND user_id NOT IN (SELECT user_id FROM d) ORDER BY ended_at, session_id LIMIT 20""")
+def resurvey_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    now = e.agg(F.max("ts")).first()[0]
+    ended = e.where("event_type = 'view'").groupBy(F.col("user_id").cast("string").alias("session_id")).agg(F.max("ts").alias("ended_at"))
+    done = e.where("event_type = 'purchase' and value > 190").select(F.col("user_id").cast("string").alias("session_id"))
+    return records.survey_queue(ended, done, F.lit(now).cast(e.schema["ts"].dataType), days=(1, 30), most=20)
+
+
+@query("SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.upsert(table(spark, sf_dir, "events"), "user_id", "ts", "event_id").select("user_id", "event_id", "event_type", "value")
+
+
+@query("SELECT user_id, arg_max(event_id, event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) FILTER (event_type = 'purchase') AS value FROM events GROUP BY user_id")
+def upsert_by_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.when(F.col("event_type") == "purchase", F.col("value")).alias("value"))
+    return records.upsert_by_field(e, "user_id", "event_id", ("value",))
+
+
+@query("SELECT user_id FROM events WHERE event_type = 'click' UNION SELECT user_id FROM events WHERE event_type = 'error'")
+def ledger_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = lambda kind: table(spark, sf_dir, "events").where(F.col("event_type") == kind).select("user_id")
+    return ledger.merged(ids("click"), ids("error"))
+
+
+@query("SELECT DISTINCT user_id FROM events WHERE event_type = 'click' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 150)")
+def ledger_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.where("event_type = 'click'").select("user_id").distinct().join(e.where("event_type = 'error' and value > 150").select("user_id"), "user_id", "left_anti")
+
+
+@query("SELECT event_id, date_trunc('minute', ts) AS minute FROM events")
+def minute_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", S.iso_minute(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS")).cast(table(spark, sf_dir, "events").schema["ts"].dataType).alias("minute"))
+
+
+def scrub_sql(column: str) -> str:
+    """The 21 replacements in RE2, one inside the other, in order. RE2 caps counts at 1000, which no pattern exceeds."""
+    out = f"coalesce({column}, '')"
+    for p in (*V.SECRET_PATTERNS, *V.PII_PATTERNS):
+        out = f"regexp_replace({out}, '{p.replace(chr(39), chr(39) * 2)}', '[redacted]', 'g')"
+    return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
+
+
+@query(f"SELECT doc_id, {scrub_sql('text')} AS scrubbed FROM documents")
+def scrub_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", X.scrub("text").alias("scrubbed"))
+
+
+@query(f"SELECT page_id, {scrub_sql('html')} AS scrubbed FROM pages")
+def scrub_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", X.scrub("html").alias("scrubbed"))
+
+
+PATTERN_NAMES = tuple(f"{kind}_{i}" for kind, ps in (("secret", V.SECRET_PATTERNS), ("pii", V.PII_PATTERNS)) for i in range(len(ps)))
+
+
+@query("SELECT " + ", ".join(f"CAST(sum(len(regexp_extract_all(text, '{p.replace(chr(39), chr(39) * 2)}'))) AS BIGINT) AS {n}" for n, p in zip(PATTERN_NAMES, (*V.SECRET_PATTERNS, *V.PII_PATTERNS))) + " FROM documents")
+def pattern_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").agg(*(F.sum(F.regexp_count("text", F.lit(java(p)))).cast("long").alias(n) for n, p in zip(PATTERN_NAMES, (*V.SECRET_PATTERNS, *V.PII_PATTERNS))))
+
+
+@query("SELECT doc_id, CAST(greatest(5, ceil(length(text) / 4)) AS BIGINT) AS tokens, CAST(CASE WHEN length(text) > 280 THEN greatest(5, ceil(length(text) / 10)) ELSE 0 END AS BIGINT) AS reasoning_tokens, CAST(greatest(20, ceil(length(text) / 4)) AS BIGINT) AS thinking_tokens FROM documents")
+def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", S.text_tokens("text").alias("tokens"), F.when(F.length("text") > 280, S.text_tokens("text", 10)).otherwise(0).cast("long").alias("reasoning_tokens"), S.text_tokens("text", 4, 20).alias("thinking_tokens"))
+
+
+WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda x: length(x) > 2))"
+JACCARD = "CASE WHEN len({0}) = 0 OR len({1}) = 0 THEN 0.0 ELSE len(list_intersect({0}, {1})) / (len({0}) + len({1}) - len(list_intersect({0}, {1}))) END"
+
+
+@query(f"WITH w AS (SELECT conv_id, turn, {WORDS.format('text')} AS w FROM conversations WHERE role = 'user'), p AS (SELECT *, lag(w) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM w) SELECT conv_id, turn, CAST({JACCARD.format('b', 'w')} AS DOUBLE) AS similarity FROM p WHERE b IS NOT NULL")
+def prompt_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.consecutive_similarity(prompts(spark, sf_dir), "conv_id", "turn", "text")
+
+
+@query(f"WITH w AS (SELECT conv_id, turn, {WORDS.format('text')} AS w FROM conversations WHERE role = 'user'), p AS (SELECT *, first(w) OVER (PARTITION BY conv_id ORDER BY turn) AS b, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM w) SELECT conv_id, turn, CAST({JACCARD.format('b', 'w')} AS DOUBLE) AS similarity FROM p WHERE n > 1")
+def scope_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    p = prompts(spark, sf_dir).withColumn("w", X.word_set("text"))
+    p = p.withColumns({"b": F.first("w").over(w), "n": F.row_number().over(w)})
+    return p.where("n > 1").select("conv_id", "turn", X.jaccard(F.col("b"), F.col("w")).alias("similarity"))
+
+
+@query("SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS last_two FROM (SELECT * FROM conversations WHERE role = 'user' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 2) GROUP BY conv_id")
+def last_two_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
+    two = prompts(spark, sf_dir).withColumn("n", n).where("n <= 2")
+    return two.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("last_two"))
+
+
+@query("""WITH b AS (SELECT conv_id, turn, text, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM conversations WHERE role = 'assistant')
+SELECT conv_id, left(string_agg(text, chr(10) ORDER BY turn), 400) AS head FROM b WHERE before < 400 GROUP BY conv_id""")
+def text_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before = F.coalesce(F.sum(F.length("text")).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    b = table(spark, sf_dir, "conversations").where("role = 'assistant'").withColumn("before", before).where("before < 400")
+    return b.groupBy("conv_id").agg(F.left(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n"), F.lit(400)).alias("head"))
+
+
+@query("SELECT conv_id, left(arg_min(trim(text), turn), 4000) AS first_user_text FROM conversations WHERE role = 'user' GROUP BY conv_id")
+def first_user_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prompts(spark, sf_dir).groupBy("conv_id").agg(F.min_by(F.left(X.trim("text"), F.lit(V.TEXT_CAP)), "turn").alias("first_user_text"))
+
+
+PARTS = "list_filter(regexp_split_to_array(url, '[/\\\\]'), lambda x: x <> '')"
+
+
+@query(f"SELECT page_id, CASE WHEN len({PARTS}) > 3 THEN '…/' || array_to_string(({PARTS})[-2:], '/') ELSE url END AS short FROM pages")
+def short_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", S.short_path("url", "/nowhere").alias("short"))
+
+
+@query("SELECT page_id, 'Fetching ' || regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS task FROM pages")
+def url_host(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", S.describe_tool(F.lit("WebFetch"), lambda k: F.col("url") if k == "url" else F.lit(None).cast("string")).alias("task"))
+
+
+@query("""WITH p AS (SELECT page_id, split_part(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[.]', '-', 'g'), '/', 1) AS f FROM pages), q AS (SELECT page_id, f, list_filter(string_split(f, '-'), lambda x: x <> '' AND x NOT IN ('Users', 'home', 'mnt', 'c', 'C')) AS l FROM p)
+SELECT page_id, CASE WHEN contains(f, '-') AND len(l) > 0 THEN l[-1] WHEN f = '' THEN 'unknown' ELSE f END AS project FROM q""")
+def project_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[.]", "-")
+    return table(spark, sf_dir, "pages").select("page_id", S.project_name(path).alias("project"))
+
+
+@query("SELECT page_id, url FROM pages WHERE page_id % 3 <> 0 AND NOT contains(url, '/subagents/')")
+def path_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.when(F.col("page_id") % 3 == 0, F.concat("url", F.lit("/subagents/x"))).otherwise(F.col("url"))
+    return table(spark, sf_dir, "pages").where(~is_subagent_path(path)).select("page_id", "url")
+
+
+@query("WITH l AS (SELECT p_partkey, left(regexp_replace(regexp_replace(trim(lower(p_name || ' ' || p_type)), '\\s+', '-', 'g'), '[^a-z0-9._-]', '', 'g'), 40) AS l FROM part) SELECT p_partkey, CASE WHEN regexp_full_match(l, '[a-z0-9][a-z0-9._-]{0,39}') THEN l ELSE '' END AS label FROM l")
+def sanitize_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", X.sanitize_label(F.concat("p_name", F.lit(" "), "p_type")).alias("label"))
+
+
+SALT = "fixed test salt"
+
+
+def _pad(byte: int) -> str:
+    return bytes(c ^ byte for c in SALT.encode().ljust(64, b"\0")).hex()
+
+
+@query(f"SELECT c_custkey, 'p-' || left(sha256(from_hex('{_pad(0x5C)}') || from_hex(sha256(from_hex('{_pad(0x36)}') || encode(c_name)))), 12) AS label FROM customer")
+def hmac_pseudonym(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", S.ship_label("c_name", SALT).alias("label"))
+
+
+MODEL = "CASE p_partkey % 6 WHEN 0 THEN 'x-FABLE-1' WHEN 1 THEN 'claude-opus-4-7' WHEN 2 THEN 'claude-opus-4-1' WHEN 3 THEN 'claude-haiku' WHEN 4 THEN 'sonnet' ELSE p_type END"
+PRICES = "CASE WHEN m LIKE '%FABLE%' THEN {} WHEN m LIKE '%opus-4-7%' THEN {} WHEN m LIKE '%opus%' THEN {} WHEN m LIKE '%haiku%' THEN {} ELSE {} END"
+
+
+@query(f"SELECT p_partkey, CAST({PRICES.format(10, 5, 15, 1, 3)} AS DOUBLE) AS price_in, CAST({PRICES.format(50, 25, 75, 5, 15)} AS DOUBLE) AS price_out FROM (SELECT p_partkey, {MODEL} AS m FROM part)")
+def price_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select("p_partkey", F.expr(MODEL).alias("m"))
+    return p.select("p_partkey", S.price_in("m").alias("price_in"), S.price_out("m").alias("price_out"))
+
+
+LINES = f"(SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, {MODEL.replace('p_type', chr(39) + 'other' + chr(39))} AS m FROM lineitem JOIN part ON p_partkey = l_partkey)"
+
+
+def _cost(expr: str) -> str:
+    i, o = f"CAST({PRICES.format(10, 5, 15, 1, 3)} AS DOUBLE)", f"CAST({PRICES.format(50, 25, 75, 5, 15)} AS DOUBLE)"
+    return f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, greatest(CAST(0 AS DOUBLE), floor({expr.format(i=i, o=o)} * CAST(1000000 AS DOUBLE) + 0.5) / 1000000) AS usd FROM {LINES}"
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.expr(MODEL.replace("p_type", "'other'")).alias("m"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").join(part, "l_partkey")
+
+
+KEYS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+
+
+@query(_cost("((l_partkey * {i} + l_suppkey * {i} * CAST(1.25 AS DOUBLE) + l_linenumber * {i} * CAST(0.1 AS DOUBLE) + l_quantity * {o}) / CAST(1000000 AS DOUBLE))"))
+def cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).select(*KEYS, S.estimate_cost("m", "l_partkey", "l_quantity", "l_linenumber", "l_suppkey").alias("usd"))
+
+
+@query(_cost("(((CAST(l_partkey AS DOUBLE) + l_suppkey + l_linenumber) * {i} + l_quantity * {o}) / CAST(1000000 AS DOUBLE))"))
+def cost_no_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).select(*KEYS, S.cost_without_cache("m", "l_partkey", "l_quantity", "l_linenumber", "l_suppkey").alias("usd"))
+
+
+EXT = "CASE p_partkey % 8 WHEN 0 THEN 'a.tsx' WHEN 1 THEN 'b.py' WHEN 2 THEN 'c.SQL' WHEN 3 THEN 'd.yaml' WHEN 4 THEN 'e.kt' WHEN 5 THEN 'f.md' WHEN 6 THEN 'g.ts' ELSE 'none' END"
+
+
+@query(f"""WITH x AS (SELECT p_size, lower(regexp_extract({EXT}, '[^.]*$')) AS e FROM part WHERE p_partkey % 8 >= p_size % 8)
+SELECT p_size, CASE WHEN bool_or(e = 'tsx') THEN 'frontend' WHEN bool_or(e = 'py') THEN 'backend' WHEN bool_or(e = 'sql') THEN 'data_ml' WHEN bool_or(e = 'yaml') THEN 'infra_devops' WHEN bool_or(e = 'kt') THEN 'mobile' WHEN bool_or(e = 'md') THEN 'docs_content' WHEN bool_or(e = 'ts') THEN 'fullstack' ELSE 'other' END AS domain FROM x GROUP BY p_size""")
+def domain_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = table(spark, sf_dir, "part").where("p_partkey % 8 >= p_size % 8").select("p_size", S.extension(F.expr(EXT)).alias("e"))
+    hits = {name: F.bool_or(F.col("e").isin(*exts)) for name, exts in V.DOMAIN_EXTENSIONS}
+    return x.groupBy("p_size").agg(X.first_case([(c, F.lit(n)) for n, c in hits.items()], "other").alias("domain"))
+
+
+@query("SELECT event_type, CAST(count(*) AS BIGINT) AS n, avg(value) AS mean FROM events WHERE value IS NOT NULL GROUP BY event_type HAVING count(*) > 0")
+def sql_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extension: plain SQL over a registered table."""
+    table(spark, sf_dir, "events").createOrReplaceTempView("tracewright_events")
+    return spark.sql("SELECT event_type, count(*) AS n, avg(value) AS mean FROM tracewright_events WHERE value IS NOT NULL GROUP BY event_type HAVING count(*) > 0")
+
+
+def queries() -> dict[str, Query]:
+    return QUERIES | fixtures.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return SQL | fixtures.oracle_sql()
