@@ -1,0 +1,45 @@
+import corpus_pipeline
+from tests.llm.helpers import awkward, frame, rows, shingle_set
+from tracewright.llm import decontam
+
+ITEMS = "item_id long, text string"
+
+
+def test_containment_matches_brute_force(spark):
+    data = rows()
+    words = data[0][1].split()
+    items = [(1, " ".join(words[2:12])), (2, " ".join(words[:8] + ["other"] + words[9:12])), (3, "one two"), (4, None), (5, ""), (6, " ".join(data[3][1].upper().split()[-40:])), (None, "one two"), (7, "nowhere to be found in any text here")]
+    got = {(r.doc_id, r.item_id): (r.n_item, r.n_shared) for r in decontam.contained(frame(spark, data), spark.createDataFrame(items, ITEMS)).collect()}
+    want = {}
+    for i, item in items:
+        s = shingle_set(item)
+        run = len(next(iter(s))) if s else 0
+        for r in data:
+            w = (r[1] or "").lower().split()
+            own = {tuple(w[k : k + run]) for k in range(len(w) - run + 1)} if run else set()
+            if i is not None and s and 4 * len(s & own) >= 3 * len(s):
+                want[r[0], i] = (len(s), len(s & own))
+    assert got == want and want
+
+
+def test_containment_awkward_rows(spark):
+    items = spark.createDataFrame([(1, "a text without an id that is long enough")], ITEMS)
+    assert decontam.contained(awkward(spark), items).count() == 0
+    assert decontam.contained(awkward(spark), spark.createDataFrame([], ITEMS)).count() == 0
+    assert decontam.contained(frame(spark, []), items).count() == 0
+
+
+def test_stages_take_effect(spark, tmp_path):
+    d = "/root/testdata/sf0.001"
+    docs, kept = spark.read.parquet(f"{d}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, d)
+        assert after.columns == list(corpus_pipeline.COLUMNS), name
+        path = str(tmp_path / name.replace(" ", "-"))
+        after.write.parquet(path)
+        docs = spark.read.parquet(path)
+        kept.append(docs.count())
+    assert kept[0] < 200 and kept == sorted(kept, reverse=True)
+    assert docs.where("text like '%token = \"%'").count() == 0
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, d)
+    assert packed.select("doc_id").distinct().count() == kept[-1]
