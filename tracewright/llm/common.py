@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -69,3 +70,12 @@ def small_batches(batches: Iterator[pa.RecordBatch], most_bytes: int = 4 << 20)
 def rows_bound(df: DataFrame, most: int) -> bool:
     """Whether df has at most so many rows: the check made before a broadcast. Reads no more than most + 1 rows."""
     return df.limit(most + 1).count() <= most
+
+
+def of_worker(key: str, make: Callable[[], object]) -> object:
+    """What a Python worker keeps from task to task under a key. It keeps one thing: another key drops it, so memory stays that of one operator."""
+    held = sys.__dict__.setdefault("_tracewright_held", {})
+    if key not in held:
+        held.clear()
+        held[key] = make()
+    return held[key]

@@ -16,7 +16,6 @@ never read.
 
 from __future__ import annotations
 
-import sys
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import columns, held_out, small_batches, texts
+from tracewright.llm.common import columns, held_out, of_worker, small_batches, texts
 
 BITS = 16
 #: Words that a segment of the two-level forward-backward holds.
@@ -231,11 +230,7 @@ class Emissions:
 
     @classmethod
     def of_worker(cls, model: Model) -> Emissions:
-        held = sys.__dict__.setdefault("_tracewright_emissions", {})
-        if model.key not in held:
-            held.clear()
-            held[model.key] = cls(model)
-        return held[model.key]
+        return of_worker(f"emissions {model.key}", lambda: cls(model))
 
     def ids(self, bodies: list[list[bytes]]) -> np.ndarray:
         if len(self.rows) > CACHE:

@@ -13,7 +13,6 @@ empty result. Columns other than doc_id and text are never read.
 from __future__ import annotations
 
 import os
-import sys
 import zlib
 from collections.abc import Iterator
 
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import columns, rows_bound, settle, small_batches, texts
+from tracewright.llm.common import columns, of_worker, rows_bound, settle, small_batches, texts
 
 CAPACITY = 2048
 PIECES_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -59,10 +58,7 @@ class ChunkIds:
     @classmethod
     def of_worker(cls, path: str) -> ChunkIds:
         """One for all tasks that a worker process runs."""
-        held = sys.__dict__.setdefault("_tracewright_chunk_ids", {})
-        if path not in held:
-            held[path] = cls(path)
-        return held[path]
+        return of_worker(f"chunk ids {path}", lambda: cls(path))
 
     def _encode(self, chunks: list[bytes]) -> None:
         for start in range(0, len(chunks), 4096):

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import sys
 from itertools import chain
 
 import numpy as np
 import xxhash
 
+from tracewright.llm.common import of_worker
+
 WORDS = 5
 _C1, _C2, _S = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(31)
 
@@ -15,12 +16,12 @@ _C1, _C2, _S = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.
 class WordHashes(dict):
     """word -> 64-bit hash, remembered for as many words as fit."""
 
-    most = 800_000
+    most = 250_000
 
     @classmethod
     def of_worker(cls) -> WordHashes:
         """One for all tasks that a worker process runs."""
-        return sys.__dict__.setdefault("_tracewright_word_hashes", cls())
+        return of_worker("word hashes", cls)
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
