@@ -41,12 +41,43 @@ def letters(chunk: bytes) -> str:
     return s if s.isalpha() else "".join(c for c in s if c.isalpha())
 
 
-def word_features(word: str) -> list[bytes]:
-    """Names of a word's features, but for the lexicon's."""
-    b = f"<{word[:40]}>"
-    out = ["w" + b] + ["p" + b[:k] for k in (2, 3, 4)] + ["s" + b[-k:] for k in (2, 3, 4)]
-    out += ["b" + b[i : i + 2] for i in range(min(len(b) - 1, 12))] + ["t" + b[i : i + 3] for i in range(min(len(b) - 2, 12))]
-    return [x.encode() for x in out]
+def features(words: list[str], lexicon: dict[str, tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
+    """Features of words as (ids, places in words), sorted by place: the word, its affixes of 2 to 4 bytes, its byte 2-grams and 3-grams, its ties by the lexicon.
+
+    An n-gram at the beginning or end of a word is its affix under another tag, so all are read off one array of
+    bytes, each word between < and >.
+    """
+    spelled = [f"<{w[:40]}>".encode() for w in words]
+    code = np.frombuffer(b"".join(spelled), np.uint8).astype(np.uint64)
+    size = np.fromiter(map(len, spelled), np.int64, len(spelled))
+    owner, last = np.repeat(np.arange(len(words)), size), np.cumsum(size)
+    first = last - size
+    whole = np.fromiter(map(zlib.crc32, spelled), np.uint64, len(spelled))
+    ids, places = [_hashed(whole, 1)], [np.arange(len(words))]
+    gram = code
+    for k in (2, 3, 4):
+        gram = gram[:-1] * np.uint64(256) + code[k - 1 :]
+        if k < 4:
+            inside = owner[: len(gram)] == owner[k - 1 :]
+            ids.append(_hashed(gram[inside], k))
+            places.append(owner[: len(gram)][inside])
+        long = np.flatnonzero(size >= k)
+        ids += [_hashed(gram[first[long]], 10 + k), _hashed(gram[last[long] - k], 20 + k)]
+        places += [long, long]
+    known = [(i, t) for i, w in enumerate(words) if (t := lexicon.get(w))]
+    if known:
+        ties = np.array([t for _, t in known])
+        ids.append(_hashed((ties + 8 + 32 * np.arange(ties.shape[1])).astype(np.uint64).ravel(), 30))
+        places.append(np.repeat([i for i, _ in known], ties.shape[1]))
+    ids, places = np.concatenate(ids), np.concatenate(places)
+    order = np.argsort(places, kind="stable")
+    return ids[order], places[order]
+
+
+def _hashed(code: np.ndarray, tag: int) -> np.ndarray:
+    h = (code + np.uint64(tag << 40)) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    return ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 @dataclass
@@ -57,21 +88,13 @@ class Model:
     transitions: np.ndarray
     key: str = ""
 
-    def feature_ids(self, word: str) -> list[int]:
-        mask = (1 << BITS) - 1
-        names = word_features(word)
-        if word in self.lexicon:
-            names += [b"l%d:%d" % (i, s) for i, s in enumerate(self.lexicon[word])]
-        return [zlib.crc32(x) & mask for x in names]
-
     def emissions(self, words: list[str]) -> np.ndarray:
-        """Log scores of words, by language; the mean over features."""
+        """Log scores of words, by language: the sums of their features' weights."""
         if not words:
             return np.zeros((0, len(self.langs)), np.float32)
-        ids = [self.feature_ids(w) for w in words]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.int64, int(sizes.sum()))
-        return np.add.reduceat(self.weights[flat], np.r_[0, np.cumsum(sizes)[:-1]], axis=0)
+        ids, places = features(words, self.lexicon)
+        starts = np.searchsorted(places, np.arange(len(words)))
+        return np.add.reduceat(self.weights[ids], starts, axis=0)
 
 
 def posteriors(e: np.ndarray, a: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -168,9 +191,8 @@ def train(bodies: list[bytes], langs: list[str], *, epochs: int = 4, step: float
             labels[begin : begin + len(d)][switch] = best[switch]
         sequences += [(begin + k, min(32, len(d) - k)) for k in range(0, len(d), 32)]
         begin += len(d)
-    feature_ids = [model.feature_ids(w) for w in vocabulary]
-    sizes = np.array([len(x) for x in feature_ids])
-    flat = np.fromiter(chain.from_iterable(feature_ids), np.int64, int(sizes.sum()))
+    flat, places = features(list(vocabulary), lexicon)
+    sizes = np.bincount(places, minlength=len(vocabulary))
     offset = np.r_[0, np.cumsum(sizes)]
     sequences = np.array(sequences)
     g_w, g_t = np.full((1 << BITS, n_langs), 1e-8), np.full((n_langs, n_langs), 1e-8)
@@ -247,11 +269,10 @@ class Emissions:
             self.table = grown
         if len(kinds):
             e = np.maximum(np.exp(e - e.max(1, keepdims=True)), 1e-12)
-        for i, (c, w) in enumerate(zip(new, spelled)):
-            # every chunk takes a row, so that rows and numbers keep in step
-            rows[c] = base + i if w else -(base + i)
-            if w:
-                self.table[base + i] = e[kinds[w]]
+        at = np.fromiter((kinds.get(w, -1) for w in spelled), np.int64, len(new))
+        place = base + np.arange(len(new))
+        self.table[place[at >= 0]] = e[at[at >= 0]]
+        rows.update(zip(new, np.where(at >= 0, place, -place).tolist()))  # every chunk takes a row, so that rows and numbers keep in step
         n = sum(map(len, bodies))
         return np.fromiter(map(rows.__getitem__, chain.from_iterable(bodies)), np.int64, n)
 
