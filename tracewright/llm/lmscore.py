@@ -31,21 +31,21 @@ from tracewright.llm.shingles import WordHashes, ngrams, words_of
 
 BLOCK_BYTES = 12 << 20
 #: Words of the corpus for each hash range.
-RANGE_WORDS = 1 << 21
+RANGE_WORDS = 1 << 20
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Unsigned numbers as byte planes, without the planes that are zero."""
+    """Unsigned numbers as byte planes, without the planes that are zero, entropy-coded: high planes take few bits."""
     planes = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8).T
     keep = 8
     while keep > 1 and not planes[keep - 1].any():
         keep -= 1
-    return bytes([keep]) + planes[:keep].tobytes()
+    return bytes([keep]) + zstandard.ZstdCompressor(level=1).compress(planes[:keep].tobytes())
 
 
 def unpack(data: bytes) -> np.ndarray:
     keep = data[0]
-    planes = np.frombuffer(data, np.uint8, offset=1).reshape(keep, -1)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(keep, -1)
     out = np.zeros((planes.shape[1], 8), np.uint8)
     out[:, :keep] = planes.T
     return out.view("<u8").ravel()
@@ -73,34 +73,35 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.
         yield out()
 
 
-def _grams(lengths: list[int], body: bytes, order: int, bits: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Words of each document; for each order the n-grams' hashes in order of place, none across documents, and where they end."""
-    text, known, hashes, at = zstandard.ZstdDecompressor().decompress(body), WordHashes.of_worker(), [], 0
+def _hashes(lengths: list[int], body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """How many words each document has, and the words' hashes."""
+    text, known, counts, hashes, at = zstandard.ZstdDecompressor().decompress(body), WordHashes.of_worker(), [], [], 0
     for n in lengths:
         words = words_of(text[at : at + n])
+        counts.append(len(words))
         hashes.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
         at += n
-    counts = np.array([len(h) for h in hashes], np.int64)
-    flat = np.concatenate([*hashes, np.zeros(0, np.uint64)])
-    owner = np.repeat(np.arange(len(counts)), counts)
-    grams, last = [], []
-    for k in range(1, order + 1):
-        g = ngrams(flat, k) if len(flat) >= k else np.zeros(0, np.uint64)
-        end = np.arange(k - 1, len(flat)) if len(flat) >= k else np.zeros(0, np.int64)
-        if k > 1 and len(g):
-            same = owner[k - 1 :] == owner[: len(g)]
-            g, end = g[same], end[same]
-        grams.append(g >> np.uint64(64 - bits))
-        last.append(end)
-    return counts, grams, last
+    return np.array(counts, np.int64), np.concatenate([*hashes, np.zeros(0, np.uint64)])
+
+
+def _grams(counts: np.ndarray, flat: np.ndarray, k: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the n-grams of an order in order of place, none across documents, and where they end."""
+    if len(flat) < k:
+        return flat[:0], np.zeros(0, np.int64)
+    g, end = ngrams(flat, k) >> np.uint64(64 - bits), np.arange(k - 1, len(flat))
+    if k > 1:
+        owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+        same = owner[k - 1 :] == owner[: len(g)]
+        g, end = g[same], end[same]
+    return g, end
 
 
 def _requests(batches: Iterator[pa.RecordBatch], order: int, bits: int, range_bits: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block, lengths, body in zip(batch.column("block").to_pylist(), batch.column("lengths").to_pylist(), batch.column("body").to_pylist()):
-            _, grams, _ = _grams(lengths, body, order, bits)
-            for k, g in enumerate(grams, 1):
-                keys, counts = np.unique(g, return_counts=True)
+            sizes, flat = _hashes(lengths, body)
+            for k in range(1, order + 1):
+                keys, counts = np.unique(_grams(sizes, flat, k, bits)[0], return_counts=True)
                 ranges = (keys >> np.uint64(bits - range_bits)).astype(np.int64)
                 edges = np.searchsorted(ranges, np.arange((1 << range_bits) + 1))
                 full = np.flatnonzero(edges[1:] > edges[:-1])
@@ -129,15 +130,17 @@ def _score(block: pa.Table, answers: pa.Table, order: int, bits: int, n_words: i
     for n, r, t in zip(*(answers.column(c).to_pylist() for c in ("n", "range", "totals"))):
         told.setdefault(n, []).append((r, t))
     for ids, lengths, body in zip(*(block.column(c).to_pylist() for c in ("ids", "lengths", "body"))):
-        counts, grams, last = _grams(lengths, body, order, bits)
-        words = int(counts.sum())
-        seen = []  # by order: the count of the n-gram that ends at a word, 0 where there is none
-        for k, (g, end) in enumerate(zip(grams, last), 1):
+        counts, flat = _hashes(lengths, body)
+        words = len(flat)
+        seen, last = [], []  # by order: the count of the n-gram that ends at a word (0 where there is none), and the words where one ends
+        for k in range(1, order + 1):
+            g, end = _grams(counts, flat, k, bits)
             _, inverse = np.unique(g, return_inverse=True)
-            totals = np.concatenate([np.zeros(0), *(unpack(t) for _, t in sorted(told.get(k, []), key=lambda x: x[0]))])
+            totals = np.concatenate([np.zeros(0, np.uint64), *(unpack(t) for _, t in sorted(told.pop(k, []), key=lambda x: x[0]))])
             own = np.zeros(words)
             own[end] = totals[inverse]
             seen.append(own)
+            last.append(end)
         log_s = np.log(np.maximum(seen[0], 1) / max(n_words, 1))
         level, place = np.ones(words, np.int64), np.zeros(words, np.int64)
         for k in range(2, order + 1):
