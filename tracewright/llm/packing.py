@@ -54,6 +54,9 @@ class ChunkIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # tokens that end a word; none if the tokenizer does not mark them
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     @classmethod
     def of_worker(cls, path: str) -> ChunkIds:
@@ -61,10 +64,29 @@ class ChunkIds:
         return of_worker(f"chunk ids {path}", lambda: cls(path))
 
     def _encode(self, chunks: list[bytes]) -> None:
+        """Chunks that are one word of letters, or one run of punctuation, are encoded many in one text: a word's last token says that it is."""
+        one = [c for c in chunks if c.isalpha() or not c.strip(self.TAIL) or c.decode().isalpha()]
+        for start in range(0, len(one), 4096):
+            self._encode_joined(one[start : start + 4096])
+        many = set(chunks).difference(one)
+        self._encode_each([*many])
+
+    def _encode_each(self, chunks: list[bytes]) -> None:
         for start in range(0, len(chunks), 4096):
             part = chunks[start : start + 4096]
             self.known.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(part, self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)))
 
+    def _encode_joined(self, chunks: list[bytes]) -> None:
+        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(chunks).decode()], add_special_tokens=False)[0].ids, "<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(chunks) or (len(stops) and stops[-1] != len(ids)):
+            return self._encode_each(chunks)
+        packed, at = ids.tobytes(), 0
+        for c, stop in zip(chunks, (4 * stops).tolist()):
+            self.known[c] = packed[at:stop]
+            at = stop
+        return None
+
     def _learn(self, new: set[bytes]) -> None:
         known, older = self.known, self.older
         parts, whole = {}, []
