@@ -40,10 +40,20 @@ def scratch_dir(spark: SparkSession) -> str:
     return found
 
 
-def settle(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
+def _own(spark: SparkSession) -> str:
+    return f"{scratch_dir(spark)}/tracewright/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes what this application has settled. For the end, when results that read it are stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def settle(df: DataFrame, label: str) -> DataFrame:
     """df, written once to the shared folder and reread: lineage ends here, and a lost executor costs no more than a reread."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/tracewright/{label}-{uuid.uuid4().hex}"
+    path = f"{_own(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

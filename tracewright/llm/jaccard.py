@@ -15,7 +15,9 @@ sizes, is least.
 
 A list first gives links to its least member (a star, linear in the list). Stars that hold make components;
 after that only pairs of a list that are in different components are looked at, the members outside the
-list's main component against all. Every pair is verified on the whole texts, none is capped.
+list's main component against all. Of documents that fill long lists whole sets are counted first: one of them links
+with no other component of that crowd unless enough of its shingles occur there, so heavily edited copies of a
+text give no pairs among themselves; others must have met enough in their prefixes. What is left is ruled out by shared lists and bucket counts or verified on whole texts; none is capped.
 
 Defined results: a null or empty text, or one without words, has no shingles, links with nothing and is its
 own component. A row with a null doc_id gets its shingle count and a null component. Rows with the same doc_id
@@ -28,12 +30,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import columns, settle, small_batches, texts
+from tracewright.llm.common import columns, rows_bound, settle, small_batches, texts
 from tracewright.llm.components import components
-from tracewright.llm.shingles import WordHashes, fingerprint, shingle_set
+from tracewright.llm.shingles import WordHashes, fingerprint, shingle_sets
 
 #: Links: NUM * union <= DEN * intersection.
 NUM, DEN = 75, 100
@@ -41,6 +43,10 @@ NUM, DEN = 75, 100
 MAP_BITS = 24
 #: Fingerprints that a worker remembers, to post an exact copy once.
 SEEN = 500_000
+#: Ids of the documents to verify are broadcast up to so many (8 MB); beyond, they meet the documents by a shuffle.
+BROADCAST_ROWS = 1_000_000
+#: Documents with a fifth of their prefix in lists this long, over several components, are a crowd: their whole sets are looked at before they give pairs.
+CROWD = 8
 
 
 def least_overlap(size: int) -> int:
@@ -62,45 +68,44 @@ def _in_order(shingles: np.ndarray, frequent: np.ndarray | None) -> np.ndarray:
     return np.concatenate([shingles[~late], shingles[late]]) if late.any() else shingles
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = WordHashes()
-    for batch in small_batches(batches):
-        ids, bodies = columns(batch)
-        sets = [shingle_set(b, known) for b in bodies]
-        prints = [fingerprint(s) for s in sets]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in prints], pa.int64()), pa.array([b for _, b in prints], pa.int64())], ["doc_id", "n_shingles", "fa", "fb"])
+SCAN = "doc_id long, n_shingles long, fa long, fb long, buckets binary, key long, n long"
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles of prefixes that one task meets in two or more different sets, with how often."""
-    known, seen, held, n = WordHashes(), set(), [], 0
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of every row its set's size and fingerprint; besides (with a null size) shingles of prefixes that one task meets in several different sets, with how many."""
+    known, seen, held, total = WordHashes.of_worker(), set(), [], 0
+    names = [x.split()[0] for x in SCAN.split(", ")]
 
-    def out() -> pa.RecordBatch:
+    def repeated() -> pa.RecordBatch:
         keys, counts = np.unique(np.concatenate(held), return_counts=True)
-        keys, counts = keys[counts > 1], counts[counts > 1]
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], ["key", "n"])
+        keys, counts = keys[counts > 1].view(np.int64), counts[counts > 1].astype(np.int64)
+        return pa.RecordBatch.from_arrays([*[pa.nulls(len(keys), pa.int64())] * 4, pa.nulls(len(keys), pa.binary()), pa.array(keys), pa.array(counts)], names)
 
     for batch in small_batches(batches):
-        for body in columns(batch)[1]:
-            s = shingle_set(body, known)
-            if len(s) and (p := fingerprint(s)[0]) not in seen:
+        ids, bodies = columns(batch)
+        sets = shingle_sets(bodies, known)
+        prints = [fingerprint(s) for s in sets]
+        none = pa.nulls(len(ids), pa.int64())
+        buckets = [np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes() for s in sets]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in prints], pa.int64()), pa.array([b for _, b in prints], pa.int64()), pa.array(buckets, pa.binary()), none, none], names)
+        for s, (p, _) in zip(sets, prints):
+            if len(s) and p not in seen:
                 if len(seen) < SEEN:
                     seen.add(p)
                 held.append(s[: prefix_length(len(s))])
-                n += len(held[-1])
-        if n > 8_000_000:
-            yield out()
-            held, n = [], 0
+                total += len(held[-1])
+        if total > 2_000_000:
+            yield repeated()
+            held, total = [], 0
     if held:
-        yield out()
+        yield repeated()
 
 
 def _postings(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, boundary: int) -> Iterator[pa.RecordBatch]:
-    known, seen = WordHashes(), set()
+    known, seen = WordHashes.of_worker(), set()
     for batch in small_batches(batches):
-        keys, nodes, sizes = [], [], []
-        for body in columns(batch)[1]:
-            s = shingle_set(body, known)
+        keys, nodes = [], []
+        for s in shingle_sets(columns(batch)[1], known):
             if not len(s) or (node := fingerprint(s)[0]) in seen:
                 continue
             if len(seen) < SEEN:
@@ -143,16 +148,37 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, least, last = keys[-1], lead[-1], nodes[-1]
 
 
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = WordHashes.of_worker()
+    for batch in small_batches(batches):
+        sets = shingle_sets(columns(batch)[1], known)
+        n = [len(s) for s in sets]
+        keys = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.repeat(batch.column(c).to_numpy(), n)) for c in ("doc_id", "c"))], ["key", "rep", "c"])
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose shingle counts in 256 hash buckets leave room for a link: two sets share no more of a bucket than the lesser count (255 stands for any number from there on)."""
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, 256) for c in ("buckets_a", "buckets_b"))
+        least = np.minimum(x, y)
+        most = least.sum(1, dtype=np.int64)
+        sizes = batch.column("size_a").to_numpy() + batch.column("size_b").to_numpy()
+        good = (least == 255).any(1) | (DEN * most >= NUM * (sizes - most))
+        keep = pa.array(good)
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known, kept = WordHashes(), {}
-    for batch in small_batches(batches, 16 << 20):
+    known, kept = WordHashes.of_worker(), {}
+    for batch in small_batches(batches):
         a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
         ta, tb = (batch.column(c).cast(pa.binary()).to_pylist() for c in ("text_a", "text_b"))
         out = []
         for x, y, u, v in zip(a, b, ta, tb):
             if x not in kept:
-                kept = {x: shingle_set(u, known)}
-            s, t = kept[x], shingle_set(v, known)
+                kept = {x: shingle_sets([u], known)[0]}
+            s, t = kept[x], shingle_sets([v], known)[0]
             both = len(np.intersect1d(s, t, assume_unique=True))
             if both and DEN * both >= NUM * (len(s) + len(t) - both):
                 out.append((x, y))
@@ -186,22 +212,27 @@ def frequent_map(repeated: DataFrame, least: int) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of doc_ids, those whose texts link."""
-    pairs = settle(pairs, "jaccard-pairs")
+def verified(pairs: DataFrame, buckets: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of pairs (a, b, size_a, size_b) of doc_ids, those whose texts link. Bucket counts rule most others out before texts move."""
+    half = lambda c: buckets.select(F.col("doc_id").alias(c), F.col("buckets").alias(f"buckets_{c}"))
+    pairs = pairs.join(half("a"), "a").join(half("b"), "b").select("a", "b", "size_a", "size_b", "buckets_a", "buckets_b")
+    pairs = settle(pairs.mapInArrow(_possible, "a long, b long").distinct(), "jaccard-pairs")
     needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    if rows_bound(needed, BROADCAST_ROWS):
+        needed = F.broadcast(needed)
     held = settle(texts(docs).join(needed, "doc_id", "left_semi"), "jaccard-texts")
     side = lambda c: held.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
-    # each b travels with its text to a; the sort keeps the pairs of an a together, so its set is made once
     full = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
     return settle(full.mapInArrow(_verify, "a long, b long").distinct(), "jaccard-links")
 
 
 def link(docs: DataFrame, *, frequent_from: int = 32, boundary: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    sets = settle(texts(docs).mapInArrow(_sets, "doc_id long, n_shingles long, fa long, fb long"), "jaccard-sets")
+    scanned = settle(texts(docs).mapInArrow(_scan, SCAN), "jaccard-sets")
+    sets = scanned.where("n_shingles is not null").select("doc_id", "n_shingles", "fa", "fb")
+    buckets = scanned.where("n_shingles > 0 and doc_id is not null").select("doc_id", "buckets")
+    repeated = scanned.where("n_shingles is null").select("key", "n")
     classes = settle(sets.where("n_shingles > 0 and doc_id is not null").groupBy("fa", "fb").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size")), "jaccard-classes")
-    repeated = settle(texts(docs).mapInArrow(_repeated, "key long, n long"), "jaccard-repeated")
     if boundary is None:
         sizes = {int(r["s"]): r["n"] for r in classes.groupBy(F.round(F.exp(F.round(F.log("size") * 16) / 16)).alias("s")).agg(F.count("*").alias("n")).collect()}  # sizes on a log scale: a few hundred rows
         met = repeated.agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("x")).first()["x"]
@@ -209,29 +240,85 @@ def link(docs: DataFrame, *, frequent_from: int = 32, boundary: int | None = Non
     shared_map = docs.sparkSession.sparkContext.broadcast(frequent_map(repeated, frequent_from))
     posted = texts(docs).mapInArrow(lambda it: _postings(it, shared_map.value, boundary), "key long, node long")
     shared = settle(posted.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long, lead long"), "jaccard-lists")
-    reps = classes.select(F.col("fa"), "rep", "size")
+    reps = classes.select(F.col("fa").alias("node"), "rep", "size")
 
-    star = shared.where("node <> lead").select("lead", "node").distinct()
-    star = star.join(reps.select(F.col("fa").alias("lead"), F.col("rep").alias("a"), F.col("size").alias("size_a")), "lead").join(reps.select(F.col("fa").alias("node"), F.col("rep").alias("b"), F.col("size").alias("size_b")), "node")
+    # stars: where a list's least node shares much of its prefix with another, they are tried at once
+    star = shared.where("node <> lead").groupBy("lead", "node").agg(F.count("*").alias("n"))
+    star = star.join(reps.select(F.col("node").alias("lead"), F.col("rep").alias("a"), F.col("size").alias("size_a")), "lead").join(reps.select("node", F.col("rep").alias("b"), F.col("size").alias("size_b")), "node")
     fits = (DEN * F.least("size_a", "size_b") >= NUM * F.greatest("size_a", "size_b")) & (F.col("a") != F.col("b"))
-    links = verified(star.where(fits).select("a", "b").distinct(), docs)
+    links = verified(star.where(fits & (20 * F.col("n") >= F.least("size_a", "size_b"))).select("a", "b", "size_a", "size_b"), buckets, docs)
     found = components(links)
 
     # lists whose members are not all in one component
-    member = shared.select("key", "node").join(reps.withColumnRenamed("fa", "node"), "node").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("c"))
-    member = settle(member, "jaccard-members")
-    open_keys = member.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
-    member = settle(member.join(open_keys, "key"), "jaccard-open")
+    member = settle(shared.select("key", "node").join(reps, "node").select("key", "rep", "size"), "jaccard-members")
+    member = settle(still_open(member, found), "jaccard-open")
+    met = member.groupBy("rep").agg(F.count("*").alias("met"), F.count_if(F.col("in_list") >= CROWD).alias("in_crowd"), F.first("size").alias("size"), F.first("c").alias("c"))
+    met = settle(met, "jaccard-met")
+    crowd = settle(met.where(20 * F.col("in_crowd") >= F.col("size")).select("rep", "c"), "jaccard-crowd")
+    supported = settle(support(crowd, docs), "jaccard-support")
+
+    # stars again, now of the member of a crowd that has most in common with it
+    central = member.join(supported, "rep").withColumn("share", F.col("support") / F.col("size"))
+    centre = central.groupBy("key").agg(F.max_by(F.struct("rep", "size", "c"), F.struct("share", "rep")).alias("x"))
+    near = central.join(centre, "key").where("c <> x.c").select(F.col("x.rep").alias("a"), F.col("x.size").alias("size_a"), F.col("rep").alias("b"), F.col("size").alias("size_b"))
+    near = near.groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("n"))
+    fits = DEN * F.least("size_a", "size_b") >= NUM * F.greatest("size_a", "size_b")
+    links = links.union(verified(near.where(fits & (20 * F.col("n") >= F.least("size_a", "size_b"))).select("a", "b", "size_a", "size_b"), buckets, docs))
+    found = components(links)
+
+    # pairs across components, by how many lists they share
+    member = still_open(member.select("key", "rep", "size"), found).drop("in_list")
+    member = settle(member.join(met.select("rep", "met").join(supported, "rep", "left"), "rep"), "jaccard-supported")
     main = member.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"))
-    stray = member.join(main, "key").where("c <> main")
+    stray = settle(member.join(main, "key").where("c <> main"), "jaccard-strays")
     m, s = member.alias("m"), stray.alias("s")
     fits = DEN * F.least("m.size", "s.size") >= NUM * F.greatest("m.size", "s.size")
+    need = F.ceil((F.col("m.size") + F.col("s.size")) * NUM / (NUM + DEN))
+    reach = lambda x: F.col(f"{x}.met") + rest(F.col(f"{x}.size"))
+    fits = fits & ((F.least("m.size", "s.size") < boundary) | (F.greatest(reach("m"), reach("s")) >= need))
+    fits = fits & (F.col("m.support").isNull() | F.col("s.support").isNull() | (F.least("m.support", "s.support") >= need))
     once = (F.col("m.c") == F.col("s.main")) | (F.col("m.rep") > F.col("s.rep"))
-    cross = m.join(s, (F.col("m.key") == F.col("s.key")) & (F.col("m.c") != F.col("s.c")) & fits & once).select(F.least("m.rep", "s.rep").alias("a"), F.greatest("m.rep", "s.rep").alias("b")).distinct()
-    more = verified(cross, docs)
+    cross = m.join(s, (F.col("m.key") == F.col("s.key")) & (F.col("m.c") != F.col("s.c")) & fits & once)
+    low, high = F.least(F.struct("m.rep", "m.size"), F.struct("s.rep", "s.size")), F.greatest(F.struct("m.rep", "m.size"), F.struct("s.rep", "s.size"))
+    cross = cross.select(low.alias("x"), high.alias("y")).select(F.col("x.rep").alias("a"), F.col("x.size").alias("size_a"), F.col("y.rep").alias("b"), F.col("y.size").alias("size_b"))
+    cross = cross.groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("n"))
+    more = verified(cross.where(can_link(boundary)).select("a", "b", "size_a", "size_b"), buckets, docs)
     found = components(links.union(more))
 
     comp = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fa", "fb", F.coalesce("component", "rep").alias("component_id"))
     out = sets.join(comp, ["fa", "fb"], "left")
     alone = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), alone).alias("component_id"))
+
+
+def still_open(member: DataFrame, found: DataFrame) -> DataFrame:
+    """Of members (key, rep, size) of lists, those of lists over several components, with their component c and the list's length."""
+    member = member.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("c"))
+    keys = member.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("in_list")).where("c0 <> c1").select("key", "in_list")
+    return member.join(keys, "key")
+
+
+def support(crowd: DataFrame, docs: DataFrame) -> DataFrame:
+    """rep and support: of each document of a crowd (rep, c), its shingles that one of another component in the crowd has too. It shares no more with any of them."""
+    ids = F.broadcast(crowd) if rows_bound(crowd, BROADCAST_ROWS) else crowd
+    rows = texts(docs).join(ids.withColumnRenamed("rep", "doc_id"), "doc_id").mapInArrow(_members, "key long, rep long, c long")
+    rows = settle(rows, "jaccard-shingles")
+    common = rows.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
+    found = rows.join(common, "key", "left_semi").groupBy("rep").agg(F.count("*").alias("n"))
+    return crowd.select("rep").join(found, "rep", "left").select("rep", F.coalesce("n", F.lit(0)).alias("support"))
+
+
+def rest(size: Column) -> Column:
+    """A set's shingles past its prefix."""
+    return F.ceil(size * NUM / DEN) - 1
+
+
+def can_link(boundary: int) -> Column:
+    """Whether sets with sizes size_a and size_b that meet in n lists can still link.
+
+    Of the two prefixes one ends first in the common order. All that both sets have up to there is in both
+    prefixes and so among the n; past it that set has only its size less its prefix. Sets that also meet by
+    subsets, or did so alone, are always tried.
+    """
+    need = F.ceil((F.col("size_a") + F.col("size_b")) * NUM / (NUM + DEN))
+    return (F.least("size_a", "size_b") < boundary) | (F.col("n") + F.greatest(rest(F.col("size_a")), rest(F.col("size_b"))) >= need)
