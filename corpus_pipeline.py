@@ -36,12 +36,14 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in texts are replaced by a mark."""
-    found = secrets.scan(docs).withColumn("secrets", F.concat("base", "added")).where(F.size("secrets") > 0).select("doc_id", "secrets").dropDuplicates(["doc_id"])
-    found = settle(found, "secrets")
-    text = F.when(F.col("secrets").isNotNull(), secrets.redacted(F.col("text"), F.col("secrets"))).otherwise(F.col("text"))
-    out = docs.select(*COLUMNS).join(found, "doc_id", "left").withColumn("text", text)
-    return out.withColumn("n_chars", F.when(F.col("secrets").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+    """Secrets in texts are replaced by a mark; findings meet texts by content."""
+    found = secrets.scan(docs).withColumn("secrets", F.concat("base", "added")).where(F.size("secrets") > 0)
+    found = settle(found.select("blob", "secrets").dropDuplicates(["blob"]), "secrets")
+    held = docs.select(*COLUMNS).withColumn("blob", secrets.blob_of("text"))
+    out = held.join(F.broadcast(found) if rows_bound(found, 250_000) else found, "blob", "left")
+    some = F.col("secrets").isNotNull()
+    out = out.withColumn("text", F.when(some, secrets.redacted(F.col("text"), F.col("secrets"))).otherwise(F.col("text")))
+    return out.withColumn("n_chars", F.when(some, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,8 +38,13 @@ def scan_texts(df: DataFrame, base: tuple[Kind, ...] = BASE, more: tuple[Kind, .
     return with_spans(df, (*base, *more)).withColumns({"base": flat(base, by_start=True), "added": flat(more, by_start=True)})
 
 
+def blob_of(text: str) -> Column:
+    """The content address of a text; of an empty one for null."""
+    return F.sha2(F.encode(F.coalesce(text, F.lit("")), "utf-8"), 256)
+
+
 def blobs(docs: DataFrame) -> DataFrame:
-    return texts(docs).withColumn("blob", F.sha2(F.encode("text", "utf-8"), 256))
+    return texts(docs).withColumn("blob", blob_of("text"))
 
 
 def scan(docs: DataFrame, *, ledger: str | None = None, rules: str = RULES_VERSION) -> DataFrame:
