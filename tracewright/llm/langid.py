@@ -258,7 +258,7 @@ class Emissions:
         if len(self.rows) > CACHE:
             self.rows = {}
         rows = self.rows
-        new = list({c for words in bodies for c in words if c not in rows})
+        new = list(set().union(*bodies).difference(rows))
         spelled = [letters(c) for c in new]
         kinds = {w: i for i, w in enumerate(dict.fromkeys(w for w in spelled if w))}
         e = self.model.emissions(list(kinds))

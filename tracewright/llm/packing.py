@@ -112,7 +112,7 @@ class ChunkIds:
         if len(self.known) > CACHE_CHUNKS:
             self.known, self.older = {}, self.known
         known = self.known
-        new = {c for words in split for c in words if c not in known}
+        new = set().union(*split).difference(known)
         self._learn(new)
         out = [b"".join(map(known.__getitem__, words)) for words in split]
         for c in new:
