@@ -16,8 +16,9 @@ sizes, is least.
 A list first gives links to its least member (a star, linear in the list). Stars that hold make components;
 after that only pairs of a list that are in different components are looked at, the members outside the
 list's main component against all. Of documents that fill long lists whole sets are counted first: one of them links
-with no other component of that crowd unless enough of its shingles occur there, so heavily edited copies of a
-text give no pairs among themselves; others must have met enough in their prefixes. What is left is ruled out by shared lists and bucket counts or verified on whole texts; none is capped.
+with no other component of that crowd unless enough of its shingles occur there, and those shingles, rarest
+first, have short prefixes of their own, so heavily edited copies of a text give few pairs among themselves;
+others must have met enough in their prefixes. What is left is ruled out by shared lists and bucket counts or verified on whole texts; none is capped.
 
 Defined results: a null or empty text, or one without words, has no shingles, links with nothing and is its
 own component. A row with a null doc_id gets its shingle count and a null component. Rows with the same doc_id
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.llm.common import columns, rows_bound, settle, small_batches, texts
@@ -255,7 +256,8 @@ def link(docs: DataFrame, *, frequent_from: int = 32, boundary: int | None = Non
     met = member.groupBy("rep").agg(F.count("*").alias("met"), F.count_if(F.col("in_list") >= CROWD).alias("in_crowd"), F.first("size").alias("size"), F.first("c").alias("c"))
     met = settle(met, "jaccard-met")
     crowd = settle(met.where(20 * F.col("in_crowd") >= F.col("size")).select("rep", "c"), "jaccard-crowd")
-    supported = settle(support(crowd, docs), "jaccard-support")
+    common = settle(common_shingles(crowd, docs), "jaccard-common")
+    supported = settle(support(crowd, common), "jaccard-support")
 
     # stars again, now of the member of a crowd that has most in common with it
     central = member.join(supported, "rep").withColumn("share", F.col("support") / F.col("size"))
@@ -276,13 +278,15 @@ def link(docs: DataFrame, *, frequent_from: int = 32, boundary: int | None = Non
     need = F.ceil((F.col("m.size") + F.col("s.size")) * NUM / (NUM + DEN))
     reach = lambda x: F.col(f"{x}.met") + rest(F.col(f"{x}.size"))
     fits = fits & ((F.least("m.size", "s.size") < boundary) | (F.greatest(reach("m"), reach("s")) >= need))
-    fits = fits & (F.col("m.support").isNull() | F.col("s.support").isNull() | (F.least("m.support", "s.support") >= need))
+    fits = fits & (F.col("m.support").isNull() | F.col("s.support").isNull())  # pairs within the crowd follow
     once = (F.col("m.c") == F.col("s.main")) | (F.col("m.rep") > F.col("s.rep"))
     cross = m.join(s, (F.col("m.key") == F.col("s.key")) & (F.col("m.c") != F.col("s.c")) & fits & once)
     low, high = F.least(F.struct("m.rep", "m.size"), F.struct("s.rep", "s.size")), F.greatest(F.struct("m.rep", "m.size"), F.struct("s.rep", "s.size"))
     cross = cross.select(low.alias("x"), high.alias("y")).select(F.col("x.rep").alias("a"), F.col("x.size").alias("size_a"), F.col("y.rep").alias("b"), F.col("y.size").alias("size_b"))
     cross = cross.groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("n"))
-    more = verified(cross.where(can_link(boundary)).select("a", "b", "size_a", "size_b"), buckets, docs)
+    cross = cross.where(can_link(boundary)).select("a", "b", "size_a", "size_b")
+    within = crowd_pairs(common, supported.join(met.select("rep", "size"), "rep"), found)
+    more = verified(cross.union(within), buckets, docs)
     found = components(links.union(more))
 
     comp = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fa", "fb", F.coalesce("component", "rep").alias("component_id"))
@@ -298,16 +302,44 @@ def still_open(member: DataFrame, found: DataFrame) -> DataFrame:
     return member.join(keys, "key")
 
 
-def support(crowd: DataFrame, docs: DataFrame) -> DataFrame:
-    """rep and support: of each document of a crowd (rep, c), its shingles that one of another component in the crowd has too. It shares no more with any of them."""
+def common_shingles(crowd: DataFrame, docs: DataFrame) -> DataFrame:
+    """key, rep, in_crowd: of each document of a crowd (rep, c), the shingles that one of another component in the crowd has too, and how many have them."""
     ids = F.broadcast(crowd) if rows_bound(crowd, BROADCAST_ROWS) else crowd
     rows = texts(docs).join(ids.withColumnRenamed("rep", "doc_id"), "doc_id").mapInArrow(_members, "key long, rep long, c long")
     rows = settle(rows, "jaccard-shingles")
-    common = rows.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
-    found = rows.join(common, "key", "left_semi").groupBy("rep").agg(F.count("*").alias("n"))
+    common = rows.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("in_crowd")).where("c0 <> c1").select("key", "in_crowd")
+    return rows.select("key", "rep").join(common, "key")
+
+
+def support(crowd: DataFrame, common: DataFrame) -> DataFrame:
+    """rep and support: how many common shingles a document of the crowd has. It shares no more with any of another component there."""
+    found = common.groupBy("rep").agg(F.count("*").alias("n"))
     return crowd.select("rep").join(found, "rep", "left").select("rep", F.coalesce("n", F.lit(0)).alias("support"))
 
 
+def crowd_pairs(common: DataFrame, supported: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs (a, b, size_a, size_b) of the crowd, of different components, that can link.
+
+    All that two of them share is among their common shingles, so these are sets of their own, with prefixes that
+    are short where few of them can be missed: rarest first, the first that both have must leave enough behind
+    it on both sides.
+    """
+    least = F.ceil(F.col("size") * NUM / DEN)
+    rows = common.join(supported.where(F.col("support") >= least), "rep")
+    at = F.row_number().over(Window.partitionBy("rep").orderBy("in_crowd", "key")) - 1
+    rows = rows.withColumn("behind", F.col("support") - at).where(F.col("behind") >= least)
+    rows = rows.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "size", "behind", F.coalesce("component", "rep").alias("c"))
+    rows = settle(rows, "jaccard-crowd-prefixes")
+    main = rows.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"))
+    stray = settle(rows.join(main, "key").where("c <> main"), "jaccard-crowd-strays")
+    m, s = rows.alias("m"), stray.alias("s")
+    need = F.ceil((F.col("m.size") + F.col("s.size")) * NUM / (NUM + DEN))
+    fits = (DEN * F.least("m.size", "s.size") >= NUM * F.greatest("m.size", "s.size")) & (F.least("m.behind", "s.behind") >= need)
+    once = (F.col("m.c") == F.col("s.main")) | (F.col("m.rep") > F.col("s.rep"))
+    pairs = m.join(s, (F.col("m.key") == F.col("s.key")) & (F.col("m.c") != F.col("s.c")) & fits & once)
+    return pairs.select(F.col("m.rep").alias("a"), F.col("s.rep").alias("b"), F.col("m.size").alias("size_a"), F.col("s.size").alias("size_b")).distinct()
+
+
 def rest(size: Column) -> Column:
     """A set's shingles past its prefix."""
     return F.ceil(size * NUM / DEN) - 1

@@ -10,7 +10,6 @@ the base rule decides alone. Columns other than doc_id and text are never read.
 
 from __future__ import annotations
 
-import gc
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -66,7 +65,6 @@ def stats_of(text: bytes) -> tuple[int, ...]:
 
 
 def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    gc.disable()  # millions of short-lived tuples, no cycles
     for batch in small_batches(batches):
         ids, bodies = columns(batch)
         rows = np.array([stats_of(x) for x in bodies], dtype=np.int64).reshape(len(ids), len(COUNTS))
