@@ -188,3 +188,25 @@ def test_toxic_texts(spark):
     assert all(r.predicted == int(r.doc_id % 6 == 0 and r.doc_id < 600) for r in out)
     assert toxicity.fit(d, labels.where("toxic = 0")).weights == {}
     assert toxicity.score(awkward(spark), toxicity.Model()).count() == awkward(spark).count()
+
+
+def test_toxic_stems(spark):
+    """Words of one stem, each form too rare to be told by itself, and forms that no labelled text has."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 5)))
+    data, bad, forms = [], set(range(0, 900, 6)), 0
+    for i in range(900):
+        w = [word() for _ in range(60)]
+        if i in bad:
+            for _ in range(5):
+                w.insert(rng.randrange(60), "zélô" + "".join(rng.choice("abcdefgh") for _ in range(3)))
+                forms += 1
+        data.append((i, " ".join(w), "fr", "s", 0))
+    data.append((900, " ".join([word() for _ in range(30)] + ["Zélô!"] * 3 + [word() for _ in range(30)]), "fr", "s", 0))  # a stem is no token
+    labels = spark.createDataFrame([(i, 1, int(i in bad)) for i in range(900)], "doc_id long, quality int, toxic int")
+    d = frame(spark, data)
+    model = toxicity.fit(d, labels)
+    out = toxicity.digest(toxicity.score(d, model)).collect()
+    assert len(out) == 901 and any(r.held_out for r in out if r.doc_id in bad)
+    assert all(r.predicted == int(r.doc_id in bad) for r in out)
+    assert "zélô" in model.stems and len({t for t in model.weights if t.startswith("zélô".encode())}) < forms / 10
