@@ -210,3 +210,20 @@ def test_toxic_stems(spark):
     assert len(out) == 901 and any(r.held_out for r in out if r.doc_id in bad)
     assert all(r.predicted == int(r.doc_id in bad) for r in out)
     assert "zélô" in model.stems and len({t for t in model.weights if t.startswith("zélô".encode())}) < forms / 10
+
+
+def test_languages_without_spaces(spark):
+    """Every letter of a text counts, however few white spaces it has."""
+    assert langid.letters("Été-2x_e\u0301a".encode()) == ["été", "x", "ea"] and langid.letters(b"--- 1") == []
+    assert langid.letters(("ab" * 45).encode()) == ["ab" * 20, "ab" * 20, "ab" * 5]
+    rng = random.Random(9)
+    make = {"aa": lambda: "".join(rng.choice(["ka", "ti", "mo", "lu"]) for _ in range(3)), "bb": lambda: "".join(rng.choice(["sch", "er", "ung", "ei"]) for _ in range(3))}
+    data = [(i, " ".join(make[lang]() for _ in range(40)), lang, "s", 0) for i in range(120) for lang in [("aa", "bb")[i % 2]]]
+    words = [make["aa"]() for _ in range(8)] + [make["bb"]() for _ in range(40)]
+    glued = [(900 + k, x.join(words), None, "s", 0) for k, x in enumerate([" ", "\xa0", "_", "-", "/", ""])]
+    d = frame(spark, data + glued)
+    got = {r.doc_id: r for r in langid.digest(langid.predict(d, langid.fit(d))).collect()}
+    assert all(got[r[0]].lang_pred == "bb" for r in glued)
+    same = {(got[i].n_words, got[i].n_switched, round(got[i].score, 6)) for i in range(900, 905)}
+    assert len(same) == 1 and got[900].n_words == 48 and 6 <= got[900].n_switched <= 10
+    assert got[905].n_words == -(-sum(map(len, words)) // 40) and got[905].n_switched >= 1

@@ -1,5 +1,6 @@
 """Operator 2, language identification by a linear-chain conditional random field over words.
 
+Words are runs of letters; a longer run than ``WORD`` letters, as in scripts without spaces, is several words.
 A word's features are itself, its affixes, its character n-grams and how strongly a lexicon learnt from the
 corpus ties it to each language, all hashed into one weight table; transitions between the languages of
 neighbouring words are learnt with them. Forward-backward labels every word, so a text that switches between
@@ -16,6 +17,7 @@ never read.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,14 +33,19 @@ from tracewright.llm.common import columns, held_out, of_worker, small_batches,
 BITS = 16
 #: Words that a segment of the two-level forward-backward holds.
 SEGMENT = 64
-#: Chunks whose emissions a worker remembers.
+#: Words of chunks whose emissions a worker remembers.
 CACHE = 600_000
+#: Letters of the longest word.
+WORD = 40
 
 
-def letters(chunk: bytes) -> str:
-    """A white-space chunk in lower case without what is not a letter."""
+def letters(chunk: bytes) -> list[str]:
+    """The words of a white-space chunk in lower case: its runs of letters, cut after every WORD of them. Marks and joiners within a word are left out."""
     s = chunk.decode("utf-8", "replace").lower()
-    return s if s.isalpha() else "".join(c for c in s if c.isalpha())
+    if s.isalpha():
+        return [s] if len(s) <= WORD else [s[k : k + WORD] for k in range(0, len(s), WORD)]
+    runs = "".join(c if c.isalpha() else "" if unicodedata.category(c) in ("Mn", "Mc", "Me", "Cf") else " " for c in s).split(" ")
+    return [r[k : k + WORD] for r in runs for k in range(0, len(r), WORD)]
 
 
 def features(words: list[str], lexicon: dict[str, tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
@@ -47,7 +54,7 @@ def features(words: list[str], lexicon: dict[str, tuple[int, ...]]) -> tuple[np.
     An n-gram at the beginning or end of a word is its affix under another tag, so all are read off one array of
     bytes, each word between < and >.
     """
-    spelled = [f"<{w[:40]}>".encode() for w in words]
+    spelled = [f"<{w}>".encode() for w in words]
     code = np.frombuffer(b"".join(spelled), np.uint8).astype(np.uint64)
     size = np.fromiter(map(len, spelled), np.int64, len(spelled))
     owner, last = np.repeat(np.arange(len(words)), size), np.cumsum(size)
@@ -169,7 +176,7 @@ def train(bodies: list[bytes], langs: list[str], *, epochs: int = 4, step: float
     vocabulary: dict[str, int] = {}
     docs = []
     for b in bodies:
-        docs.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for c in b.split() if (w := letters(c))], np.int64))
+        docs.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for c in b.split() for w in letters(c)], np.int64))
     words, owner = np.concatenate([*docs, np.zeros(0, np.int64)]), np.repeat([names.index(x) for x in langs], [len(d) for d in docs])
     ties = learn_lexicon(words, owner, len(vocabulary), n_langs)
     times = np.bincount(words, minlength=len(vocabulary))
@@ -244,37 +251,44 @@ def train(bodies: list[bytes], langs: list[str], *, epochs: int = 4, step: float
 
 
 class Emissions:
-    """exp(emissions) of white-space chunks in a growing table; row 0 stands for chunks without letters."""
+    """exp(emissions) of the words of white-space chunks in a growing table, those of a chunk one after another; row 0 stands for chunks without letters."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.rows = model, {}
-        self.table = np.ones((1 << 16, len(model.langs)), np.float32)
+        self.model, self.rows, self.used = model, {}, 1
+        self.table, self.sizes = np.ones((1 << 16, len(model.langs)), np.float32), np.zeros(1 << 16, np.int64)
 
     @classmethod
     def of_worker(cls, model: Model) -> Emissions:
         return of_worker(f"emissions {model.key}", lambda: cls(model))
 
-    def ids(self, bodies: list[list[bytes]]) -> np.ndarray:
-        if len(self.rows) > CACHE:
-            self.rows = {}
+    def ids(self, bodies: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of all words of bodies, and how many words each body has."""
+        if self.used > CACHE:
+            self.rows, self.used = {}, 1
         rows = self.rows
         new = list(set().union(*bodies).difference(rows))
         spelled = [letters(c) for c in new]
-        kinds = {w: i for i, w in enumerate(dict.fromkeys(w for w in spelled if w))}
-        e = self.model.emissions(list(kinds))
-        base = len(rows) + 1
-        if base + len(new) > len(self.table):
-            grown = np.ones((2 * (base + len(new)), self.table.shape[1]), np.float32)
-            grown[:base] = self.table[:base]
-            self.table = grown
-        if len(kinds):
+        size = np.fromiter(map(len, spelled), np.int64, len(new))
+        kinds = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(spelled)))}
+        stop = self.used + int(size.sum())
+        if stop > len(self.table):
+            grown, sizes = np.ones((2 * stop, self.table.shape[1]), np.float32), np.zeros(2 * stop, np.int64)
+            grown[: self.used], sizes[: self.used] = self.table[: self.used], self.sizes[: self.used]
+            self.table, self.sizes = grown, sizes
+        place = np.where(size > 0, self.used + np.cumsum(size) - size, 0)
+        if kinds:
+            names = list(kinds)
+            e = np.concatenate([self.model.emissions(names[k : k + (1 << 16)]) for k in range(0, len(names), 1 << 16)])
             e = np.maximum(np.exp(e - e.max(1, keepdims=True)), 1e-12)
-        at = np.fromiter((kinds.get(w, -1) for w in spelled), np.int64, len(new))
-        place = base + np.arange(len(new))
-        self.table[place[at >= 0]] = e[at[at >= 0]]
-        rows.update(zip(new, np.where(at >= 0, place, -place).tolist()))  # every chunk takes a row, so that rows and numbers keep in step
-        n = sum(map(len, bodies))
-        return np.fromiter(map(rows.__getitem__, chain.from_iterable(bodies)), np.int64, n)
+            self.table[self.used : stop] = e[np.fromiter(map(kinds.__getitem__, chain.from_iterable(spelled)), np.int64, stop - self.used)]
+            self.sizes[place[size > 0]] = size[size > 0]
+        rows.update(zip(new, place.tolist()))
+        self.used = stop
+        n = np.array([0, *map(len, bodies)]).cumsum()
+        at = np.fromiter(map(rows.__getitem__, chain.from_iterable(bodies)), np.int64, int(n[-1]))
+        times = self.sizes[at]
+        ends = np.r_[0, np.cumsum(times)]
+        return np.repeat(at - ends[:-1], times) + np.arange(ends[-1]), np.diff(ends[n])
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
@@ -283,13 +297,9 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Rec
     names = np.array(model.langs, object)
     for batch in small_batches(batches, 2 << 20):
         ids, bodies = columns(batch)
-        words = [b.split() for b in bodies]
-        rows = held.ids(words)
-        spelled = rows > 0
-        counts = np.add.reduceat(np.r_[spelled, False].astype(np.int64), np.r_[0, np.cumsum([len(w) for w in words])[:-1]].astype(np.int64)) if words else np.zeros(0, np.int64)
-        counts = np.where([len(w) > 0 for w in words], counts, 0)
+        rows, counts = held.ids([b.split() for b in bodies])
         ends = np.cumsum(counts)
-        post = posteriors(held.table[rows[spelled]], a, ends)
+        post = posteriors(held.table[rows], a, ends)
         sums = np.diff(np.r_[np.zeros((1, len(names))), np.cumsum(post, axis=0, dtype=np.float64)][np.r_[0, ends]], axis=0)
         best = sums.argmax(1)
         some = counts > 0
@@ -312,7 +322,7 @@ def fit(docs: DataFrame, *, most_docs: int = 3_000) -> Model | None:
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, lang_pred, score, n_words (with letters) and n_switched (words labelled with another language)."""
+    """doc_id, lang_pred, score, n_words (runs of letters) and n_switched (words labelled with another language)."""
     if model is None:
         return texts(docs).select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_switched"))
     return texts(docs).mapInArrow(lambda it: _predict(it, model), "doc_id long, lang_pred string, score double, n_words long, n_switched long")
