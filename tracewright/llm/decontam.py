@@ -1,8 +1,8 @@
-"""Operator 3, benchmark decontamination: size-partitioned MinHash containment search, JVM-side throughout.
+"""Operator 3, benchmark decontamination: MinHash containment search, JVM-side throughout.
 
 Containment of an item in a document is the share of the item's distinct 5-word shingles that the document has.
-Sides differ in size by orders of magnitude, so items are partitioned by size, and each partition has a sketch
-as long as it needs: of an item with s shingles at most s - ceil(0.75 s) can be missing, so one of its
+Sides differ in size by orders of magnitude. A partition of items by size is replaced by one sketch length per item
+(size_class is told, but nothing is joined or bounded by it): of an item with s shingles at most s - ceil(0.75 s) can be missing, so one of its
 s - ceil(0.75 s) + 1 least hashes (its MinHash values under one permutation, the bottom-k form) is in every
 document that contains it. Documents look their own values up among those of items not too large for them;
 nothing is lost, however long a document is. Candidates are verified by their shingles as words.
