@@ -59,13 +59,12 @@ def test_contexts_find_unknown_identifiers(spark):
     seeds = [(i, f"lorem number {i} please write to contact address u{i}@mail.test today or later", None, None, None) for i in range(12)]
     unknown = [(100, "lorem please write to contact address QX-778812-B today or later", None, None, None), (101, "some other words with AB-445566-C in between them", None, None, None)]
     got = {r.doc_id: r.spans for r in pii.digest(pii.find_pii(frame(spark, seeds + unknown))).collect()}
-    assert got[100].startswith("context:") and unknown[0][1][slice(*map(int, got[100].split(":")[1:]))] == "QX-778812-B"
+    assert got[100].startswith("context-email:") and unknown[0][1][slice(*map(int, got[100].split(":")[1:]))] == "QX-778812-B"
     assert got[101] == ""
 
 
 def test_ledger_scans_only_what_is_new(spark, tmp_path):
     path = str(tmp_path / "ledger")
-    spark.createDataFrame([], secrets.LEDGER_SCHEMA).write.parquet(path)
     first = [(1, "token = abcdef1", None, None, None), (2, "token = abcdef1", None, None, None), (3, "clean", None, None, None)]
     assert {r.doc_id: len(r.base) for r in secrets.scan(frame(spark, first), ledger=path).collect()} == {1: 1, 2: 1, 3: 0}
     assert spark.read.parquet(path).count() == 2

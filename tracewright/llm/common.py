@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import sys
 import tempfile
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 SPACES = b" \t\n\x0b\x0c\r"
 #: A share of rows this large may have one key, so hot groups are dealt by (key, row) hashes.
 HELD_OUT_MOD = 3
+#: Bytes of an Arrow batch between the JVM and a Python worker; Spark's own bound of 64 MB would be held on both sides for each core.
+ARROW_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,10 +53,15 @@ def clear(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def own_path(spark: SparkSession, label: str) -> str:
+    """A path of this application's own in the shared folder, never given twice."""
+    return f"{_own(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """df, written once to the shared folder and reread: lineage ends here, and a lost executor costs no more than a reread."""
     spark = df.sparkSession
-    path = f"{_own(spark)}/{label}-{uuid.uuid4().hex}"
+    path = own_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -63,11 +71,36 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % HELD_OUT_MOD == 1
 
 
+def hash_share(df: DataFrame, most: int) -> DataFrame:
+    """Rows of df (one a doc_id) with the least hashes of doc_id, ``most`` of them or so: a bound on the hash from one count, so no task holds more than its share."""
+    share = min(1.0, most / max(df.count(), 1))
+    return df.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int((1 << 40) * share))
+
+
 def columns(batch: pa.RecordBatch) -> tuple[list, list[bytes]]:
     """doc_ids and UTF-8 texts of a batch."""
     return batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()
 
 
+def mapped(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow(make, schema) in batches of ARROW_BYTES, by workers that give back at the end of a task what they no longer hold."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from make(batches)
+        release()
+
+    return df.mapInArrow(run, schema)
+
+
+def release() -> None:
+    """Free memory goes back to the system: Arrow's pool, then the allocator's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about most_bytes of text, however long single texts are."""
     for batch in batches:

@@ -1,9 +1,12 @@
 """Operator 1, personal data: base patterns, then bootstrapped contextual extraction.
 
-Base spans are seeds. What stands around a span or an identifier-like token (a token with several digits) is a
-lexical pattern. Patterns and instances make a bipartite graph that is scored in turns: a pattern is worth the
-share of its distinct instances believed so far, an instance the noisy-or of its patterns. Trusted patterns
-then give the tokens that no base pattern knows. The texts are read once; the turns run over aggregated edges.
+Base spans are seeds, each of its kind. What stands around a span or an identifier-like token (a token with
+several digits) is a lexical pattern: two words on a side or one on each, and, backed off, one word with the
+token's shape, or the shapes of all three. Patterns and instances make a bipartite graph that is scored in
+turns: for each kind a pattern is worth the lower bound (Wilson) of the share of its distinct instances that are
+believed so far, an instance the noisy-or of the patterns trusted for a kind. Instances believed enough count as
+seeds of the next turn, so what one turn finds can induce patterns in the next. Trusted patterns then give the
+tokens that no base pattern knows. The texts are read once; the turns run over aggregated edges.
 
 Defined results: a null or empty text has no spans. A null doc_id is returned as such, and repeated rows each
 get their own row, since rows are told apart by a number of their own. Columns other than doc_id and text are
@@ -15,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import settle, texts
+from tracewright.llm.common import rows_bound, settle, texts
 from tracewright.llm.spans import Kind, count_of, flat, joined, with_spans
 
 #: Possessive where nothing that follows could take back what was matched, so that long runs need no stack.
@@ -30,62 +33,117 @@ KINDS = (
 TOKENS = Kind("token", r"(?<![A-Za-z0-9])(?=[A-Za-z/.-]*+[0-9])[A-Za-z0-9]++(?:[-/.][A-Za-z0-9]++)*+", lambda m: (F.length(m) >= 6) & (_digits(m) >= 4), "rlike(text, '[0-9]')")
 #: As far as contexts reach, in characters.
 REACH = 48
+#: Trusted patterns, believed instances and rows with added spans are broadcast up to so many; beyond, they meet the rest by a shuffle.
+BROADCAST_ROWS = 100_000
 
 
 def _digits(m: Column) -> Column:
     return F.length(F.regexp_replace(m, "[^0-9]", ""))
 
 
+def _shape(x: Column, digits: str) -> Column:
+    """Letters, digits and repeated signs each collapsed to one."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"\p{L}+", "a"), digits, "9"), r"([^\p{L}0-9])\1+", "$1")
+
+
 def _contexts(text: Column, s: Column) -> Column:
-    """The patterns of a span: the two words before it, the word before and the word after it, the two words after it."""
+    """The patterns of a span: two words before it, one on each side, two after it; one word and its own shape; the shapes of both words and its own."""
     before = F.lower(F.substring(text, F.greatest(s["start"] - REACH + 1, F.lit(1)), F.least(s["start"], F.lit(REACH))))
     after = F.lower(F.substring(text, s["stop"] + 1, F.lit(REACH)))
     left2 = F.regexp_extract(before, r"(\S+\s+\S+)\s*$", 1)
     left1, right1 = F.regexp_extract(before, r"(\S+)\s*$", 1), F.regexp_extract(after, r"^\s*(\S+)", 1)
     right2 = F.regexp_extract(after, r"^\s*(\S+\s+\S+)", 1)
-    pairs = F.array(
+    own = _shape(F.regexp_replace(F.lower(s["text"]), "[0-9]{4}", "#"), "[0-9]+")  # four digits at a time: long numbers keep their length
+    wide = lambda x: _shape(x, "[0-9]+")
+    patterns = F.array(
         F.when(left2 != "", F.concat(F.lit("ll "), left2)),
         F.when((left1 != "") & (right1 != ""), F.concat_ws(" ", F.lit("lr"), left1, right1)),
         F.when(right2 != "", F.concat(F.lit("rr "), right2)),
+        F.when(left1 != "", F.concat_ws(" ", F.lit("l"), left1, own)),
+        F.when(right1 != "", F.concat_ws(" ", F.lit("r"), own, right1)),
+        F.concat_ws(" ", F.lit("s"), wide(left1), own, wide(right1)),
     )
-    return F.array_compact(pairs)
+    return F.array_compact(patterns)
 
 
 def extract(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
-    """row, doc_id, base (array of kind, start, stop) and items: seeds and candidates with their patterns. No shuffle."""
+    """row, doc_id, base (array of kind, start, stop) and items: seeds (with their kind) and candidates (with none) with their patterns. No shuffle."""
     spans = with_spans(texts(docs).withColumn("row", F.monotonically_increasing_id()), (*kinds, TOKENS))
     spans = spans.withColumn("base", flat(kinds, by_start=False))
     free = F.filter("spans_token", lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
-    seeds = F.concat(*(F.transform(f"spans_{k.name}", lambda s: F.struct(s["start"], s["stop"], s["text"], F.lit(True).alias("seed"))) for k in kinds))
-    spans = spans.withColumn("found", F.concat(seeds, F.transform(free, lambda s: F.struct(s["start"], s["stop"], s["text"], F.lit(False).alias("seed")))))
+
+    def as_items(found: Column | str, kind: str | None) -> Column:
+        return F.transform(found, lambda s: F.struct(s["start"], s["stop"], s["text"], F.lit(kind).cast("string").alias("seed")))
+
+    spans = spans.withColumn("found", F.concat(*(as_items(f"spans_{k.name}", k.name) for k in kinds), as_items(free, None)))
     items = F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.lower(s["text"]).alias("instance"), s["seed"].alias("seed"), _contexts(F.col("text"), s).alias("patterns")))
     return spans.select("row", "doc_id", "base", items.alias("items"))
 
 
-def bootstrap(items: DataFrame, *, turns: int = 3, least_seeds: int = 5, trust: float = 0.8, prior: float = 2.0) -> DataFrame:
-    """Trusted patterns (pattern, belief) of a pattern-instance graph over items (instance, seed, pattern)."""
+def lower_bound(k: Column, n: Column, z: float) -> Column:
+    """Of a share k / n, the end of its Wilson interval that is on the safe side."""
+    p, zz = k / n, z * z
+    return (p + zz / (2 * n) - z * F.sqrt((p * (1 - p) + zz / (4 * n)) / n)) / (1 + zz / n)
+
+
+def bootstrap(items: DataFrame, *, turns: int = 3, trust: float = 0.6, z: float = 1.64) -> DataFrame:
+    """Trusted patterns (pattern, kind, belief) of a pattern-instance graph over items (instance, seed, pattern).
+
+    With the bound at 1.64 and trust at 0.6 a pattern needs five believed instances at least, all of them of
+    its kind; with twenty instances, sixteen.
+    """
     edges = settle(items.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pii-edges")
-    instances = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("belief"))
-    patterns = None
+    sizes = edges.groupBy("pattern").agg(F.count("*").alias("n"))
+    sure = edges.where("seed is not null").groupBy("pattern", F.col("seed").alias("kind")).agg(F.count("*").cast("double").alias("k"))
+    open_ = edges.where("seed is null").select("pattern", "instance")
+    trusted = None
     for turn in range(turns):
-        known = edges.join(instances, "instance")
-        patterns = known.groupBy("pattern").agg((F.sum("belief") / (F.count("*") + prior)).alias("belief"), F.sum(F.col("seed").cast("int")).alias("seeds"))
-        patterns = patterns.where((F.col("seeds") >= least_seeds) & (F.col("belief") >= trust)).select("pattern", "belief")
-        if turn < turns - 1:
-            # a pattern's belief reaches an instance; seeds stay certain
-            heard = edges.join(patterns, "pattern", "left").groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("sure"), F.sum(F.log1p(-F.least(F.coalesce("belief", F.lit(0.0)), F.lit(0.999)))).alias("doubt"))
-            instances = heard.select("instance", F.greatest("sure", 1 - F.exp("doubt")).alias("belief"))
-    return patterns
-
-
-def find_pii(docs: DataFrame, *, turns: int = 3, least_seeds: int = 5, trust: float = 0.8) -> DataFrame:
-    """doc_id, base and added (arrays of kind, start, stop) of every row."""
+        told = sure
+        if turn:
+            # candidates that trusted patterns vouch for are seeds from now on, weighed by belief
+            heard = open_.join(few(trusted), "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.col("belief"))))).alias("belief"))
+            heard = settle(heard.where(F.col("belief") >= trust).groupBy("instance").agg(F.max_by("kind", F.struct("belief", "kind")).alias("kind"), F.max("belief").alias("belief")), "pii-heard")
+            told = sure.union(open_.join(few(heard), "instance").groupBy("pattern", "kind").agg(F.sum("belief").alias("k"))).groupBy("pattern", "kind").agg(F.sum("k").alias("k"))
+        # k alone bounds the worth from above: most patterns go before they meet their sizes
+        told = told.where(lower_bound(F.col("k"), F.col("k"), z) >= trust)
+        trusted = told.join(sizes, "pattern").withColumn("belief", lower_bound(F.col("k"), F.col("n"), z))
+        trusted = settle(trusted.where(F.col("belief") >= trust).select("pattern", "kind", "belief"), "pii-trusted")
+    return trusted
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df, broadcast if it has at most BROADCAST_ROWS rows (of a pattern or an instance, which are short)."""
+    return F.broadcast(df) if rows_bound(df, BROADCAST_ROWS) else df
+
+
+def graph(rows: DataFrame) -> DataFrame:
+    """row, start, stop, instance, seed and pattern, one row for each pattern of an item."""
+    return rows.select("row", F.explode("items").alias("i")).select("row", "i.*").withColumn("pattern", F.explode("patterns")).drop("patterns")
+
+
+def find_pii(docs: DataFrame, *, turns: int = 3, trust: float = 0.6) -> DataFrame:
+    """doc_id, base and added (arrays of kind, start, stop) of every row; the kind of an added span is context-<kind of its patterns>."""
     rows = settle(extract(docs), "pii-rows")
-    items = rows.select("row", F.explode("items").alias("i")).select("row", "i.*").withColumn("pattern", F.explode("patterns"))
-    trusted = bootstrap(items.select("instance", "seed", "pattern"), turns=turns, least_seeds=least_seeds, trust=trust)
-    found = items.where("not seed").join(trusted, "pattern").groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("more"))
-    added = F.coalesce(F.transform("more", lambda s: F.struct(F.lit("context").alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"))), F.array().cast("array<struct<kind:string,start:int,stop:int>>"))
-    return rows.select("row", "doc_id", "base").join(found, "row", "left").select("doc_id", "base", added.alias("added"))
+    items = graph(rows)
+    trusted = bootstrap(items.select("instance", "seed", "pattern"), turns=turns, trust=trust)
+    found = items.where("seed is null").join(few(trusted), "pattern").groupBy("row", "start", "stop", "kind").agg(F.sum(F.log1p(-F.col("belief"))).alias("doubt"))
+    found = found.groupBy("row", "start", "stop").agg(F.min_by("kind", F.struct("doubt", "kind")).alias("kind"))
+    found = settle(found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(F.concat(F.lit("context-"), "kind").alias("kind"), "start", "stop"))).alias("added")), "pii-added")
+    none = F.array().cast("array<struct<kind:string,start:int,stop:int>>")
+    return rows.select("row", "doc_id", "base").join(few(found), "row", "left").select("doc_id", "base", F.coalesce("added", none).alias("added"))
+
+
+def masked(docs: DataFrame, *, turns: int = 3, trust: float = 0.6) -> DataFrame:
+    """How well patterns find seeds that were hidden: kind, hidden (instances: a third by hash), found (of them, with their kind), claimed (candidates and hidden ones given that kind)."""
+    items = graph(settle(extract(docs), "pii-rows")).select("instance", F.col("seed").alias("truth"), "pattern").distinct()
+    hide = F.pmod(F.xxhash64("instance"), F.lit(3)) == 0
+    items = settle(items.withColumn("seed", F.when(~hide, F.col("truth"))), "pii-masked")
+    trusted = bootstrap(items.select("instance", "seed", "pattern"), turns=turns, trust=trust)
+    said = items.where("seed is null").join(few(trusted), "pattern").groupBy("instance", "truth", "kind").agg(F.sum(F.log1p(-F.col("belief"))).alias("doubt"))
+    said = said.groupBy("instance", "truth").agg(F.min_by("kind", F.struct("doubt", "kind")).alias("kind"))
+    asked = items.where("truth is not null and seed is null").select("instance", "truth").distinct().groupBy(F.col("truth").alias("kind")).agg(F.count("*").alias("hidden"))
+    told = said.groupBy("kind").agg(F.count_if(F.col("kind") == F.col("truth")).alias("found"), F.count("*").alias("claimed"))
+    return asked.join(told, "kind", "left").na.fill(0)
 
 
 def digest(found: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
