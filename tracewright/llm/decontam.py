@@ -1,11 +1,12 @@
 """Operator 3, benchmark decontamination: MinHash containment search, JVM-side throughout.
 
 Containment of an item in a document is the share of the item's distinct 5-word shingles that the document has.
-Sides differ in size by orders of magnitude. A partition of items by size is replaced by one sketch length per item
-(size_class is told, but nothing is joined or bounded by it): of an item with s shingles at most s - ceil(0.75 s) can be missing, so one of its
-s - ceil(0.75 s) + 1 least hashes (its MinHash values under one permutation, the bottom-k form) is in every
-document that contains it. Documents look their own values up among those of items not too large for them;
-nothing is lost, however long a document is. Candidates are verified by their shingles as words.
+Sides differ in size by orders of magnitude. Of an item with s shingles at most s - ceil(0.75 s) can be missing, so one
+of its s - ceil(0.75 s) + 1 least hashes (its MinHash values under one permutation, the bottom-k form) is in every
+document that contains it. Items are partitioned by size, in powers of two. The greatest hash in the sketches of a
+partition is the bound up to which documents are sketched for it, and its least need is the size from which a
+document is: a document's sketch is its hashes up to the largest bound of the partitions that it has room for. Nothing
+is lost, however long a document is. Candidates are verified by their shingles as words.
 
 Defined results: a null or empty text, or one shorter than any item, contains nothing. An item with fewer than
 five words is one shingle of all its words, looked for among runs of as many words; an item without words is
@@ -15,14 +16,16 @@ one pair. Columns other than the ids and texts are never read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.llm.common import rows_bound, settle
 
 WORDS = 5
-#: Broadcast of the items' sketches only up to so many rows (about 16 MB); beyond, sketches and documents meet by a shuffle.
+#: The items' sketches are broadcast only up to so many hashes (about 16 MB, and some four times as many shingles); beyond, they meet the documents by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Items whose shingles one row holds when a document is verified.
+ASKED = 256
 
 
 def words(text: str | Column) -> Column:
@@ -44,7 +47,7 @@ def spelled(w: Column, n: int) -> Column:
 
 
 def item_sketches(items: DataFrame, least: float = 0.75, n: int = WORDS) -> DataFrame:
-    """item_id, run (words in a shingle), shingles, need (to be shared) and size_class of every item with words, with its least hashes in ``sketch``."""
+    """item_id, run (words in a shingle), shingles, need (to be shared), size_class (its partition) and sketch (its least hashes) of every item with words."""
     base = items.where("item_id is not null").select("item_id", words(F.coalesce("text", F.lit(""))).alias("w")).where(F.size("w") > 0).distinct()
     run = F.least(F.size("w"), F.lit(n))
     by_run = [F.when(run == k, hashed(F.col("w"), k)) for k in range(1, n)]
@@ -55,27 +58,44 @@ def item_sketches(items: DataFrame, least: float = 0.75, n: int = WORDS) -> Data
     return base.withColumn("sketch", F.slice("h", 1, F.size("h") - F.ceil(F.size("h") * F.lit(least)).cast("int") + 1)).drop("h")
 
 
+def size_partitions(sketches: DataFrame) -> dict[int, list[tuple[int, int]]]:
+    """By run: (least need, greatest hash of a sketch) of every partition of items by size; 64 a run at most."""
+    rows = sketches.groupBy("run", "size_class").agg(F.min("need").alias("need"), F.max(F.array_max("sketch")).alias("bound")).collect()
+    out: dict[int, list[tuple[int, int]]] = {}
+    for r in sorted(rows, key=lambda r: (r["run"], r["size_class"])):
+        out.setdefault(r["run"], []).append((r["need"], r["bound"]))
+    return out
+
+
+def document_sketches(worded: DataFrame, n: int, partitions: list[tuple[int, int]]) -> DataFrame:
+    """doc_id, n_runs and h: the hashes of a document's runs of n words up to the largest bound of the partitions that it has room for."""
+    sized = worded.withColumn("n_runs", F.size("w") - n + 1).where(F.col("n_runs") >= min(need for need, _ in partitions))
+    bound = F.greatest(*(F.when(F.col("n_runs") >= need, F.lit(bound)) for need, bound in partitions), F.lit(None).cast("long"))
+    return sized.select("doc_id", "n_runs", F.explode(F.filter(hashed(F.col("w"), n), lambda h: h <= bound)).alias("h"))
+
+
 def contained(docs: DataFrame, items: DataFrame, *, least: float = 0.75) -> DataFrame:
     """doc_id, item_id, n_item, n_shared, containment of every pair with a containment of ``least`` or more."""
     sketches = settle(item_sketches(items, least), "item-sketches")
-    probes = sketches.select("item_id", "run", "need", "size_class", F.explode("sketch").alias("h"))
+    partitions = size_partitions(sketches)
+    probes = sketches.select("item_id", "run", "need", F.explode("sketch").alias("h"))
     small = rows_bound(probes, BROADCAST_ROWS)
-    lengths = [r["run"] for r in sketches.select("run").distinct().collect()]  # five at most
     body = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     worded = body.select("doc_id", words("text").alias("w"))
     found = None
-    for n in sorted(lengths):
-        own = worded.select("doc_id", F.size("w").alias("n_words"), F.explode(hashed(F.col("w"), n)).alias("h"))
-        sketch = probes.where(F.col("run") == n)
-        part = own.join(F.broadcast(sketch) if small else sketch, "h").where(F.col("n_words") - n + 1 >= F.col("need")).select("doc_id", "item_id").distinct()
+    for n, parts in partitions.items():
+        sketch = probes.where(F.col("run") == n).drop("run")
+        part = document_sketches(worded, n, parts).join(F.broadcast(sketch) if small else sketch, "h").where("n_runs >= need").select("doc_id", "item_id").distinct()
         found = part if found is None else found.union(part)
     if found is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_item int, n_shared int, containment double")
     candidates = settle(found, "item-candidates")
-    asked = candidates.join(sketches.select("item_id", "run", "shingles"), "item_id")
-    per_doc = asked.groupBy("doc_id", "run").agg(F.collect_list(F.struct("item_id", "shingles")).alias("asked"))
+    asked = candidates.join(F.broadcast(sketches) if small else sketches, "item_id").select("doc_id", "item_id", "run", "shingles")
+    # a row holds the shingles of ASKED items at most, whatever a document contains
+    nth = F.row_number().over(Window.partitionBy("doc_id", "run").orderBy("item_id"))
+    per_doc = asked.withColumn("part", F.floor((nth - 1) / ASKED)).groupBy("doc_id", "run", "part").agg(F.collect_list(F.struct("item_id", "shingles")).alias("asked"))
     held = body.join(per_doc, "doc_id").withColumn("w", words("text"))
-    shingles = F.coalesce(*(F.when(F.col("run") == n, spelled(F.col("w"), n)) for n in sorted(lengths)))
+    shingles = F.coalesce(*(F.when(F.col("run") == n, spelled(F.col("w"), n)) for n in partitions))
     held = held.select("doc_id", shingles.alias("own"), "asked")
     counted = held.select("doc_id", F.explode(F.transform("asked", lambda a: F.struct(a["item_id"].alias("item_id"), F.size(a["shingles"]).alias("n_item"), F.size(F.array_intersect("own", a["shingles"])).alias("n_shared")))).alias("x"))
     share = F.col("x.n_shared") / F.col("x.n_item")
