@@ -2,7 +2,7 @@
 
 Every version of every path is addressed by the SHA-256 of its content. A ledger holds the findings of each
 (blob, rule version) pair that was ever scanned; only pairs it lacks are scanned, one text for each blob
-however many paths hold it, and findings are joined back to all paths.
+however many paths hold it, and findings are read from the ledger and joined back to all paths.
 
 Defined results: a null or empty text is the empty blob and has no findings. A null path is returned as such,
 and repeated rows each get their own row. A new rule version makes every pair unseen. Other columns than the
@@ -11,10 +11,12 @@ path and text are never read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import settle, texts
+from tracewright.llm.common import own_path, rows_bound, settle, texts
 from tracewright.llm.spans import Kind, count_of, flat, joined, with_spans
 
 ASSIGN = r"""((?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -29,7 +31,10 @@ MORE = (
     Kind("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", sign="contains(text, 'eyJ')"),
     Kind("url", r"[a-z][a-z0-9+.-]{1,20}://[^\s:@/]{1,64}:[^\s:@/]{1,128}@", sign="contains(text, '://')"),
 )
-RULES_VERSION = "rules-1"
+#: Of the patterns as they stand: a changed one makes every pair unseen.
+RULES_VERSION = "rules-" + hashlib.sha256(repr([(k.name, k.pattern) for k in (*BASE, *MORE)]).encode()).hexdigest()[:12]
+#: Blobs with findings are broadcast up to so many; beyond, they meet the paths by a shuffle, whose skewed side Spark splits.
+BROADCAST_ROWS = 100_000
 LEDGER_SCHEMA = "blob string, rules string, base array<struct<kind:string,start:int,stop:int>>, added array<struct<kind:string,start:int,stop:int>>"
 
 
@@ -47,28 +52,44 @@ def blobs(docs: DataFrame) -> DataFrame:
     return texts(docs).withColumn("blob", blob_of("text"))
 
 
+def read_ledger(spark: SparkSession, ledger: str, rules: str) -> DataFrame:
+    """Findings of the pairs of a rule version, one row a blob; none where the ledger does not exist yet."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(ledger)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], LEDGER_SCHEMA)
+    return spark.read.schema(LEDGER_SCHEMA).parquet(ledger).where(F.col("rules") == rules)
+
+
 def scan(docs: DataFrame, *, ledger: str | None = None, rules: str = RULES_VERSION) -> DataFrame:
-    """doc_id, blob, base and added of every row; what had to be scanned is appended to the Parquet ledger, if one is named."""
+    """doc_id, blob, base and added of every row.
+
+    What the ledger (a Parquet folder; one of this run's own in the shared folder if none is named) lacks is
+    scanned and appended to it; findings of all paths are then read from the ledger. Blobs of earlier runs that no
+    path holds now are left out before anything is shuffled by blob but their addresses.
+    """
     spark = docs.sparkSession
+    ledger = ledger or own_path(spark, "secret-ledger")
     held = blobs(docs)
     paths = settle(held.select("doc_id", "blob"), "secret-paths")
-    unseen = paths.groupBy("blob").agg(F.min("doc_id").alias("reader"))
-    before = None
-    if ledger is not None:
-        before = spark.read.schema(LEDGER_SCHEMA).parquet(ledger).where(F.col("rules") == rules)
-        unseen = unseen.join(before.select("blob"), "blob", "left_anti")
+    wanted = paths.groupBy("blob").agg(F.min("doc_id").alias("reader"))
+    unseen = wanted.join(read_ledger(spark, ledger, rules).select("blob"), "blob", "left_anti")
     one = held.alias("h").join(unseen.alias("u"), (F.col("h.blob") == F.col("u.blob")) & F.col("h.doc_id").eqNullSafe(F.col("u.reader"))).select("h.blob", "h.text")
-    new = settle(scan_texts(one).select("blob", F.lit(rules).alias("rules"), "base", "added"), "secret-ledger").dropDuplicates(["blob"])
-    known = settle(new if before is None else before.unionByName(new).dropDuplicates(["blob"]), "secret-known")  # before the append below
-    if ledger is not None:
-        new.write.mode("append").parquet(ledger)
-    return paths.join(known, "blob").select("doc_id", "blob", "base", "added")
+    new = scan_texts(one).select("blob", F.lit(rules).alias("rules"), "base", "added")
+    new.write.mode("append").option("compression", "zstd").parquet(ledger)
+    known = read_ledger(spark, ledger, rules).where("size(base) + size(added) > 0")
+    known = settle(known.join(wanted.select("blob"), "blob", "left_semi").dropDuplicates(["blob"]), "secret-known")
+    out = paths.join(F.broadcast(known) if rows_bound(known, BROADCAST_ROWS) else known, "blob", "left")
+    none = F.array().cast("array<struct<kind:string,start:int,stop:int>>")
+    return out.select("doc_id", "blob", F.coalesce("base", none).alias("base"), F.coalesce("added", none).alias("added"))
 
 
-def digest(found: DataFrame, base: tuple[Kind, ...] = BASE) -> DataFrame:
+def digest(found: DataFrame, base: tuple[Kind, ...] = BASE, more: tuple[Kind, ...] = MORE) -> DataFrame:
     """The contract's columns."""
     counts = {f"n_{k.name}": count_of("base", k.name) for k in base}
-    return found.select("doc_id", *(c.alias(n) for n, c in counts.items()), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "added")).alias("spans"))
+    place = F.create_map(*(x for i, k in enumerate((*base, *more)) for x in (F.lit(k.name), F.lit(i))))
+    ordered = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("a"), place[s["kind"]].alias("b"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
+    every = F.transform(ordered, lambda s: F.struct(s["kind"].alias("kind"), s["a"].alias("start"), s["stop"].alias("stop")))
+    return found.select("doc_id", *(c.alias(n) for n, c in counts.items()), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(every).alias("spans"))
 
 
 def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
