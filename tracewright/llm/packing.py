@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import columns, of_worker, rows_bound, settle, small_batches, texts
+from tracewright.llm.common import columns, mapped, of_worker, settle, small_batches, texts
 
 CAPACITY = 2048
 PIECES_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -29,6 +29,8 @@ PIECES_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long
 CACHE_CHUNKS, CACHE_CHARS = 700_000, 48
 #: Ranks are dealt in buckets of about so many pieces, so a common length is not one task's work.
 BUCKET_ROWS = 8_192
+#: Ranks of a length that meet a plan too large to broadcast at a time.
+CHUNK = 1 << 18
 
 
 def default_tokenizer() -> str:
@@ -43,9 +45,15 @@ class ChunkIds:
     Such a tokenizer gives a text the ids of its white-space chunks in order, so each distinct chunk is encoded
     once for a worker process; ``join`` returns packed little-endian unsigned 32-bit ids. The tokenizer also
     ignores case and keeps a run of punctuation apart from letters and digits before it, so chunks are looked
-    up in lower case, and a chunk that is new as a whole is put together from its head and its tail.
+    up in lower case, and a chunk that is new as a whole is put together from its head and its tail. That a
+    tokenizer is like this is tried on PROBES when it is loaded; any other gets whole texts.
     """
 
+    PROBES = (
+        b"Ab cD  e.f, (g) h!? 1,234.5 x", "Été über\tNAÏVE\n\nstraße.\r\n İI 😀!! 中文 end".encode(),
+        b"word. word, word; word) word] word\" &&& a&&& b%%% $$$c *** d***", b" lead", b"trail ", b"a\x0bb\x0cc", b"don't can't we'll it's 'quoted'", b"-- a-b_c/d\\e @f #g",
+    )
+
     #: Punctuation that can be split off behind a letter or digit.
     TAIL = b".,;:!?|&$#%*\")]}"
 
@@ -57,12 +65,23 @@ class ChunkIds:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # tokens that end a word; none if the tokenizer does not mark them
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.apart = self._holds()
 
     @classmethod
     def of_worker(cls, path: str) -> ChunkIds:
         """One for all tasks that a worker process runs."""
         return of_worker(f"chunk ids {path}", lambda: cls(path))
 
+    def _whole(self, bodies: list[bytes]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([b.decode() for b in bodies], add_special_tokens=False)]
+
+    def _holds(self) -> bool:
+        """Whether PROBES get the same ids by chunks as whole."""
+        self.apart = True
+        held = self.join([*self.PROBES]) == self._whole([*self.PROBES])
+        self.known, self.older = {}, {}
+        return held
+
     def _encode(self, chunks: list[bytes]) -> None:
         """Chunks that are one word of letters, or one run of punctuation, are encoded many in one text: a word's last token says that it is."""
         one = [c for c in chunks if c.isalpha() or not c.strip(self.TAIL) or c.decode().isalpha()]
@@ -108,6 +127,8 @@ class ChunkIds:
             known[c] = known[head] + known[tail]
 
     def join(self, bodies: list[bytes]) -> list[bytes]:
+        if not self.apart:
+            return self._whole(bodies)
         split = [(b if b"<|" in b else b.lower()).split() for b in bodies]  # special tokens are told by their case
         if len(self.known) > CACHE_CHUNKS:
             self.known, self.older = {}, self.known
@@ -136,7 +157,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iter
 
 def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """The pieces of every document, in one pass without a shuffle."""
-    return texts(docs).mapInArrow(lambda it: _pieces(it, tokenizer, capacity), PIECES_SCHEMA)
+    return mapped(texts(docs), lambda it: _pieces(it, tokenizer, capacity), PIECES_SCHEMA)
 
 
 Run = tuple[int, int, int, int, int, int]
@@ -195,26 +216,34 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[Run]
     return runs, sequences
 
 
-def ranked(pieces: DataFrame, total: int) -> DataFrame:
-    """pieces with rank: 0, 1, ... within each length. Ranks are counted in buckets and shifted by the counts of the buckets before."""
-    buckets = max(1, -(-total // BUCKET_ROWS))
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+def ranked(pieces: DataFrame, histogram: dict[int, int]) -> DataFrame:
+    """pieces with rank: 0, 1, ... within each length.
+
+    Pieces of a length are dealt by row into as many buckets as their count asks for, ranks are counted in buckets
+    and shifted by the counts of the buckets before. Rows are numbered, so ties, null and repeated ids are dealt alike.
+    """
+    dealing = pieces.sparkSession.createDataFrame([(n, -(-count // BUCKET_ROWS)) for n, count in histogram.items()], "length long, buckets long")
+    dealt = pieces.join(F.broadcast(dealing), "length").withColumn("bucket", F.pmod(F.xxhash64("row"), F.col("buckets"))).drop("buckets")  # a row for each length, at most ``capacity``
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     shifts = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n")).select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
-    own = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece"))
-    return dealt.withColumn("own", own).join(shifts, ["length", "bucket"]).withColumn("rank", F.col("shift") + F.col("own") - 1).drop("own", "shift", "bucket")
+    own = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("row"))
+    return dealt.withColumn("own", own).join(shifts, ["length", "bucket"]).withColumn("rank", F.col("shift") + F.col("own") - 1).drop("own", "shift", "bucket", "row")
 
 
 def pack(docs: DataFrame, *, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece."""
     spark = docs.sparkSession
-    pieces = settle(cut(docs, tokenizer or default_tokenizer(), capacity), "pieces")
+    pieces = settle(cut(docs, tokenizer or default_tokenizer(), capacity).withColumn("row", F.monotonically_increasing_id()), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
     runs, _ = plan(histogram, capacity)
     slots = spark.createDataFrame(runs, "length long, r0 long, n long, first_sequence long, each long, first_offset long")
-    if rows_bound(slots, 64 * capacity):  # runs grow with the number of lengths, not with the corpus
-        slots = F.broadcast(slots)
-    placed = ranked(pieces, sum(histogram.values())).join(slots, "length").where("rank >= r0 and rank < r0 + n")
+    placed = ranked(pieces, histogram)
+    if len(runs) <= 64 * capacity:  # runs grow with the number of lengths, not with the corpus
+        placed = placed.join(F.broadcast(slots), "length")
+    else:  # a length's pieces meet its runs by CHUNK ranks at a time
+        chunks = F.sequence(F.floor(F.col("r0") / CHUNK), F.floor((F.col("r0") + F.col("n") - 1) / CHUNK))
+        placed = placed.withColumn("chunk", F.floor(F.col("rank") / CHUNK)).join(slots.withColumn("chunk", F.explode(chunks)), ["length", "chunk"]).drop("chunk")
+    placed = placed.where("rank >= r0 and rank < r0 + n")
     nth = F.col("rank") - F.col("r0")
     return placed.select(
         "doc_id", "piece", "start", "length", "ids_crc32",
