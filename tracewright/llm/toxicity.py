@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import columns, held_out, small_batches, texts
+from tracewright.llm.common import columns, hash_share, held_out, mapped, settle, small_batches, texts
 
 TRIM = b" .,;:!?|&$#%*()[]{}<>\"'`~^=+/\\-_"
 
@@ -147,7 +147,7 @@ def _counted(rows: DataFrame, folds: int, least_docs: int) -> DataFrame:
     ``docs`` are toxic documents, where texts copied from each other count as one. Only what stands in least_docs of them is
     returned, and the stem of no letters, which has the totals.
     """
-    used = rows.mapInArrow(_contexts, "token binary, before long, toxic int, doc_id long, folds int").groupBy("token", "before", "toxic").agg(F.min("doc_id").alias("doc_id"), F.bit_or("folds").alias("folds"))
+    used = mapped(rows, _contexts, "token binary, before long, toxic int, doc_id long, folds int").groupBy("token", "before", "toxic").agg(F.min("doc_id").alias("doc_id"), F.bit_or("folds").alias("folds"))
     views = {"": F.lit(True)} | {f"_{k}": F.col("folds").bitwiseAND(((1 << folds) - 1) ^ (1 << k)) != 0 for k in range(folds)}
     sides = [x + v for v in views for x in ("clean", "toxic")]
     count = [F.count_if((F.col("toxic") == int(x == "toxic")) & seen).alias(x + v) for v, seen in views.items() for x in ("clean", "toxic")]
@@ -174,14 +174,14 @@ def weigh(clean: np.ndarray, toxic: np.ndarray, n0: float, n1: float, *, prior:
 
 
 def _learn(model: Model, table, view: str, least_docs: int) -> Model:
-    """The model with the weights of one view of the counts: what leans to toxic by more than the drift."""
+    """The model with the signed weights of one view of the counts; what leans to toxic by less than the drift keeps none."""
     total = table[table["stem"] & (table["token"].map(len) == 0)]
     n0, n1 = float(total[f"clean{view}"].sum()), float(total[f"toxic{view}"].sum())
     if not n0 or not n1:
         return replace(model, weights={}, stems={})
     some = table[(table[f"docs{view}"] >= least_docs) & (table["token"].map(len) > 0)]
     found = weigh(some[f"clean{view}"].to_numpy(float), some[f"toxic{view}"].to_numpy(float), n0, n1)
-    good = [(bytes(t), stem, float(w)) for t, stem, w in zip(some["token"], some["stem"], found) if w > model.drift]
+    good = [(bytes(t), stem, float(w)) for t, stem, w in zip(some["token"], some["stem"], found) if w > model.drift or w < 0]
     return replace(model, weights={t: w for t, stem, w in good if not stem}, stems={t.decode("utf-8", "replace"): w for t, stem, w in good if stem})
 
 
@@ -215,12 +215,12 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, most_rows: int = 12_000, least_docs: int = 3, folds: int = 3) -> Model:
-    """A model from at most most_rows labelled rows that are not held out."""
+    """A model from about most_rows labelled rows at most that are not held out, those first by a hash of doc_id."""
     model = Model()
-    marked = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
+    marked = settle(labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "toxic-labels")
+    chosen = hash_share(marked, most_rows)
     fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(folds)).cast("int")
-    rows = texts(docs).join(F.broadcast(chosen), "doc_id").withColumn("fold", fold)  # bounded by most_rows
+    rows = settle(texts(docs).join(F.broadcast(chosen), "doc_id").withColumn("fold", fold), "toxic-rows")  # chosen is bounded by most_rows
     table = _counted(rows, folds, least_docs).toPandas()
     total = table[table["token"].map(len) == 0]
     if not total["toxic"].sum() or not total["clean"].sum():
@@ -229,7 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, most_rows: int = 12_000, least_do
         return model
     apart = [_learn(model, table, f"_{k}", least_docs) for k in range(folds)]
     model = _learn(model, table, "", least_docs)
-    seen = rows.mapInArrow(lambda it: _learn_rows(it, apart), "toxic int, n long, scores array<double>, hits array<double>").toPandas()
+    seen = mapped(rows, lambda it: _learn_rows(it, apart), "toxic int, n long, scores array<double>, hits array<double>").toPandas()
     clean = seen[seen["toxic"] == 0]
     hits, times = np.unique(np.concatenate([*clean["hits"], np.zeros(0)]), return_counts=True)
     n = int(clean["n"].sum())
@@ -279,7 +279,7 @@ def _scan(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Record
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score and passages (token places, score, E) of every text, without a shuffle."""
-    return texts(docs).mapInArrow(lambda it: _scan(it, model), f"doc_id long, score double, passages {SEGMENTS}")
+    return mapped(texts(docs), lambda it: _scan(it, model), f"doc_id long, score double, passages {SEGMENTS}")
 
 
 def digest(scored: DataFrame) -> DataFrame:
