@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import columns, held_out, of_worker, small_batches, texts
+from tracewright.llm.common import columns, held_out, mapped, of_worker, settle, small_batches, texts
 
 BITS = 16
 #: Words that a segment of the two-level forward-backward holds.
@@ -312,20 +312,37 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lang.tolist(), pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(counts.astype(np.int64)), pa.array(switched.astype(np.int64))], ["doc_id", "lang_pred", "score", "n_words", "n_switched"])
 
 
-def fit(docs: DataFrame, *, most_docs: int = 3_000) -> Model | None:
-    """A model from at most most_docs labelled documents that are not held out."""
-    able = docs.where("lang is not null and doc_id is not null and text is not null").where(~held_out())
-    chosen = able.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs)
-    rows = able.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # bounded by most_docs
+def fit(docs: DataFrame, *, most_docs: int = 3_000, most_bytes: int = 65_536) -> Model | None:
+    """A model from about most_docs labelled documents at most that are not held out, an even share of each language (all of a rare one), first by a hash of doc_id.
+
+    Texts over most_bytes are not learnt from: with most_docs that bounds what the driver gets.
+    """
+    able = docs.where("lang is not null and doc_id is not null and text is not null").where(~held_out()).where(F.octet_length("text") <= most_bytes)
+    labelled = settle(able.groupBy("doc_id").agg(F.min("lang").alias("lang")), "lang-labels")
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    each, left = even_share(counts, most_docs), F.lit(False)
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    for lang, n in counts.items():
+        left = left | ((F.col("lang") == lang) & (h < int((1 << 40) * min(1.0, each / n))))
+    chosen = F.broadcast(labelled.where(left))  # bounded by most_docs
+    rows = able.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("lang").alias("lang"))
     sample = rows.orderBy("doc_id").select("text", "lang").toPandas()
     return train([t.encode() for t in sample["text"]], list(sample["lang"]))
 
 
+def even_share(counts: dict[str, int], most: int) -> float:
+    """So many of each language make ``most`` in all, where the rare ones have fewer."""
+    rest = sorted(counts.values())
+    while rest and rest[0] <= most / len(rest):
+        most -= rest.pop(0)
+    return most / len(rest) if rest else float(max(counts.values(), default=0))
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score, n_words (runs of letters) and n_switched (words labelled with another language)."""
     if model is None:
         return texts(docs).select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_switched"))
-    return texts(docs).mapInArrow(lambda it: _predict(it, model), "doc_id long, lang_pred string, score double, n_words long, n_switched long")
+    return mapped(texts(docs), lambda it: _predict(it, model), "doc_id long, lang_pred string, score double, n_words long, n_switched long")
 
 
 def digest(predicted: DataFrame) -> DataFrame:
