@@ -2,6 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes and rereads for the next one.
 All but the last keep the columns of documents.
+An empty table gives an empty result, other columns than those of documents are dropped at the first stage, and nulls
+stand for empty texts; what each stage does with ties and repeated rows is said there.
 """
 
 from __future__ import annotations
@@ -19,24 +21,29 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rule or the learned decision list rejects go."""
-    stats = settle(quality.text_stats(docs), "quality-stats")
-    rules = quality.fit(stats, table(spark, sf_dir, "labels"))
-    return kept(docs, quality.judge(stats, rules).where("not kept").select("doc_id"))
+    """Documents that the base rule or the learned decision list rejects go: of empty and short texts all, of very long ones those that the rules reject as a whole."""
+    return quality.filtered(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays."""
-    return kept(docs, jaccard.link(docs).where("component_id <> doc_id").select("doc_id"))
+    """Of each group of linked rows one stays: that with the smallest doc_id (without one only if none has any), of repeated rows the first. Rows without words link with nothing and stay."""
+    rows = numbered(docs)
+    linked = settle(jaccard.link(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id"), "pipeline-linked")
+    several = linked.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
+    members = settle(linked.join(several, "component_id").join(rows.select("row", "doc_id"), "row"), "pipeline-groups")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
+    return kept(rows, members.join(first, "component_id").where("row <> first.row").select("row"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
-    return kept(docs, decontam.contained(docs, table(spark, sf_dir, "benchmark")).select("doc_id"))
+    """Rows whose text contains a benchmark item go, with or without a doc_id."""
+    rows = numbered(docs)
+    found = decontam.contained(rows.select(F.col("row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return kept(rows, found.select(F.col("doc_id").alias("row")))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in texts are replaced by a mark; findings meet texts by content."""
+    """Secrets in texts are replaced by a mark; findings meet texts by content, so every row of a text gets them."""
     found = secrets.scan(docs).withColumn("secrets", F.concat("base", "added")).where(F.size("secrets") > 0)
     found = settle(found.select("blob", "secrets").dropDuplicates(["blob"]), "secrets")
     held = docs.select(*COLUMNS).withColumn("blob", secrets.blob_of("text"))
@@ -47,14 +54,19 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences."""
+    """The pieces of all rows with their places in sequences; an empty text is a separator alone."""
     return packing.pack(docs)
 
 
-def kept(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """docs without the rejected doc_ids, which are broadcast up to a checked size. A row without a doc_id is judged by nobody and stays; rows that share one stay or go together."""
-    rejected = settle(rejected.where("doc_id is not null").distinct(), "rejected")
-    return docs.select(*COLUMNS).join(F.broadcast(rejected) if rows_bound(rejected, 1_000_000) else rejected, "doc_id", "left_anti")
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row, so that rows without a doc_id and rows that share one are judged each. A stage reads files that do not change, so its rows keep their numbers however often they are read."""
+    return docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row"))
+
+
+def kept(rows: DataFrame, rejected: DataFrame) -> DataFrame:
+    """rows without the rejected row numbers, which are broadcast up to a checked size."""
+    rejected = settle(rejected.distinct(), "rejected")
+    return rows.join(F.broadcast(rejected) if rows_bound(rejected, 1_000_000) else rejected, "row", "left_anti").select(*COLUMNS)
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -64,7 +76,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("secret scans", secret_scans),
     ("best-fit packing", best_fit_packing),
 ]
-#: Learned rules, components and tokenizers are beyond SQL; the tests cover columns, falling row counts and one secret pattern of the stages, but compare the rows of run() with nothing.
+#: Learned rules, components and tokenizers are beyond SQL; tests/llm/test_pipeline.py compares the rows of run() with a brute-force version of all five stages.
 ORACLE_SQL = None
 
 
