@@ -22,6 +22,23 @@ def test_many_near_copies_and_a_common_passage(spark):
     assert got == components(data)
 
 
+def test_links_of_a_driver_table_match_all_pairs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    data = [(r.doc_id, r.text) for r in docs.collect()]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link(docs).collect()}
+    assert got == components(data)
+    assert any(c != i for i, (_, c) in got.items())
+
+
+def test_many_ranges_and_long_lists_in_parts(spark, monkeypatch):
+    """Counts are split into more ranges, lists are met in parts, and the map of frequent shingles is too small for all."""
+    for name, value in (("SUM_KEYS", 4), ("PART", 3), ("MAP_BITS", (6, 6))):
+        monkeypatch.setattr(jaccard, name, value)
+    data = rows(n=60)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link(frame(spark, data), frequent_from=2).collect()}
+    assert got == components(data)
+
+
 def test_link_awkward_rows(spark):
     d = awkward(spark)
     got = jaccard.link(d).collect()

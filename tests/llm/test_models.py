@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 
 from tests.llm.helpers import awkward, frame, rows
-from tracewright.llm import langid, lmscore, packing, quality, toxicity
+from tracewright.llm import langid, lmscore, packed, packing, quality, toxicity
 
 
 def test_text_statistics(spark):
@@ -118,7 +118,7 @@ def test_backoff_scores_match_brute_force(spark):
 
 def test_pack_numbers():
     for x in (np.array([], np.uint64), np.array([0, 1, 255, 256, 2**40, 2**64 - 1], np.uint64)):
-        assert (lmscore.unpack(lmscore.pack(x)) == x).all()
+        assert (packed.unpack(packed.pack(x)) == x).all()
 
 
 def test_posteriors_are_exact():

@@ -18,7 +18,7 @@ SPACES = b" \t\n\x0b\x0c\r"
 #: A share of rows this large may have one key, so hot groups are dealt by (key, row) hashes.
 HELD_OUT_MOD = 3
 #: Bytes of an Arrow batch between the JVM and a Python worker; Spark's own bound of 64 MB would be held on both sides for each core.
-ARROW_BYTES = 4 << 20
+ARROW_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,7 +101,7 @@ def release() -> None:
         trim(0)
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterator[pa.RecordBatch], most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about most_bytes of text, however long single texts are."""
     for batch in batches:
         size = batch.nbytes

@@ -26,7 +26,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import columns, settle, small_batches, texts
+from tracewright.llm.common import columns, mapped, settle, small_batches, texts
+from tracewright.llm.packed import pack, unpack
 from tracewright.llm.shingles import WordHashes, ngrams, words_of
 
 BLOCK_BYTES = 12 << 20
@@ -34,23 +35,6 @@ BLOCK_BYTES = 12 << 20
 RANGE_WORDS = 1 << 20
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Unsigned numbers as byte planes, without the planes that are zero, entropy-coded: high planes take few bits."""
-    planes = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8).T
-    keep = 8
-    while keep > 1 and not planes[keep - 1].any():
-        keep -= 1
-    return bytes([keep]) + zstandard.ZstdCompressor(level=1).compress(planes[:keep].tobytes())
-
-
-def unpack(data: bytes) -> np.ndarray:
-    keep = data[0]
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(keep, -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, :keep] = planes.T
-    return out.view("<u8").ravel()
-
-
 def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
     ids, bodies, size = [], [], 0
 
@@ -163,7 +147,7 @@ def _score(block: pa.Table, answers: pa.Table, order: int, bits: int, n_words: i
 
 def score(docs: DataFrame, *, order: int = 3, backoff: float = 0.4, min_count: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, log_score (sum of natural logs) and n_full (words scored without backing off) of every row."""
-    blocks = settle(texts(docs).mapInArrow(lambda it: _blocks(it, block_bytes), "block long, ids array<long>, lengths array<long>, n_words long, body binary"), "lm-blocks")
+    blocks = settle(mapped(texts(docs), lambda it: _blocks(it, block_bytes), "block long, ids array<long>, lengths array<long>, n_words long, body binary"), "lm-blocks")
     n_words = blocks.agg(F.sum("n_words")).first()[0] or 0
     bits = min(64, max(1, n_words).bit_length() + 24)
     range_bits = max(0, (max(1, n_words) // RANGE_WORDS).bit_length())

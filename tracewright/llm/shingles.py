@@ -16,7 +16,7 @@ _C1, _C2, _S = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.
 class WordHashes(dict):
     """word -> 64-bit hash, remembered for as many words as fit."""
 
-    most = 250_000
+    most = 120_000
 
     @classmethod
     def of_worker(cls) -> WordHashes:
@@ -30,6 +30,22 @@ class WordHashes(dict):
         return h
 
 
+class Met:
+    """Which 64-bit numbers came before, as far as a table of fixed size (SLOTS times 8 bytes) remembers: a newer number takes the place of an older one with the same slot."""
+
+    SLOTS = 1 << 18
+
+    def __init__(self) -> None:
+        self.table = np.zeros(self.SLOTS, np.int64)
+
+    def before(self, x: int) -> bool:
+        at = x & (self.SLOTS - 1)
+        if self.table[at] == x:
+            return True
+        self.table[at] = x
+        return False
+
+
 def words_of(text: bytes) -> list[bytes]:
     """A-Z in lower case, words as runs of bytes other than the six white-space bytes."""
     return text.lower().split()

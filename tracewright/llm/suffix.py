@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import columns, rows_bound, settle, small_batches, texts
+from tracewright.llm.common import columns, mapped, rows_bound, settle, small_batches, texts
 
 #: Bytes of a removable string, of the gram that a sampled suffix begins with, and strings in a run of round 2.
 LENGTH, GRAM, RUN = 100, 32, 8
@@ -327,7 +327,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     buckets = max(2, -(-total // BUCKET))
 
     def entries(rows: DataFrame, make: Callable, schema: str, s: Splitters) -> DataFrame:
-        return rows.mapInArrow(lambda it: make(it, s), schema)
+        return mapped(rows, lambda it: make(it, s), schema)
 
     none = np.zeros((0, 4), np.uint64)
     share = SAMPLE / total
@@ -354,7 +354,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (array of a, b), kept_sha256 and kept (the remaining bytes) of every row."""
     marks = settle(repeats(docs).groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "suffix-spans")
     schema = "doc_id long, n_bytes long, n_removed long, spans array<struct<a:long,b:long>>, kept_sha256 string, kept binary"
-    return _with_marks(texts(docs), marks, "spans", "left").mapInArrow(_cut, schema)
+    return mapped(_with_marks(texts(docs), marks, "spans", "left"), _cut, schema)
 
 
 def digest(cut: DataFrame) -> DataFrame:
