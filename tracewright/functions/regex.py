@@ -13,7 +13,8 @@ import re
 W = "[A-Za-z0-9_]"
 BEFORE_WORD, AFTER_WORD = f"(?<!{W})", f"(?!{W})"
 EITHER = f"(?:(?<={W})(?!{W})|(?<!{W})(?={W}))"
-#: White space as scripts see it, for trimming.
+#: White space as scripts see it, for trimming: without the plain space, and with it.
+LONE = r"[\t\n\x0B\f\r\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 SPACE = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tracewright.functions import vocab as V
-from tracewright.functions.regex import SPACE, java
+from tracewright.functions.regex import LONE, SPACE, java
 
 Text = Column | str
 
@@ -26,12 +26,53 @@ def trim(x: Text) -> Column:
     return F.regexp_replace(F.regexp_replace(col(x), f"^{SPACE}+", ""), f"{SPACE}+\\z", "")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _has(*parts: str) -> Callable[[Column], Column]:
+    def sign(text: Column) -> Column:
+        out = F.contains(text, F.lit(parts[0]))
+        for p in parts[1:]:
+            out = out | F.contains(text, F.lit(p))
+        return out
+
+    return sign
+
+
+def _like(pattern: str) -> Callable[[Column], Column]:
+    return lambda text: text.rlike(pattern)
+
+
+#: For each pattern of SECRET_PATTERNS and PII_PATTERNS what a text must have to match, found without the pattern. The
+#: mark that takes the place of a match has none of it, so a sign of the first text holds for what becomes of it.
+SIGNS = (
+    _has("-----BEGIN "), _has("sk-"), _has("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), _has("github_pat_"), _has("AKIA"), _has("xox"), _has("eyJ"), _has(":", "="),
+    _like("[A-Fa-f0-9]{12}"), _like(r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{40}"), _has("k_live_", "k_test_"), _has("ASIA"), _has("glpat-"),
+    _has("@"), _like(r"[0-9]\.[0-9]"), _like(r"[0-9][0-9\s().\-]{7}"), _has("http"), _has("/"), _has(":\\"), _has("\\\\"), _like("[A-Z]{2}[0-9]{2}"),
+)
+
+
+def signed_patterns() -> list[tuple[str, Callable[[Column], Column]]]:
+    """The patterns of secrets and personal data in order, each with its sign."""
+    return list(zip((*V.SECRET_PATTERNS, *V.PII_PATTERNS), SIGNS, strict=True))
+
+
 def scrub(x: Text) -> Column:
     """Secrets, then personal data, one pattern after the other, become a mark; white space collapses. Null becomes ''."""
-    out = F.coalesce(col(x), F.lit(""))
-    for p in (*V.SECRET_PATTERNS, *V.PII_PATTERNS):
-        out = F.regexp_replace(out, java(p), V.REDACTED.replace("[", "\\[").replace("]", "\\]"))
-    return F.trim(F.regexp_replace(out, f"{SPACE}+", " "))
+    first = F.coalesce(col(x), F.lit(""))
+    mark = V.REDACTED.replace("[", "\\[").replace("]", "\\]")
+    held = F.array(first)
+    for p, sign in signed_patterns():
+        held = F.transform(held, _replacing(sign(first), java(p), mark))
+    # a lone space stays as it is
+    tidy = F.transform(held, lambda v: F.regexp_replace(v, f"{LONE}{SPACE}*| {SPACE}+", " "))
+    return F.trim(F.get(tidy, F.lit(0)))
+
+
+def _replacing(sign: Column, pattern: str, mark: str) -> Callable[[Column], Column]:
+    return lambda v: F.when(sign, F.regexp_replace(v, pattern, mark)).otherwise(v)
 
 
 def has_code(x: Text) -> Column:
@@ -84,6 +125,17 @@ def hmac12(salt: str, value: Text) -> Column:
     return F.substring(F.sha2(F.concat(outer, F.unhex(F.sha2(body, 256))), 256), 1, 12)
 
 
+def counted(values: Column) -> Column:
+    """Distinct values of an array that are not null, sorted, each with its number ``n``: one sort and one pass."""
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
+        ends = lambda at: F.slice(F.concat(F.slice(at, F.lit(2), F.greatest(F.size(at) - 1, F.lit(0))), F.array(F.size(s))), F.lit(1), F.size(at))
+        return let(starts, lambda at: F.zip_with(at, ends(at), lambda a, b: F.struct(F.get(s, a).alias("value"), (b - a).alias("n"))))
+
+    return let(F.array_sort(F.array_compact(values)), runs)
+
+
 def first_case(pairs: list[tuple[Column, object]], default: object) -> Column:
     """The value of the first condition that holds."""
     out = None

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewright.functions import vocab as V
 from tracewright.functions.scalars import domain_of_extensions, extension, general_tool
-from tracewright.functions.text import Text, col, matches, scrub
+from tracewright.functions.text import Text, col, counted, matches, scrub
 
 
 def ask_category(ask: Text, editing: Column) -> Column:
@@ -42,14 +44,14 @@ def deterministic_labels(sessions: DataFrame) -> DataFrame:
         "activity_category": F.coalesce(ask_category("ask", editing), tool_mix_category(F.col("tools_used"))),
         "domain": domain_of_extensions(lambda e: F.arrays_overlap("ends", F.array(*map(F.lit, e)))),
         "classifier": F.lit("deterministic"), "extractor_version": F.lit(V.EXTRACTOR_VERSION), "classify_cost_usd": F.lit(0.0),
-        "facts": F.array().cast("array<struct<k:string,v_num:double,v_str:string>>"),
+        "facts": F.array().cast(FACTS),
     }).drop("ask", "ends")
 
 
 def histogram(calls: Column) -> Column:
     """name:count of generalised tool names, most frequent first, then by name without regard to case."""
     names = F.transform(F.filter(calls, lambda t: t["name"].isNotNull()), lambda t: general_tool(t["name"]))
-    rows = F.transform(F.array_distinct(names), lambda n: F.struct((-F.size(F.filter(names, lambda m: m == n))).alias("n"), F.lower(n).alias("by"), n.alias("name")))
+    rows = F.transform(counted(names), lambda x: F.struct((-x["n"]).alias("n"), F.lower(x["value"]).alias("by"), x["value"].alias("name")))
     shown = F.array_join(F.transform(F.array_sort(rows), lambda r: F.concat(r["name"], F.lit(":"), (-r["n"]).cast("string"))), ", ")
     return F.coalesce(F.nullif(shown, F.lit("")), F.lit("none"))
 
@@ -86,8 +88,25 @@ def extract_json(text: Text) -> Column:
     return F.coalesce(F.try_parse_json(t), F.try_parse_json(F.nullif(inner, F.lit(""))))
 
 
+FACTS = "array<struct<k:string,v_num:double,v_str:string>>"
+
+
+def facts_of(payload: Column) -> Column:
+    """The facts of an answer as the gate takes them: keys that are texts, numbers as numbers, anything else as text. Not judged here."""
+
+    def fact(e: Column) -> Column:
+        v = F.variant_get(e, "$.v", "variant")
+        kind = F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
+        number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+        text = F.when(kind == "STRING", F.try_variant_get(e, "$.v", "string")).when(~number & (kind != "VOID"), F.to_json(v))
+        return F.struct(F.try_variant_get(e, "$.k", "string").alias("k"), F.when(number, F.try_variant_get(e, "$.v", "double")).alias("v_num"), text.alias("v_str"))
+
+    given = F.coalesce(F.try_variant_get(payload, "$.facts", "array<variant>"), F.array().cast("array<variant>"))
+    return F.transform(F.filter(given, lambda e: F.coalesce(F.schema_of_variant(e).startswith("OBJECT"), F.lit(False))), fact).cast(FACTS)
+
+
 def parse_answer(text: Text) -> Column:
-    """activity_category, domain, local_intent, cost_usd of a classifier's answer; null if it has neither label. Unknown labels become other."""
+    """activity_category, domain, local_intent, cost_usd and facts of a headless classifier's answer; null if it has neither label. Unknown labels become other."""
     outer = extract_json(text)
     at = lambda v, p, t="string": F.try_variant_get(v, p, t)
     is_object = lambda v: F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
@@ -99,10 +118,43 @@ def parse_answer(text: Text) -> Column:
     has = (F.coalesce(at(payload, "$.activity_category"), F.lit("")) != "") | (F.coalesce(at(payload, "$.domain"), F.lit("")) != "")
     return F.when(has, F.struct(
         member("$.activity_category", V.ACTIVITY_CATEGORIES).alias("activity_category"), member("$.domain", V.DOMAINS).alias("domain"),
-        F.left(F.coalesce(at(payload, "$.local_intent"), F.lit("")), F.lit(120)).alias("local_intent"), F.when(cost > 0, cost).otherwise(0.0).alias("cost_usd"),
+        F.left(F.coalesce(at(payload, "$.local_intent"), F.lit("")), F.lit(120)).alias("local_intent"), F.when(cost > 0, cost).otherwise(0.0).alias("cost_usd"), facts_of(payload).alias("facts"),
     ))
 
 
+def parse_api_answer(text: Text) -> Column:
+    """The same of an API's answer: the input of its first tool call, with labels as they come (the gate judges them) and no cost; null if there is none."""
+    outer = F.try_parse_json(F.coalesce(col(text), F.lit("")))
+    blocks = F.coalesce(F.try_variant_get(outer, "$.content", "array<variant>"), F.array().cast("array<variant>"))
+    call = F.get(F.filter(blocks, lambda b: F.coalesce(F.try_variant_get(b, "$.type", "string") == "tool_use", F.lit(False))), F.lit(0))
+    given = F.variant_get(call, "$.input", "variant")
+    at = lambda p: F.try_variant_get(given, p, "string")
+    return F.when(F.coalesce(F.schema_of_variant(given).startswith("OBJECT"), F.lit(False)), F.struct(
+        at("$.activity_category").alias("activity_category"), at("$.domain").alias("domain"), F.coalesce(at("$.intent_summary"), F.lit("")).alias("local_intent"),
+        F.lit(0.0).alias("cost_usd"), facts_of(given).alias("facts"),
+    ))
+
+
+def api_request(content: Text, model: str = "claude-haiku-4-5", most_tokens: int = 300) -> Column:
+    """The JSON body of a classification request: one tool that must be called, with the labels as enumerations, and the condensed session as the only message."""
+    text = lambda said: {"type": "string", "description": said}
+    fact = {"type": "object", "required": ["k", "v"], "properties": {"k": {"type": "string", "enum": list(V.FACT_KEYS)}, "v": {"description": "A number, or up to 120 characters without names, paths, code, secrets or personal data."}}}
+    schema = {
+        "type": "object", "required": ["activity_category", "domain", "intent_summary"],
+        "properties": {
+            "activity_category": {"type": "string", "enum": list(V.ACTIVITY_CATEGORIES)}, "domain": {"type": "string", "enum": list(V.DOMAINS)},
+            "intent_summary": text("The kind of task in one neutral phrase of up to 120 characters: nothing that names people, firms, products, files, addresses or code."),
+            "facts": {"type": "array", "items": fact, "description": "Each key once at most, and only where the session shows it. A verdict begins with win, partial or loss."},
+        },
+    }
+    fixed = {
+        "model": model, "max_tokens": most_tokens, "system": "Label one coding session by calling the tool. What you write may become public: keep it general.",
+        "tools": [{"name": "record_usage", "description": "Labels of one session.", "input_schema": schema}], "tool_choice": {"type": "tool", "name": "record_usage"},
+    }
+    message = F.to_json(F.struct(F.lit("user").alias("role"), F.coalesce(col(content), F.lit("")).alias("content")))
+    return F.concat(F.lit(json.dumps(fixed)[:-1] + ', "messages": ['), message, F.lit("]}"))
+
+
 def classification_mode(classify: Text, api_key: Text) -> Column:
     return F.when(col(classify) == "off", "off").when(F.coalesce(col(api_key), F.lit("")) != "", "on (api-key override)").otherwise("on (headless)")
 
@@ -112,28 +164,37 @@ def probe(status: Text, failure: Text) -> Column:
     return F.when(col(failure).isNotNull(), F.concat(F.lit("unreachable ("), col(failure), F.lit(")"))).when(col(status).isin(401, 403), "token rejected").otherwise("connected")
 
 
-def classify(labelled: DataFrame, answer: Callable[[str], str] | None = None, classifier: str = "haiku_headless") -> DataFrame:
-    """Sessions with a column ``digest`` get a model's labels where ``answer`` gives some; without it nothing runs and the deterministic ones stay."""
-    if answer is None:
+def classify(labelled: DataFrame, answer: Callable[[str], str] | None = None, api: Callable[[str], str] | None = None) -> DataFrame:
+    """Sessions with a column ``digest`` get a model's labels and facts; without a model nothing runs and the deterministic ones stay.
+
+    The ladder: with ``api`` (a request's body -> the answer's) that alone is asked, else ``answer`` (a digest -> what a
+    headless run printed). Where it fails or says nothing useful the deterministic labels stay. Answers go along with
+    the rows in one pass, so sessions are folded once.
+    """
+    if answer is None and api is None:
         return labelled
+    ask = api or answer
+    asked = labelled.withColumn("asked", api_request(condensed()) if api else F.col("digest"))
 
-    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             said = []
-            for d in f["digest"]:
+            for request in batch.column("asked").to_pylist():
                 try:
-                    said.append(answer(d))
+                    said.append(ask(request))
                 except Exception:  # noqa: BLE001  a failed call leaves the deterministic label
                     said.append(None)
-            yield pd.DataFrame({"session_id": f["session_id"], "answer": said})
+            rest = batch.drop_columns(["asked"])
+            yield rest.append_column("answer", pa.array(said, pa.string()))
 
-    got = labelled.select("session_id", "digest").mapInPandas(ask, "session_id string, answer string").withColumn("a", parse_answer("answer"))
-    out = labelled.join(got.select("session_id", "a"), "session_id", "left")
+    schema = T.StructType([*labelled.schema.fields, T.StructField("answer", T.StringType())])
+    out = asked.mapInArrow(answers, schema).withColumn("a", parse_api_answer("answer") if api else parse_answer("answer"))
     ran = F.col("a").isNotNull()
     return out.withColumns({
         "activity_category": F.when(ran, F.col("a.activity_category")).otherwise(F.col("activity_category")), "domain": F.when(ran, F.col("a.domain")).otherwise(F.col("domain")),
-        "classifier": F.when(ran, classifier).otherwise(F.col("classifier")), "classify_cost_usd": F.when(ran, F.col("a.cost_usd")).otherwise(F.col("classify_cost_usd")),
-    }).drop("a")
+        "facts": F.when(ran, F.col("a.facts")).otherwise(F.col("facts")),
+        "classifier": F.when(ran, "haiku_api" if api else "haiku_headless").otherwise(F.col("classifier")), "classify_cost_usd": F.when(ran, F.col("a.cost_usd")).otherwise(F.col("classify_cost_usd")),
+    }).drop("a", "answer")
 
 
 def model_prompt(digest_text: Text) -> Column:

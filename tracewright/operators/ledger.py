@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.functions import vocab as V
@@ -13,18 +17,38 @@ COST, ERROR = "classify_cost", "classify_error"
 def throttle(df: DataFrame, keys: list[str], ts: str, minutes: int = V.THROTTLE_MINUTES) -> DataFrame:
     """Events that are logged: of each key the first, then each that comes at least so many minutes after the last one logged.
 
-    The last *logged* event decides, so this is a fold over each key's times; keys are as small as one session
-    and kind, and only their times are gathered.
+    The last *logged* event decides, so this is a fold, over rows sorted by key and time: linear, and no key's
+    times are gathered, since what is held is the last row's key and the last time logged.
     """
-    times = df.where(F.col(ts).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(ts)).alias("times"))
-    gap = F.expr(f"interval {minutes} minutes")
-    zero = F.array().cast(df.select(F.array(ts)).schema[0].dataType)
-
-    def step(kept: Column, t: Column) -> Column:
-        last = F.try_element_at(kept, F.lit(-1))
-        return F.when(last.isNull() | (t >= last + gap), F.concat(kept, F.array(t))).otherwise(kept)
-
-    return times.select(*keys, F.explode(F.aggregate("times", zero, step)).alias(ts))
+    rows = df.where(F.col(ts).isNotNull()).select(*keys, ts)
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, ts)
+    return rows.mapInArrow(lambda batches: _spaced(batches, len(keys), minutes * 60_000_000), rows.schema)
+
+
+def _spaced(batches: Iterator[pa.RecordBatch], n_keys: int, gap: int) -> Iterator[pa.RecordBatch]:
+    """Rows (keys, then a time) sorted by both: those whose time is ``gap`` microseconds or more after the last kept one of their key."""
+    key, last = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        times = batch.column(n_keys).cast(pa.timestamp("us", getattr(batch.schema.field(n_keys).type, "tz", None))).cast(pa.int64()).to_numpy()
+        codes = np.stack([_codes(batch.column(i)) for i in range(n_keys)])
+        starts = np.r_[0, np.flatnonzero((codes[:, 1:] != codes[:, :-1]).any(0)) + 1]
+        stops = np.r_[starts[1:], batch.num_rows]
+        first, keep = tuple(batch.column(i)[0].as_py() for i in range(n_keys)), []
+        for a, b in zip(starts.tolist(), stops.tolist()):
+            at = a + int(np.searchsorted(times[a:b], last + gap)) if a == 0 and first == key else a
+            while at < b:
+                keep.append(at)
+                last = int(times[at])
+                at += int(np.searchsorted(times[at:b], last + gap))
+        key = tuple(batch.column(i)[batch.num_rows - 1].as_py() for i in range(n_keys))
+        yield batch.take(pa.array(keep, pa.int64()))
+
+
+def _codes(column: pa.Array) -> np.ndarray:
+    """Equal numbers for equal values of a column; null is a value."""
+    return column.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
 
 
 def entries_of_nudges(nudges: DataFrame) -> DataFrame:
@@ -67,6 +91,11 @@ def newer_error(ledger: DataFrame, order: str = "line_no") -> DataFrame:
     return last.where("error_ts is not null and (cost_ts is null or error_ts > cost_ts)").select("error_ts", "message")
 
 
+def remaining(ids: DataFrame, done: DataFrame) -> DataFrame:
+    """Distinct ids that a ledger does not hold."""
+    return ids.distinct().join(done, ids.columns, "left_anti")
+
+
 def merged(a: DataFrame, b: DataFrame) -> DataFrame:
     """The union of two ledgers of ids."""
     return a.unionByName(b).distinct()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import vocab as V
 from tracewright.functions.scalars import estimate_cost, round3
-from tracewright.functions.text import Text, col, count_where, jaccard, listed, matches, word_set
+from tracewright.functions.text import Text, col, count_where, counted, jaccard, listed, matches, word_set
 
 
 def unit(x: Column) -> Column:
@@ -70,7 +70,7 @@ def test_state(text: Text, is_error: Text) -> Column:
 
 def most_of_one(paths: Column) -> Column:
     """How often the most frequent path occurs."""
-    return F.coalesce(F.array_max(F.transform(F.array_distinct(paths), lambda p: F.size(F.filter(paths, lambda q: q == p)))), F.lit(0))
+    return F.coalesce(F.array_max(F.transform(counted(paths), lambda p: p["n"])), F.lit(0))
 
 
 def techniques(used: Column, thinking_chars: Column, thinking_blocks: Column, parallel: Column) -> Column:
@@ -87,6 +87,13 @@ def techniques(used: Column, thinking_chars: Column, thinking_blocks: Column, pa
     ])
 
 
+def friction_reasons(errors: Column, factor: Column, tests_failed: Column, rework_: Column, outcome_: Column, denials: Column, frustration: Column, most_reads: Column, thinking_chars: Column, calls: Column) -> Column:
+    return listed([
+        ((errors >= 3) & (factor >= 0.6), "repeated_errors"), (tests_failed, "build_test_failures"), (rework_ >= 0.5, "high_rework"), (outcome_ == "abandoned", "abandoned_after_error"),
+        (denials >= 2, "tool_denials"), (frustration >= 0.5, "user_frustration"), (most_reads >= 4, "context_thrash"), ((thinking_chars > 3000) & (calls < 3), "long_thinking_low_action"),
+    ])
+
+
 def satisfaction(frustration: Column, last_two: Column, denials: Column, interruptions: Column) -> Column:
     return (
         F.when(frustration >= 0.5, "negative").when(last_two == "", "unknown").when(matches(last_two, V.NEG_SENTIMENT), "negative").when(matches(last_two, V.POS_SENTIMENT), "positive")
@@ -127,10 +134,7 @@ def session_metrics(sessions: DataFrame) -> DataFrame:
     s = s.withColumns({
         "error_rate": round3(c("error_rate_raw")), "rework_score": round3(c("rework_raw")), "outcome_score": round3(c("score")), "denial_rate": round3(c("denial_raw")), "user_edit_rate": round3(c("user_edit_raw")), "retry_loops": c("errors"),
         "friction_score": round3(friction_score(c("error_rate_raw"), c("factor"), c("rework_raw"), c("frustration_score"))),
-        "friction_reasons": listed([
-            ((c("errors") >= 3) & (c("factor") >= 0.6), "repeated_errors"), (c("tests_failed"), "build_test_failures"), (c("rework_raw") >= 0.5, "high_rework"), (c("outcome") == "abandoned", "abandoned_after_error"), (c("denials") >= 2, "tool_denials"),
-            (c("frustration_score") >= 0.5, "user_frustration"), (c("most_reads") >= 4, "context_thrash"), ((c("thinking_chars") > 3000) & (c("n_calls") < 3), "long_thinking_low_action"),
-        ]),
+        "friction_reasons": friction_reasons(*(c(n) for n in ("errors", "factor", "tests_failed", "rework_raw", "outcome", "denials", "frustration_score", "most_reads", "thinking_chars", "n_calls"))),
         "techniques": techniques(c("tools_used"), c("thinking_chars"), c("thinking_blocks"), c("max_parallel_tools")),
         "cache_hit_ratio": round3(F.when(cached > 0, c("cache_read_tokens") / cached).otherwise(0.0)),
         "est_cost_usd": estimate_cost("model", "input_tokens", "token_total", "cache_read_tokens", "cache_creation_tokens"),

@@ -6,6 +6,8 @@ reuse that partitioning. Order is (line_no, block_no), the place in the file.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,11 +99,41 @@ def enriched_blocks(blocks: DataFrame) -> DataFrame:
     })
 
 
-def sessionize(lines: DataFrame, project: Column | None = None) -> DataFrame:
-    """One row a session: counts, and arrays of what is kept for local analysis."""
-    line = line_table(lines.repartition("session_id"))
-    first = F.row_number().over(Window.partitionBy("session_id", "msg").orderBy(F.col("is_assistant").cast("int").desc(), "line_no")) == 1
-    line = line.withColumn("is_turn", F.col("is_assistant") & first)
+def first_of_message(session: str, message: str, *order: str | Column) -> Column:
+    """Whether a row is the first of its message, which many lines can repeat."""
+    return F.row_number().over(Window.partitionBy(session, message).orderBy(*order)) == 1
+
+
+def calls_in_message(is_call: Column, session: str, message: str) -> Column:
+    """How many calls a row's message holds."""
+    return F.sum(is_call.cast("int")).over(Window.partitionBy(session, message))
+
+
+def length_before(text: str, session: str, order: str) -> Column:
+    """Characters of a session's texts before a row."""
+    return F.coalesce(F.sum(F.length(text)).over(Window.partitionBy(session).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def head_of(text: str, before: Column, most: int, condition: Column, by: str = "ord") -> Column:
+    """The first characters of a group's texts joined by newlines, from rows that begin before the cut alone."""
+    return F.left(F.array_join(_ordered(text, condition & (before < most), by), "\n"), F.lit(most))
+
+
+def duration_s(started: Column, ended: Column) -> Column:
+    """Whole seconds between two times, rounded; 0 where there is none or time runs backwards."""
+    seconds = F.round((F.unix_millis(ended) - F.unix_millis(started)) / 1000)
+    return F.greatest(F.lit(0), F.coalesce(seconds, F.lit(0))).cast("long")
+
+
+def first_user_text(prompts: Column, typed: Column) -> Column:
+    return F.coalesce(F.get(prompts, F.lit(0)), F.get(typed, F.lit(0)), F.lit(""))
+
+
+def sessionize(lines: DataFrame, project: Callable[[str], Column] | None = None) -> DataFrame:
+    """One row a session: counts, and arrays of what is kept for local analysis. project: the project's name from the column ``path`` of lines."""
+    dealt = lines.repartition("session_id")
+    line = line_table(dealt)
+    line = line.withColumn("is_turn", F.col("is_assistant") & first_of_message("session_id", "msg", F.col("is_assistant").cast("int").desc(), "line_no"))
     per_line = line.groupBy("session_id").agg(
         _first("inner_id").alias("inner_id"), _first("ts").alias("started_at"), _last("ts").alias("ended_at"), _last("cwd").alias("cwd"), _last("git_branch").alias("git_branch"), _last("permission_mode").alias("permission_mode"),
         F.count_if((F.col("type") == "system") & F.lower("subtype").contains("compact")).alias("compactions"),
@@ -109,8 +141,7 @@ def sessionize(lines: DataFrame, project: Column | None = None) -> DataFrame:
         *(F.coalesce(F.sum(F.when(F.col("is_turn"), F.col(a))), F.lit(0)).alias(b) for a, b in (("output_tokens", "token_total"), ("input_tokens", "input_tokens"), ("cache_read_input_tokens", "cache_read_tokens"), ("cache_creation_input_tokens", "cache_creation_tokens"))),
     )
     block = enriched_blocks(block_table(line))
-    in_message = F.sum(F.col("is_call").cast("int")).over(Window.partitionBy("session_id", "msg"))
-    block = block.withColumns({"parallel": F.when(F.col("is_assistant"), in_message), "shown_before": F.coalesce(F.sum(F.length("shown")).over(Window.partitionBy("session_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    block = block.withColumns({"parallel": F.when(F.col("is_assistant"), calls_in_message(F.col("is_call"), "session_id", "msg")), "shown_before": length_before("shown", "session_id", "ord")})
     c = F.col
     per_block = block.groupBy("session_id").agg(
         _ordered(F.struct(c("name"), F.coalesce("call_id", F.lit("")).alias("id"), c("file_path")), c("is_call")).alias("tool_calls"),
@@ -119,22 +150,23 @@ def sessionize(lines: DataFrame, project: Column | None = None) -> DataFrame:
         _ordered("subagent", c("subagent").isNotNull()).alias("subagent_types"), _ordered("typed", c("typed").isNotNull()).alias("user_texts"),
         _ordered("typed", c("is_prompt")).alias("prompt_texts"), _ordered("ts", c("is_prompt")).alias("prompt_times"),
         _ordered(F.left("shown", F.lit(V.TEXT_CAP)), c("shown").isNotNull()).alias("assistant_texts"), _ordered("ts", c("shown").isNotNull()).alias("assistant_times"),
-        F.left(F.array_join(_ordered("shown", c("shown").isNotNull() & (c("shown_before") < V.TEXT_CAP)), "\n"), F.lit(V.TEXT_CAP)).alias("assistant_text"),
+        head_of("shown", c("shown_before"), V.TEXT_CAP, c("shown").isNotNull()).alias("assistant_text"),
         F.coalesce(F.max("parallel"), F.lit(0)).alias("max_parallel_tools"), F.coalesce(F.sum("thinking"), F.lit(0)).alias("thinking_chars"), F.count("thinking").alias("thinking_blocks"),
         F.count_if(matches("result", V.DENIAL)).alias("denials"), F.count_if(matches("typed", V.INTERRUPT)).alias("interruptions"), F.coalesce(F.bool_or(matches("typed", V.CONTINUATION)), F.lit(False)).alias("is_continuation"),
         F.count_if("commit").alias("commits"), F.coalesce(F.bool_or("push"), F.lit(False)).alias("pushed"), F.count_if("is_edit").alias("edit_results"), F.count_if("user_modified").alias("user_modified_edits"),
         F.coalesce(F.sum("lines_added"), F.lit(0)).alias("lines_added"), F.coalesce(F.sum("lines_removed"), F.lit(0)).alias("lines_removed"),
     )
     s = per_line.join(per_block, "session_id", "left")
+    if project is not None:
+        s = s.join(dealt.groupBy("session_id").agg(F.min("path").alias("path")), "session_id", "left")
     empty = {f.name: F.coalesce(f.name, F.array().cast(f.dataType)) for f in s.schema if f.dataType.typeName() == "array"}
     zero = {n: F.coalesce(n, F.lit(0)) for n in ("max_parallel_tools", "thinking_chars", "thinking_blocks", "denials", "interruptions", "commits", "edit_results", "user_modified_edits", "lines_added", "lines_removed")}
     blank = {n: F.coalesce(n, F.lit("")) for n in ("cwd", "git_branch", "permission_mode", "service_tier", "model", "assistant_text")}
     s = s.withColumns(empty | zero | blank | {n: F.coalesce(n, F.lit(False)) for n in ("pushed", "is_continuation")})
-    seconds = F.round((F.unix_millis(F.try_to_timestamp("ended_at")) - F.unix_millis(F.try_to_timestamp("started_at"))) / 1000)
     return s.withColumns({
         "session_id": F.coalesce(F.nullif("session_id", F.lit("")), "inner_id", F.lit("")),
-        "project_label": F.lit("") if project is None else project,
-        "duration_s": F.greatest(F.lit(0), F.coalesce(seconds, F.lit(0))).cast("long"),
+        "project_label": F.lit("") if project is None else F.coalesce(project("path"), F.lit("unknown")),
+        "duration_s": duration_s(F.try_to_timestamp("started_at"), F.try_to_timestamp("ended_at")),
         "tools_used": F.array_distinct(F.filter(F.transform("tool_calls", lambda t: t["name"]), lambda n: n.isNotNull())),
-        "first_user_text": F.coalesce(F.try_element_at("prompt_texts", F.lit(1)), F.try_element_at("user_texts", F.lit(1)), F.lit("")),
-    }).drop("inner_id")
+        "first_user_text": first_user_text(F.col("prompt_texts"), F.col("user_texts")),
+    }).drop("inner_id", "path")

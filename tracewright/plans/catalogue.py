@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions import scalars as S
 from tracewright.functions import text as X
 from tracewright.functions import vocab as V
 from tracewright.functions.regex import java
-from tracewright.operators import ledger, metrics, records
+from tracewright.operators import ledger, metrics, records, sessionize
+from tracewright.operators import prompts as quality
 from tracewright.plans import fixtures
 from tracewright.sources.tables import event_sessions, prompts, table
 from tracewright.sources.transcripts import is_subagent_path
@@ -53,7 +54,7 @@ c AS (SELECT *, greatest(0.0, least(1.0, CAST(0.5 AS DOUBLE) + CASE WHEN state =
 def session_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = event_sessions(spark, sf_dir)
     b = e.groupBy("session_id").agg(F.min_by("ts", "ord").alias("started_at"), F.max_by("ts", "ord").alias("ended_at"))
-    return b.withColumn("duration_s", F.greatest(F.lit(0), F.round((F.unix_millis(F.col("ended_at").cast("timestamp")) - F.unix_millis(F.col("started_at").cast("timestamp"))) / 1000)).cast("long"))
+    return b.withColumn("duration_s", sessionize.duration_s(F.col("started_at").cast("timestamp"), F.col("ended_at").cast("timestamp")))
 
 
 @query(OUTCOME + f"SELECT s AS session_id, CAST(errors AS BIGINT) AS errors, {R3.format('er')} AS error_rate, {R3.format('f')} AS err_factor FROM c")
@@ -87,9 +88,9 @@ FROM c LEFT JOIN (SELECT s, max(n) AS reads FROM (SELECT s, k % 10 AS g, count(*
 def friction_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = event_sessions(spark, sf_dir, daily=True)
     reads = e.where("name = 'Read'").groupBy("session_id", "file_path").agg(F.count("*").alias("n")).groupBy("session_id").agg(F.max("n").alias("reads"))
-    c = F.col
+    c, none = F.col, F.lit(0)
     s = metrics.event_outcomes(e).join(reads, "session_id", "left")
-    found = X.listed([((c("errors") >= 3) & (c("factor") >= 0.6), "repeated_errors"), (c("failed"), "build_test_failures"), (c("rework") >= 0.5, "high_rework"), (c("outcome") == "abandoned", "abandoned_after_error"), (F.coalesce("reads", F.lit(0)) >= 4, "context_thrash")])
+    found = metrics.friction_reasons(c("errors"), c("factor"), c("failed"), c("rework"), c("outcome"), none, none, F.coalesce("reads", none), none, none)
     return s.select("session_id", F.array_join(found, ",").alias("reasons"))
 
 
@@ -108,8 +109,10 @@ def tools_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_events()} SELECT s AS session_id, CAST(count(*) FILTER (event_type = 'view') AS BIGINT) AS visual, CAST(count(*) FILTER (event_type = 'click') AS BIGINT) AS cerebellum, CAST(count(*) FILTER (event_type = 'purchase') AS BIGINT) AS parietal, CAST(0 AS BIGINT) AS motor FROM e GROUP BY s")
 def region_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = event_sessions(spark, sf_dir).withColumn("region", F.when(F.col("name").isNotNull() | (F.col("event_type") == "purchase"), S.region_of(F.coalesce("name", "event_type"))))
-    return e.groupBy("session_id").agg(*(F.count_if(F.col("region") == r).alias(r) for r in ("visual", "cerebellum", "parietal", "motor")))
+    name = F.when(F.col("name").isNotNull() | (F.col("event_type") == "purchase"), F.coalesce("name", "event_type"))
+    calls = event_sessions(spark, sf_dir).groupBy("session_id").agg(F.collect_list(F.struct(name.alias("name"))).alias("calls"))
+    counted = calls.select("session_id", records.region_counts(F.col("calls"), F.array().cast("array<string>")).alias("r"))
+    return counted.select("session_id", *(f"r.{r}" for r in ("visual", "cerebellum", "parietal", "motor")))
 
 
 @query(f"WITH {_events()}, f AS (SELECT *, min(rn) FILTER (event_type = 'click') OVER (PARTITION BY s) AS first FROM e) SELECT s AS session_id, CAST(count(*) FILTER (event_type = 'view' AND (first IS NULL OR rn < first)) AS BIGINT) AS searches FROM f GROUP BY s")
@@ -119,15 +122,15 @@ def pre_first_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_events()} SELECT s AS session_id, CAST(max(n) AS BIGINT) AS max_parallel FROM (SELECT s, date_trunc('day', ts) AS m, count(*) FILTER (event_type IN ('click', 'view')) AS n FROM e GROUP BY ALL) GROUP BY s")
 def parallel_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per_message = event_sessions(spark, sf_dir).groupBy("session_id", F.date_trunc("DAY", "ts").alias("msg")).agg(F.count_if(F.col("kind") == "tool_use").alias("n"))
-    return per_message.groupBy("session_id").agg(F.max("n").alias("max_parallel"))
+    e = event_sessions(spark, sf_dir).withColumn("msg", F.date_trunc("DAY", "ts"))
+    e = e.withColumn("n", sessionize.calls_in_message(F.col("kind") == "tool_use", "session_id", "msg"))
+    return e.groupBy("session_id").agg(F.max("n").alias("max_parallel"))
 
 
 @query(f"WITH {_events()} SELECT s AS session_id, CAST(count(*) AS BIGINT) AS turns, CAST(sum(k) AS BIGINT) AS tokens FROM e GROUP BY s")
 def msg_dedupe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = event_sessions(spark, sf_dir).withColumn("part", F.explode(F.array(F.lit(0), F.lit(1))))  # each message on two lines
-    first = F.row_number().over(Window.partitionBy("session_id", "event_id").orderBy("part")) == 1
-    return e.withColumn("first", first).where("first").groupBy("session_id").agg(F.count("*").alias("turns"), F.sum("k").cast("long").alias("tokens"))
+    return e.withColumn("first", sessionize.first_of_message("session_id", "event_id", "part")).where("first").groupBy("session_id").agg(F.count("*").alias("turns"), F.sum("k").cast("long").alias("tokens"))
 
 
 def _throttle_sql(minutes: int) -> str:
@@ -177,7 +180,7 @@ def ledger_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT DISTINCT user_id FROM events WHERE event_type = 'click' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 150)")
 def ledger_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return e.where("event_type = 'click'").select("user_id").distinct().join(e.where("event_type = 'error' and value > 150").select("user_id"), "user_id", "left_anti")
+    return ledger.remaining(e.where("event_type = 'click'").select("user_id"), e.where("event_type = 'error' and value > 150").select("user_id"))
 
 
 @query("SELECT event_id, date_trunc('minute', ts) AS minute FROM events")
@@ -208,7 +211,8 @@ PATTERN_NAMES = tuple(f"{kind}_{i}" for kind, ps in (("secret", V.SECRET_PATTERN
 
 @query("SELECT " + ", ".join(f"CAST(sum(len(regexp_extract_all(text, '{p.replace(chr(39), chr(39) * 2)}'))) AS BIGINT) AS {n}" for n, p in zip(PATTERN_NAMES, (*V.SECRET_PATTERNS, *V.PII_PATTERNS))) + " FROM documents")
 def pattern_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").agg(*(F.sum(F.regexp_count("text", F.lit(java(p)))).cast("long").alias(n) for n, p in zip(PATTERN_NAMES, (*V.SECRET_PATTERNS, *V.PII_PATTERNS))))
+    hits = lambda p, sign: F.sum(F.when(sign(F.col("text")), F.regexp_count("text", F.lit(java(p)))).otherwise(F.when(F.col("text").isNotNull(), 0)))
+    return table(spark, sf_dir, "documents").agg(*(hits(p, sign).cast("long").alias(n) for n, (p, sign) in zip(PATTERN_NAMES, X.signed_patterns())))
 
 
 @query("SELECT doc_id, CAST(greatest(5, ceil(length(text) / 4)) AS BIGINT) AS tokens, CAST(CASE WHEN length(text) > 280 THEN greatest(5, ceil(length(text) / 10)) ELSE 0 END AS BIGINT) AS reasoning_tokens, CAST(greatest(20, ceil(length(text) / 4)) AS BIGINT) AS thinking_tokens FROM documents")
@@ -227,30 +231,32 @@ def prompt_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH w AS (SELECT conv_id, turn, {WORDS.format('text')} AS w FROM conversations WHERE role = 'user'), p AS (SELECT *, first(w) OVER (PARTITION BY conv_id ORDER BY turn) AS b, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM w) SELECT conv_id, turn, CAST({JACCARD.format('b', 'w')} AS DOUBLE) AS similarity FROM p WHERE n > 1")
 def scope_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    p = prompts(spark, sf_dir).withColumn("w", X.word_set("text"))
-    p = p.withColumns({"b": F.first("w").over(w), "n": F.row_number().over(w)})
-    return p.where("n > 1").select("conv_id", "turn", X.jaccard(F.col("b"), F.col("w")).alias("similarity"))
+    p = _texts_in_order(prompts(spark, sf_dir)).withColumn("near", quality.likeness_to_first(F.transform("said", lambda x: x["text"])))
+    p = p.select("conv_id", F.transform(F.filter("said", lambda _, i: i > 0), lambda x: x["turn"]).alias("turn"), F.col("near").alias("similarity"))
+    return p.select("conv_id", F.inline(F.arrays_zip("turn", "similarity")))
 
 
 @query("SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS last_two FROM (SELECT * FROM conversations WHERE role = 'user' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 2) GROUP BY conv_id")
 def last_two_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
-    two = prompts(spark, sf_dir).withColumn("n", n).where("n <= 2")
-    return two.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("last_two"))
+    return _texts_in_order(prompts(spark, sf_dir)).select("conv_id", metrics.last_texts(F.transform("said", lambda x: x["text"])).alias("last_two"))
+
+
+def _texts_in_order(turns: DataFrame) -> DataFrame:
+    """conv_id and said: the texts of each conversation with their turns."""
+    return turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("said"))
 
 
 @query("""WITH b AS (SELECT conv_id, turn, text, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM conversations WHERE role = 'assistant')
 SELECT conv_id, left(string_agg(text, chr(10) ORDER BY turn), 400) AS head FROM b WHERE before < 400 GROUP BY conv_id""")
 def text_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    before = F.coalesce(F.sum(F.length("text")).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    b = table(spark, sf_dir, "conversations").where("role = 'assistant'").withColumn("before", before).where("before < 400")
-    return b.groupBy("conv_id").agg(F.left(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n"), F.lit(400)).alias("head"))
+    b = table(spark, sf_dir, "conversations").where("role = 'assistant'").withColumn("before", sessionize.length_before("text", "conv_id", "turn"))
+    return b.groupBy("conv_id").agg(sessionize.head_of("text", F.col("before"), 400, F.lit(True), by="turn").alias("head"))
 
 
 @query("SELECT conv_id, left(arg_min(trim(text), turn), 4000) AS first_user_text FROM conversations WHERE role = 'user' GROUP BY conv_id")
 def first_user_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prompts(spark, sf_dir).groupBy("conv_id").agg(F.min_by(F.left(X.trim("text"), F.lit(V.TEXT_CAP)), "turn").alias("first_user_text"))
+    said = _texts_in_order(prompts(spark, sf_dir)).withColumn("typed", F.transform("said", lambda x: F.left(X.trim(x["text"]), F.lit(V.TEXT_CAP))))
+    return said.select("conv_id", sessionize.first_user_text(F.array().cast("array<string>"), F.col("typed")).alias("first_user_text"))
 
 
 PARTS = "list_filter(regexp_split_to_array(url, '[/\\\\]'), lambda x: x <> '')"
@@ -332,15 +338,14 @@ def cost_no_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir).select(*KEYS, S.cost_without_cache("m", "l_partkey", "l_quantity", "l_linenumber", "l_suppkey").alias("usd"))
 
 
-EXT = "CASE p_partkey % 8 WHEN 0 THEN 'a.tsx' WHEN 1 THEN 'b.py' WHEN 2 THEN 'c.SQL' WHEN 3 THEN 'd.yaml' WHEN 4 THEN 'e.kt' WHEN 5 THEN 'f.md' WHEN 6 THEN 'g.ts' ELSE 'none' END"
+EXT = "CASE p_size % 8 + p_partkey % 3 WHEN 0 THEN 'a.tsx' WHEN 1 THEN 'b.py' WHEN 2 THEN 'c.SQL' WHEN 3 THEN 'd.yaml' WHEN 4 THEN 'e.kt' WHEN 5 THEN 'f.md' WHEN 6 THEN 'g.ts' ELSE 'none' END"
 
 
-@query(f"""WITH x AS (SELECT p_size, lower(regexp_extract({EXT}, '[^.]*$')) AS e FROM part WHERE p_partkey % 8 >= p_size % 8)
+@query(f"""WITH x AS (SELECT p_size, lower(regexp_extract({EXT}, '[^.]*$')) AS e FROM part)
 SELECT p_size, CASE WHEN bool_or(e = 'tsx') THEN 'frontend' WHEN bool_or(e = 'py') THEN 'backend' WHEN bool_or(e = 'sql') THEN 'data_ml' WHEN bool_or(e = 'yaml') THEN 'infra_devops' WHEN bool_or(e = 'kt') THEN 'mobile' WHEN bool_or(e = 'md') THEN 'docs_content' WHEN bool_or(e = 'ts') THEN 'fullstack' ELSE 'other' END AS domain FROM x GROUP BY p_size""")
 def domain_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = table(spark, sf_dir, "part").where("p_partkey % 8 >= p_size % 8").select("p_size", S.extension(F.expr(EXT)).alias("e"))
-    hits = {name: F.bool_or(F.col("e").isin(*exts)) for name, exts in V.DOMAIN_EXTENSIONS}
-    return x.groupBy("p_size").agg(X.first_case([(c, F.lit(n)) for n, c in hits.items()], "other").alias("domain"))
+    x = table(spark, sf_dir, "part").groupBy("p_size").agg(F.collect_set(S.extension(F.expr(EXT))).alias("e"))  # as many as EXT has
+    return x.select("p_size", S.domain_of_extensions(lambda known: F.arrays_overlap("e", F.array(*map(F.lit, known)))).alias("domain"))
 
 
 @query("SELECT event_type, CAST(count(*) AS BIGINT) AS n, avg(value) AS mean FROM events WHERE value IS NOT NULL GROUP BY event_type HAVING count(*) > 0")

@@ -5,27 +5,61 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.functions.scalars import project_name
+from tracewright.operators import git_truth
 from tracewright.operators.labels import classify, deterministic_labels, digest
+from tracewright.operators.ledger import nudges_shown
 from tracewright.operators.metrics import session_metrics
 from tracewright.operators.prompts import prompt_quality
 from tracewright.operators.records import build_records
 from tracewright.operators.sessionize import sessionize
-from tracewright.sources.transcripts import configure, lines, read_files
+from tracewright.sources import git as git_source
+from tracewright.sources.transcripts import below, configure, lines, read_files, read_ledger
 
+Ask = Callable[[str], str]
 
-def labelled_sessions(transcript_lines: DataFrame, answer: Callable[[str], str] | None = None) -> DataFrame:
+
+def labelled_sessions(transcript_lines: DataFrame, answer: Ask | None = None, api: Ask | None = None, project: Callable[[str], Column] | None = None) -> DataFrame:
     """Sessions with at least one turn, with metrics, prompt quality and labels."""
-    s = deterministic_labels(prompt_quality(session_metrics(sessionize(transcript_lines))))
+    s = deterministic_labels(prompt_quality(session_metrics(sessionize(transcript_lines, project))))
     s = s.where("turn_count > 0").withColumn("digest", digest(s))
-    return classify(s, answer)
+    return classify(s, answer, api)
+
 
+def records(
+    spark: SparkSession, root: str, now: datetime, *, salt: str | None = None, labels: dict[str, str] | None = None, ledger: str | None = None, git: DataFrame | None = None,
+    usage: bool = True, ship_facts: bool = True, tool_dir: str = "tool", answer: Ask | None = None, api: Ask | None = None,
+) -> DataFrame:
+    """Gated records of all transcripts below root; none, before any work, if the tier ships no usage.
 
-def records(spark: SparkSession, root: str, now: datetime, *, salt: str | None = None, usage: bool = True, ship_facts: bool = True, tool_dir: str = "tool", answer: Callable[[str], str] | None = None) -> DataFrame:
-    """Gated records of all transcripts below root; none, before any work, if the tier ships no usage."""
+    labels: names that the user gave to projects; ledger: the nudges' JSON lines; git: what git_truth gives.
+    """
     configure(spark)
     files = read_files(spark, root, tool_dir=tool_dir)
     files = files if usage else files.where(F.lit(False))
-    return build_records(labelled_sessions(lines(files), answer), now, salt=salt, ship_facts=ship_facts)
+    inside = below(spark, root)
+    sessions = labelled_sessions(lines(files, "path"), answer, api, lambda path: project_name(inside(path)))
+    nudges = nudges_shown(read_ledger(spark, ledger)) if ledger else None
+    return build_records(sessions, now, salt=salt, labels=labels, nudges=nudges, git=git, ship_facts=ship_facts)
+
+
+def git_truth_of(spark: SparkSession, sessions: DataFrame, now: datetime, run_in: Callable[[str], git_source.Run] = git_source.git_in) -> DataFrame:
+    """What became of the commits of sessions (session_id, cwd, commits, started_at, ended_at; the bounded queue of a re-survey), as build_records takes it.
+
+    Only sessions with a folder and a commit are asked for, in the folder that they ran in on this machine.
+    """
+    due = sessions.where("commits > 0 and coalesce(cwd, '') <> ''").select("session_id", "cwd", F.try_to_timestamp(F.col("started_at").cast("string")).alias("started"), F.try_to_timestamp(F.col("ended_at").cast("string")).alias("ended"))
+    rows: dict[str, list[tuple]] = {k: [] for k in git_source.SCHEMAS}
+    asked = []
+    for s in due.where("started is not null and ended is not null").selectExpr("session_id", "cwd", "unix_millis(started) a", "unix_millis(ended) b").collect():
+        found = git_source.read(s.session_id, datetime.fromtimestamp(s.a / 1000).astimezone(), datetime.fromtimestamp(s.b / 1000).astimezone(), run_in(s.cwd))
+        if found is not None:
+            asked.append((s.session_id, s.b))
+            for k, v in found.items():
+                rows[k] += v
+    frames = {k: spark.createDataFrame(v, git_source.SCHEMAS[k]) for k, v in rows.items()}
+    truth = git_truth.analyze(spark.createDataFrame(asked, "session_id string, ended_ms long"), **frames)
+    return truth.where("commits_in_window > 0").withColumn("git_analyzed_at", F.lit(now).cast("timestamp"))

@@ -11,6 +11,10 @@ from tracewright.functions import vocab as V
 
 Run = Callable[[list[str]], str | None]
 Relations = dict[str, list[tuple]]
+SCHEMAS = {
+    "commits": "session_id string, sha string, subject string, ord int", "numstat": "sha string, added string, removed string, path string, ord int", "blame": "session_id string, path string, sha string, line int",
+    "commit_meta": "sha string, email string, time_ms long", "later_log": "session_id string, text string",
+}
 
 
 def git_in(folder: str) -> Run:

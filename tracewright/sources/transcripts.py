@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,6 +46,19 @@ def list_sessions(spark: SparkSession, root: str) -> DataFrame:
     return files.select("path", session_of("path").alias("session_id"), F.col("modificationTime").alias("ended_at")).where(~is_subagent_path("path"))
 
 
+def below(spark: SparkSession, root: str) -> Callable[[str | Column], Column]:
+    """path -> what of a file's path lies below root, decoded."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    full = top.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(top).toUri().getPath().rstrip("/")
+
+    def inside(path: str | Column) -> Column:
+        c = F.col(path) if isinstance(path, str) else path
+        own = F.url_decode(F.regexp_replace(F.regexp_replace(c, r"^[a-z0-9+.-]+:(?://[^/]*)?", ""), r"\+", "%2B"))
+        return F.when(own.startswith(full + "/"), F.substring(own, F.lit(len(full) + 2), F.length(own))).otherwise(own)
+
+    return inside
+
+
 def lines(files: DataFrame, *keep: str) -> DataFrame:
     """session_id, line_no and parsed JSON ``v`` of every line that is an object (or any other truthy value)."""
     rows = files.select(session_of("path").alias("session_id"), *keep, F.posexplode(F.split("raw", "\n")).alias("line_no", "line"))
@@ -88,6 +103,8 @@ def is_string(v: str | Column, path: str) -> Column:
     return F.coalesce(kind_of(v, path) == "STRING", F.lit(False))
 
 
+#: Bytes of a ledger that a machine reads back.
+LEDGER_TAIL = 2 << 20
 LEDGER_SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in ("ts", "session_id", "kind", "level", "category", "classifier", "activity_category", "domain", "message")] + [T.StructField("cost_usd", T.DoubleType())])
 
 
@@ -98,6 +115,23 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("file", "line_no", F.from_json("line", LEDGER_SCHEMA, {"mode": "PERMISSIVE"}).alias("e")).select("file", "line_no", "e.*").where("kind is not null")
 
 
+def read_ledger_tail(spark: SparkSession, path: str, most: int = LEDGER_TAIL) -> DataFrame:
+    """Entries of one ledger file as read_ledger gives them, from its last ``most`` bytes alone; a line torn by the cut goes. None without a file."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    body = b""
+    if fs.exists(at):
+        size = fs.getFileStatus(at).getLen()
+        stream = fs.open(at)
+        try:
+            stream.seek(max(0, size - most))
+            body = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+        finally:
+            stream.close()
+    rows = [(path, i, x) for i, x in enumerate(body.decode("utf-8", "replace").split("\n"))]
+    return spark.createDataFrame(rows, "file string, line_no int, line string").select("file", "line_no", F.from_json("line", LEDGER_SCHEMA, {"mode": "PERMISSIVE"}).alias("e")).select("file", "line_no", "e.*").where("kind is not null")
+
+
 def code_pattern() -> str:
     from tracewright.functions import vocab
 
