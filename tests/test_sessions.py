@@ -34,7 +34,7 @@ def test_metrics(spark, transcripts):
     m = session_metrics(sessionize(lines(read_files(spark, transcripts)))).where("turn_count > 0").first()
     assert (m.error_rate, m.rework_score, m.denial_rate, m.user_edit_rate, m.cache_hit_ratio) == (0.2, 0.0, 0.2, 0.5, 0.75)
     assert m.tests_passed and not m.tests_failed and m.ever_failed
-    assert m.satisfaction == "neutral" or m.satisfaction == "positive"
+    assert m.satisfaction == "positive"
     assert m.frustration_score == 0.15
     # 0.5 + 0.2 + 0.1 + 0.1 - 0.06 - 0 - 0.05 - 0.075 - 0.05 - 0.015
     assert m.outcome_score == 0.65 and m.outcome == "partial"

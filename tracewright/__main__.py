@@ -1,4 +1,4 @@
-"""Command line: records of transcripts, the data dictionary."""
+"""Command line: records of transcripts, delivery of history, state, the data dictionary."""
 
 from __future__ import annotations
 
@@ -17,6 +17,11 @@ def main(argv: list[str] | None = None) -> None:
     run.add_argument("--salt-dir", help="folder of the pseudonymization salt; labels stay readable without one")
     run.add_argument("--tier", default="full")
     run.add_argument("--tool-dir", default="tool", help="name of the folder that the classifier's own sessions run in")
+    for name, said in (("backfill", "imports all history once"), ("resurvey", "sends sessions of 7 to 30 days ago again, with what became of their commits"), ("status", "the state of settings, import and server")):
+        command = sub.add_parser(name, help=said)
+        command.add_argument("--settings", required=True, help="folder with config.json, the salt and the ledgers")
+        command.add_argument("--root", default=".", help="folder of the transcripts")
+        command.add_argument("--skip", action="store_true", help="backfill: declines the import")
     sub.add_parser("dictionary", help="the fields of a record, as Markdown")
     args = parser.parse_args(argv)
     if args.command == "dictionary":
@@ -26,6 +31,18 @@ def main(argv: list[str] | None = None) -> None:
         return
     from pyspark.sql import SparkSession
 
+    if args.command in ("backfill", "resurvey", "status"):
+        from tracewright.plans import commands
+
+        spark, now, settings = SparkSession.builder.getOrCreate(), datetime.now(timezone.utc), Path(args.settings)
+        if args.command == "backfill":
+            print(commands.backfill(spark, args.root, now, settings, skip=args.skip))
+        elif args.command == "resurvey":
+            print(commands.resurvey(spark, args.root, now, settings))
+        else:
+            print("\n".join(commands.report(spark, settings)))
+        return
+
     from tracewright.functions import vocab as V
     from tracewright.plans.pipeline import records
     from tracewright.sources.config import load_salt

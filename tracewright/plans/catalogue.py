@@ -13,7 +13,7 @@ from tracewright.functions import vocab as V
 from tracewright.functions.regex import java
 from tracewright.operators import ledger, metrics, records, sessionize
 from tracewright.operators import prompts as quality
-from tracewright.plans import fixtures
+from tracewright.plans import fixtures, session_fixtures
 from tracewright.sources.tables import event_sessions, prompts, table
 from tracewright.sources.transcripts import is_subagent_path
 
@@ -188,20 +188,12 @@ def minute_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", S.iso_minute(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS")).cast(table(spark, sf_dir, "events").schema["ts"].dataType).alias("minute"))
 
 
-def scrub_sql(column: str) -> str:
-    """The 21 replacements in RE2, one inside the other, in order. RE2 caps counts at 1000, which no pattern exceeds."""
-    out = f"coalesce({column}, '')"
-    for p in (*V.SECRET_PATTERNS, *V.PII_PATTERNS):
-        out = f"regexp_replace({out}, '{p.replace(chr(39), chr(39) * 2)}', '[redacted]', 'g')"
-    return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
-
-
-@query(f"SELECT doc_id, {scrub_sql('text')} AS scrubbed FROM documents")
+@query(f"SELECT doc_id, {fixtures.scrub_sql('text')} AS scrubbed FROM documents")
 def scrub_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.scrub("text").alias("scrubbed"))
 
 
-@query(f"SELECT page_id, {scrub_sql('html')} AS scrubbed FROM pages")
+@query(f"SELECT page_id, {fixtures.scrub_sql('html')} AS scrubbed FROM pages")
 def scrub_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", X.scrub("html").alias("scrubbed"))
 
@@ -356,6 +348,7 @@ def sql_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    assert session_fixtures  # registers with the other fixtures
     return QUERIES | fixtures.queries()
 
 

@@ -66,14 +66,14 @@ ADVERSARIAL = Rows(
 )
 
 
-def _scrub_sql(column: str) -> str:
+def scrub_sql(column: str) -> str:
     out = f"coalesce({column}, '')"
     for p in (*V.SECRET_PATTERNS, *V.PII_PATTERNS):
         out = f"regexp_replace({out}, '{_quoted(p)}', '[redacted]', 'g')"
     return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
 
 
-@query(f"SELECT id, {_scrub_sql('t')} AS scrubbed FROM x", ADVERSARIAL)
+@query(f"SELECT id, {scrub_sql('t')} AS scrubbed FROM x", ADVERSARIAL)
 def fx_scrub_adversarial(x: DataFrame) -> DataFrame:
     return x.select("id", X.scrub("t").alias("scrubbed"))
 
@@ -188,7 +188,7 @@ def fx_ask_count(x: DataFrame) -> DataFrame:
 FACTS = Rows("x", "id long, ord long, k string, vn double, vs string", (1, 1, "goal", None, "first"), (1, 2, "verdict", None, "win"), (1, 3, "goal", None, "last"), (1, 4, "nonsense", None, "x"), (1, 5, "risk", 2.5, None), (2, 1, "goal", None, "   "), (2, 2, "approach", None, None), (2, 3, "blocker", None, "mail a@b.com now"), (3, 1, "goal", None, "y" * 130))
 
 
-@query(f"""SELECT id, string_agg(k || '=' || v, ',' ORDER BY o) AS facts FROM (SELECT id, k, min(ord) AS o, arg_max(v, ord) AS v FROM (SELECT *, coalesce(CAST(vn AS VARCHAR), left({_scrub_sql('vs')}, 120)) AS v FROM x WHERE k IN {V.FACT_KEYS} AND (vn IS NOT NULL OR vs IS NOT NULL)) WHERE v <> '' GROUP BY id, k) GROUP BY id""", FACTS)
+@query(f"""SELECT id, string_agg(k || '=' || v, ',' ORDER BY o) AS facts FROM (SELECT id, k, min(ord) AS o, arg_max(v, ord) AS v FROM (SELECT *, coalesce(CAST(vn AS VARCHAR), left({scrub_sql('vs')}, 120)) AS v FROM x WHERE k IN {V.FACT_KEYS} AND (vn IS NOT NULL OR vs IS NOT NULL)) WHERE v <> '' GROUP BY id, k) GROUP BY id""", FACTS)
 def fx_facts(x: DataFrame) -> DataFrame:
     s = x.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "k", F.col("vn").alias("v_num"), F.col("vs").alias("v_str")))), lambda r: F.struct(r["k"].alias("k"), r["v_num"].alias("v_num"), r["v_str"].alias("v_str"))).alias("session_facts"))
     g = gate.enforce(s, F.lit("2026-01-05 00:00:00").cast("timestamp"), keep=("id",))
