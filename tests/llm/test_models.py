@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from tests.llm.helpers import awkward, frame, rows
 from tracewright.llm import langid, lmscore, packed, packing, quality, toxicity
@@ -94,9 +95,10 @@ def test_packing_awkward_rows(spark):
     assert packing.pack(frame(spark, [])).count() == 0
 
 
-def test_backoff_scores_match_brute_force(spark):
+@pytest.mark.parametrize("key_bits", [None, 64])
+def test_backoff_scores_match_brute_force(spark, key_bits):
     data = rows()
-    got = {r.doc_id: (r.n_words, r.log_score) for r in lmscore.score(frame(spark, data), block_bytes=2000).collect()}
+    got = {r.doc_id: (r.n_words, r.log_score) for r in lmscore.score(frame(spark, data), block_bytes=2000, key_bits=key_bits).collect()}
     words = {r[0]: tuple((r[1] or "").encode().lower().split()) for r in data}
     counts = [Counter() for _ in range(4)]
     for w in words.values():

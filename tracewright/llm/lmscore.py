@@ -8,8 +8,9 @@ the whole corpus are summed and go back to the blocks that asked, which sum scor
 S(w | u v) = c(u v w) / c(u v) if c(u v w) >= min_count, else backoff * S(w | v); at the end c(w) / N. A
 document's score is the sum of log S over its words (A-Z in lower case, split at white space).
 
-n-grams are told apart by the leading ``bits`` of 64-bit hashes, 24 bits more than the corpus has words (64 at
-most): one n-gram in about 16 million shares its count with another. Defined results: a null or empty text has
+n-grams are told apart by the leading bits of 64-bit hashes: by default 24 bits more than the corpus has words (64
+at most), so that one n-gram in about 16 million shares its count with another, whatever the size; with
+``key_bits=64`` by all of them, for a third more disk. Defined results: a null or empty text has
 no words and score 0. A null doc_id is returned as such. Repeated rows are counted and scored each. Columns
 other than doc_id and text are never read.
 """
@@ -145,11 +146,11 @@ def _score(block: pa.Table, answers: pa.Table, order: int, bits: int, n_words: i
     return pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), "n_words": pa.array(out["n_words"], pa.int64()), "log_score": pa.array(out["log_score"], pa.float64()), "n_full": pa.array(out["n_full"], pa.int64())})
 
 
-def score(docs: DataFrame, *, order: int = 3, backoff: float = 0.4, min_count: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score(docs: DataFrame, *, order: int = 3, backoff: float = 0.4, min_count: int = 2, block_bytes: int = BLOCK_BYTES, key_bits: int | None = None) -> DataFrame:
     """doc_id, n_words, log_score (sum of natural logs) and n_full (words scored without backing off) of every row."""
     blocks = settle(mapped(texts(docs), lambda it: _blocks(it, block_bytes), "block long, ids array<long>, lengths array<long>, n_words long, body binary"), "lm-blocks")
     n_words = blocks.agg(F.sum("n_words")).first()[0] or 0
-    bits = min(64, max(1, n_words).bit_length() + 24)
+    bits = key_bits or min(64, max(1, n_words).bit_length() + 24)
     range_bits = max(0, (max(1, n_words) // RANGE_WORDS).bit_length())
     asked = blocks.mapInArrow(lambda it: _requests(it, order, bits, range_bits), "n int, range int, block long, keys binary, counts binary")
     answers = asked.groupBy("n", "range").applyInArrow(_count, "n int, range int, block long, totals binary")
