@@ -52,7 +52,9 @@ def test_components_of_a_path(spark):
     assert got == {**{i: 1 for i in range(1, 61)}, 100: 100, 101: 100}
 
 
-def test_removed_bytes_match_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("broadcast", [32 << 20, 100])
+def test_removed_bytes_match_brute_force(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(suffix, "BROADCAST_BYTES", broadcast)
     monkeypatch.setattr(suffix, "BUCKET", 300)
     monkeypatch.setattr(suffix, "SAMPLE", 600)
     data = rows()
@@ -67,10 +69,11 @@ def test_removal_awkward_rows(spark):
     assert suffix.digest(suffix.deduplicate(frame(spark, []))).count() == 0
 
 
-def test_multikey_order():
+def test_multikey_order(monkeypatch):
     import numpy as np
 
     rng = np.random.default_rng(3)
+    monkeypatch.setattr(suffix, "SMALL", 40)
     cols = [rng.integers(0, 4, 500).astype(np.uint64) for _ in range(4)]
     order = suffix.multikey_order(cols)
     keys = list(zip(*(c[order] for c in cols)))

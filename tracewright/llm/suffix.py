@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import columns, mapped, rows_bound, settle, small_batches, texts
+from tracewright.llm.common import columns, mapped, settle, small_batches, texts
 
 #: Bytes of a removable string, of the gram that a sampled suffix begins with, and strings in a run of round 2.
 LENGTH, GRAM, RUN = 100, 32, 8
@@ -41,8 +41,8 @@ CORE = LENGTH - RUN + 1
 #: Long texts are sampled in pieces that overlap by LENGTH - 1 bytes; places within a piece fit PLACE_BITS.
 PLACE_BITS = 20
 PIECE = (1 << PLACE_BITS) - 2 * LENGTH
-#: Entries of a bucket, entries that splitters are taken from, and marks that are broadcast (their rows; about 32 MB).
-BUCKET, SAMPLE, BROADCAST_ROWS = 400_000, 60_000, 1_000_000
+#: Entries of a bucket, entries that splitters are taken from, rows of a sort that are not parted any more, and bytes of marks that are broadcast.
+BUCKET, SAMPLE, SMALL, BROADCAST_BYTES = 400_000, 60_000, 8_192, 32 << 20
 ENTRY = "bucket int, t1 long, t2 long, doc long, place long"
 _A, _B, _S = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(32)
 
@@ -116,23 +116,24 @@ def bucket_of(cols: list[np.ndarray], splitters: Splitters) -> np.ndarray:
 
 
 def multikey_order(cols: list[np.ndarray]) -> np.ndarray:
-    """Order of rows by columns: each column only sorts what all before it left tied."""
-    order = np.argsort(cols[0], kind="stable")
-    tied = np.zeros(len(order), np.int64)
-    at = np.arange(len(order))
-    for k in range(1, len(cols)):
-        key = cols[k - 1][order[at]]
-        new = np.r_[True, (key[1:] != key[:-1]) | (tied[at][1:] != tied[at][:-1])] if len(at) else np.zeros(0, bool)
-        group = np.cumsum(new)
-        size = np.bincount(group)[group] if len(at) else group
-        at, group = at[size > 1], group[size > 1]
-        if not len(at):
-            break
-        tied = np.zeros(len(order), np.int64)
-        tied[at] = group
-        inner = np.lexsort((cols[k][order[at]], group))
-        order[at] = order[at][inner]
-    return order
+    """Order of rows by columns, by multikey quicksort: rows are parted in three by a pivot of one column, and only those equal to it go on to the next column. Parts of SMALL rows or fewer are sorted by all columns that are left."""
+    out = np.arange(len(cols[0]))
+    todo = [(0, len(out), 0)]
+    while todo:
+        a, b, k = todo.pop()
+        if b - a < 2 or k == len(cols):
+            continue
+        rows = out[a:b]
+        if b - a <= SMALL:
+            out[a:b] = rows[np.lexsort([c[rows] for c in reversed(cols[k:])])]
+            continue
+        key = cols[k][rows]
+        pivot = np.sort(key[:: (b - a) // 32])[16]
+        low, high = key < pivot, key > pivot
+        i, j = a + int(low.sum()), b - int(high.sum())
+        out[a:b] = np.concatenate([rows[low], rows[~(low | high)], rows[high]])
+        todo += [(a, i, k), (i, j, k + 1), (j, b, k)]
+    return out
 
 
 def _batch(doc: np.ndarray, t1: np.ndarray, t2: np.ndarray, place: np.ndarray, splitters: Splitters) -> pa.RecordBatch:
@@ -313,10 +314,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _with_marks(docs: DataFrame, marks: DataFrame, column: str, how: str) -> DataFrame:
-    """docs with a column of marks: broadcast up to a checked size, by a shuffle beyond it."""
+def _with_marks(docs: DataFrame, marks: DataFrame, column: str, width: int, how: str) -> DataFrame:
+    """docs with a column of marks of ``width`` bytes each: broadcast up to a checked size, by a shuffle beyond it."""
     right = marks.withColumnRenamed("doc", "doc_id").select("doc_id", column)
-    return docs.join(F.broadcast(right) if rows_bound(right, BROADCAST_ROWS // 4) else right, "doc_id", how)
+    size = right.agg(F.sum(F.lit(width) * F.size(column) + 32)).first()[0] or 0
+    return docs.join(F.broadcast(right) if size <= BROADCAST_BYTES else right, "doc_id", how)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -335,7 +337,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     first = settle(_partitioned(entries(body, _suffixes, ENTRY, s1), s1).mapInArrow(lambda it: _compared(it, s1, False), "doc long, a long, b long"), "suffix-marks")
 
     asked = settle(first.where("b < 0").groupBy("doc").agg(F.collect_list("a").alias("asked")), "suffix-asked")
-    rows = _with_marks(body, asked, "asked", "inner")
+    rows = _with_marks(body, asked, "asked", 8, "inner")
     n_asked = asked.agg(F.sum(F.size("asked"))).first()[0] or 0
     buckets = max(2, -(-5 * n_asked // BUCKET))
     wide = ENTRY + ", extra long"
@@ -354,7 +356,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (array of a, b), kept_sha256 and kept (the remaining bytes) of every row."""
     marks = settle(repeats(docs).groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "suffix-spans")
     schema = "doc_id long, n_bytes long, n_removed long, spans array<struct<a:long,b:long>>, kept_sha256 string, kept binary"
-    return mapped(_with_marks(texts(docs), marks, "spans", "left"), _cut, schema)
+    return mapped(_with_marks(texts(docs), marks, "spans", 16, "left"), _cut, schema)
 
 
 def digest(cut: DataFrame) -> DataFrame:
