@@ -28,7 +28,7 @@ PIECES_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long
 #: Whitespace-separated chunks whose ids a worker remembers, and the longest chunk that it does.
 CACHE_CHUNKS, CACHE_CHARS = 700_000, 48
 #: Ranks are dealt in buckets of about so many pieces, so a common length is not one task's work.
-BUCKET_ROWS = 8_192
+BUCKET_ROWS = 2_048
 #: Ranks of a length that meet a plan too large to broadcast at a time.
 CHUNK = 1 << 18
 
@@ -144,7 +144,7 @@ class ChunkIds:
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterator[pa.RecordBatch]:
     ids_of = ChunkIds.of_worker(path)
-    for batch in small_batches(batches):
+    for batch in small_batches(batches, 4 << 20):
         ids, bodies = columns(batch)
         rows = []
         for doc, packed in zip(ids, ids_of.join(bodies)):
