@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import columns, mapped, of_worker, settle, small_batches, texts
+from tracewright.llm.common import columns, mapped, of_worker, release, settle, small_batches, texts
 
 CAPACITY = 2048
 PIECES_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Whitespace-separated chunks whose ids a worker remembers, and the longest chunk that it does.
-CACHE_CHUNKS, CACHE_CHARS = 700_000, 48
+CACHE_CHUNKS, CACHE_CHARS = 200_000, 48
 #: Ranks are dealt in buckets of about so many pieces, so a common length is not one task's work.
 BUCKET_ROWS = 2_048
 #: Ranks of a length that meet a plan too large to broadcast at a time.
@@ -65,6 +65,8 @@ class ChunkIds:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # tokens that end a word; none if the tokenizer does not mark them
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        del vocabulary
+        release()
         self.apart = self._holds()
 
     @classmethod
@@ -144,7 +146,7 @@ class ChunkIds:
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterator[pa.RecordBatch]:
     ids_of = ChunkIds.of_worker(path)
-    for batch in small_batches(batches, 4 << 20):
+    for batch in small_batches(batches, 1 << 20):
         ids, bodies = columns(batch)
         rows = []
         for doc, packed in zip(ids, ids_of.join(bodies)):
