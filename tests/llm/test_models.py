@@ -229,3 +229,32 @@ def test_languages_without_spaces(spark):
     same = {(got[i].n_words, got[i].n_switched, round(got[i].score, 6)) for i in range(900, 905)}
     assert len(same) == 1 and got[900].n_words == 48 and 6 <= got[900].n_switched <= 10
     assert got[905].n_words == -(-sum(map(len, words)) // 40) and got[905].n_switched >= 1
+
+
+def test_empty_tables_and_very_long_texts(spark):
+    long = " ".join(f"w{i % 977}" for i in range(60_000)) + " " + "x" * 200_000
+    d = frame(spark, [(1, long, "aa", "s", 0), (2, "ka ti mo lu", "bb", "s", 0), (2, "ka ti mo lu", "bb", "s", 0), (None, "no id here", None, None, None)])
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1), (None, None, None)], "doc_id long, quality int, toxic int")
+    nothing = frame(spark, [])
+    for fit, run in ((langid.fit, langid.predict), (lambda x: toxicity.fit(x, labels), toxicity.score)):
+        out = run(d, fit(d)).collect()
+        assert len(out) == 4 and all(0 <= r.score <= 1 for r in out)
+        assert run(nothing, fit(nothing)).count() == 0 and run(nothing, fit(d)).count() == 0
+    assert {r.n_words for r in langid.predict(d, langid.fit(d)).collect() if r.doc_id == 1} <= {0, 65_000}
+
+
+def test_samples_are_shared_evenly():
+    assert langid.even_share({"a": 10, "b": 10_000, "c": 40}, 3_000) == 2_950
+    assert langid.even_share({"a": 10}, 3_000) == 10 and langid.even_share({}, 5) == 0.0
+    assert langid.even_share({"a": 900, "b": 900}, 1_000) == 500
+
+
+def test_rules_go_on_after_an_imprecise_one():
+    """A group that no threshold tells apart is put aside, and one that can be told is still learnt."""
+    rng = np.random.default_rng(4)
+    n = 900
+    x = {"a": rng.random(n), "b": rng.random(n)}
+    bad = (x["b"] > 0.93) | ((x["a"] > 0.5) & (rng.random(n) < 0.3))
+    rules = quality.learn_rules(x, bad, np.arange(n) % 3 == 0)
+    assert rules and any(t.feature == "b" and t.above and 0.9 < t.threshold < 0.97 for r in rules for t in r)
+    assert bad[quality._any_of(rules, x, n)].mean() >= 0.85

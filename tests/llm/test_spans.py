@@ -79,3 +79,22 @@ def test_redaction(spark):
     d = frame(spark, [(1, "é token = abcdef1 and " + "0a" * 12, None, None, None), (2, "clean", None, None, None)])
     out = secrets.scan_texts(d).select("doc_id", secrets.redacted(d.text, secrets.F.concat("base", "added")).alias("t"))
     assert {r.doc_id: r.t for r in out.collect()} == {1: "é [secret] and [secret]", 2: "clean"}
+
+
+def test_hidden_seeds_are_found_again(spark):
+    data = [(i, f"lorem {i} call our office at +1 (212) 555-{i:04d} before noon or mail to desk{i}@mail{i % 7}.test please", None, None, None) for i in range(90)]
+    noise = [(100 + i, f"part number ZX-{4000 + i}-{i} is out of stock", None, None, None) for i in range(30)]
+    told = {r.kind: r for r in pii.masked(frame(spark, data + noise)).collect()}
+    for kind in ("email", "phone"):
+        r = told[kind]
+        assert r.hidden > 15 and r.found == r.hidden == r.claimed
+    assert all(r.spans.count("context-") == 0 for r in pii.digest(pii.find_pii(frame(spark, noise))).collect())
+
+
+def test_a_turn_seeds_the_next(spark):
+    """Identifiers found beside mail addresses induce a context that no mail address has."""
+    data = [(i, f"client record u{i}@mail.test closed", None, None, None) for i in range(30)]
+    data += [(100 + i, f"client record QX-{7000 + i}-B closed", None, None, None) for i in range(6)]
+    data += [(200 + i, f"refund for QX-{7000 + i}-B granted", None, None, None) for i in range(6)] + [(300, "refund for QX-9999-B granted", None, None, None)]
+    got = {r.doc_id: r.spans for r in pii.digest(pii.find_pii(frame(spark, data))).collect()}
+    assert got[100].startswith("context-email:") and got[200].startswith("context-email:") and got[300].startswith("context-email:")
