@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import decontam, jaccard, langid, lmscore, packing, pii, quality, secrets, suffix, toxicity
+from tracewright.llm import automata, decontam, jaccard, langid, lmscore, packing, pii, prefixes, quality, repair, secrets, suffix, toxicity
 from tracewright.llm.common import table
 
 
@@ -53,7 +53,20 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = (op1_contextual_pii, op2_crf_language_id, op3_benchmark_decontamination, op4_toxic_segments, op5_best_fit_packing, op6_quality_rules, op7_stupid_backoff, op8_suffix_array_dedup, op9_ngram_jaccard_join, op10_secret_scans)
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repair.damaged(table(spark, sf_dir, "conversations"))
+    return repair.digest(rows, repair.plans(rows))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automata.digest(automata.deduplicate(table(spark, sf_dir, "documents")))
+
+
+QUERIES = (op1_contextual_pii, op2_crf_language_id, op3_benchmark_decontamination, op4_toxic_segments, op5_best_fit_packing, op6_quality_rules, op7_stupid_backoff, op8_suffix_array_dedup, op9_ngram_jaccard_join, op10_secret_scans, op11_conversation_trie, op12_structure_repair, op13_substring_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -61,4 +74,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_benchmark_decontamination": decontam.ORACLE}
+    return {"op3_benchmark_decontamination": decontam.ORACLE, "op11_conversation_trie": prefixes.ORACLE, "op12_structure_repair": repair.ORACLE, "op13_substring_dedup": automata.ORACLE}
