@@ -68,7 +68,7 @@ def signatures(rows: DataFrame) -> DataFrame:
     light = _keyed(rows).select("conv_id", "turn", "role", "d1", "d2", "gone", fault.alias("fault")).repartition("conv_id")
     again = F.row_number().over(Window.partitionBy("conv_id", "gone", "d1", "d2").orderBy(F.col("turn").asc_nulls_first())) > 1
     light = light.withColumn("fault", F.when(again & (F.col("fault") != 1), 2).otherwise(F.col("fault")))
-    light = light.sortWithinPartitions("conv_id", *_order()).select("conv_id", F.col("turn").cast("long").alias("turn"), F.left("role", F.lit(1)).alias("role"), "gone", "fault")
+    light = light.sortWithinPartitions("conv_id", *_order(), F.col("fault") == 2).select("conv_id", F.col("turn").cast("long").alias("turn"), F.left("role", F.lit(1)).alias("role"), "gone", "fault")
     return mapped(light, _signed, "conv_id long, gaps long, blank long, duplicate long, truncated long, illegal long, signature string")
 
 
@@ -318,7 +318,7 @@ _END = "[{'c': 0, 'e': ''}, {'c': 10, 'e': 'II'}, {'c': 5, 'e': 'I'}, {'c': 0, '
 #: Edits as a cheapest string per state, layer by layer from the last row; then a walk along the edits to write what they leave.
 ORACLE = f"""WITH RECURSIVE o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {CRC32.format("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS code FROM conversations),
 d AS (SELECT conv_id, turn, CASE code WHEN 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN code = 3 THEN [0, 1] ELSE [0] END) AS copy FROM o WHERE code <> 0),
-n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS rn, rtrim(text, {_SPACE}) AS body, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS seen FROM d),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS rn, rtrim(text, {_SPACE}) AS body, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen FROM d),
 f AS (SELECT *, CASE WHEN body = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault, CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'o' END AS r, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY rn) AS b FROM n),
 s AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (b IS NOT NULL AND b || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal,
  list(CASE WHEN fault IN ('blank', 'duplicate') THEN 'x' WHEN fault = 'truncated' THEN upper(r) ELSE r END ORDER BY rn DESC) AS sig, list({{'role': role, 'text': text}} ORDER BY rn) AS said FROM f GROUP BY conv_id),
