@@ -59,8 +59,11 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """docs with a number for each row, so that rows without a doc_id and rows that share one are judged each. A stage reads files that do not change, so its rows keep their numbers however often they are read."""
-    return docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row"))
+    """docs with a number for each row, so that rows without a doc_id and rows that share one are judged each.
+
+    Numbers follow from how files are dealt to tasks, which changes with the cores that are there, so they are written with their rows, once a stage.
+    """
+    return settle(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "pipeline-rows")
 
 
 def kept(rows: DataFrame, rejected: DataFrame) -> DataFrame:

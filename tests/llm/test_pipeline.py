@@ -150,3 +150,29 @@ def test_run_over_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     spark.createDataFrame([], ITEMS).write.parquet(f"{d}/benchmark.parquet")
     assert corpus_pipeline.run(spark, d).count() == 0
+
+
+def test_rows_keep_their_numbers_when_files_are_dealt_anew(spark, tmp_path):
+    """Between finding and removing, files are packed into tasks another way, as when executors come or go."""
+    documents, _, items = fixture_rows()
+    d = str(tmp_path)
+    spark.createDataFrame(documents, DOCS_SCHEMA).repartition(6).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame(items, ITEMS).write.parquet(f"{d}/benchmark.parquet")
+    leaks = [shingle_set(t) for i, t in items if i is not None]
+    leaked = lambda t: any(s and 4 * len(s & shingle_set(t)) >= 3 * len(s) for s in leaks)
+    sets = {i: shingle_set(r[1]) for i, r in enumerate(documents)}
+    assert sum(leaked(r[1]) for r in documents) > 2 and len(sets) > 100
+    want = {corpus_pipeline.benchmark_decontamination: Counter(r[1] for r in documents if not leaked(r[1]))}
+    found, groups = components([(i, r[1]) for i, r in enumerate(documents)]), {}
+    for i, (_, c) in found.items():
+        groups.setdefault(c, []).append(i)
+    first = [min(g, key=lambda i: (documents[i][0] is None, documents[i][0] or 0, i)) for g in groups.values()]
+    want[corpus_pipeline.near_duplicates] = Counter(documents[i][0] for i in first)
+    for stage, rows_ in want.items():
+        try:
+            spark.conf.set("spark.sql.files.minPartitionNum", "1")
+            out = stage(spark, spark.read.parquet(f"{d}/documents.parquet"), d)
+            spark.conf.set("spark.sql.files.minPartitionNum", "13")
+            assert Counter(r.text if stage is corpus_pipeline.benchmark_decontamination else r.doc_id for r in out.collect()) == rows_
+        finally:
+            spark.conf.unset("spark.sql.files.minPartitionNum")
