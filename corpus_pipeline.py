@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm import decontam, jaccard, packing, quality, secrets
-from tracewright.llm.common import rows_bound, settle, table
+from tracewright.llm.common import checked, rows_bound, settle, table
+from tracewright.llm.spans import SPAN_BYTES
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -47,7 +48,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     found = secrets.scan(docs).withColumn("secrets", F.concat("base", "added")).where(F.size("secrets") > 0)
     found = settle(found.select("blob", "secrets").dropDuplicates(["blob"]), "secrets")
     held = docs.select(*COLUMNS).withColumn("blob", secrets.blob_of("text"))
-    out = held.join(F.broadcast(found) if rows_bound(found, 250_000) else found, "blob", "left")
+    out = held.join(checked(found, 160 + SPAN_BYTES * F.size("secrets")), "blob", "left")
     some = F.col("secrets").isNotNull()
     out = out.withColumn("text", F.when(some, secrets.redacted(F.col("text"), F.col("secrets"))).otherwise(F.col("text")))
     return out.withColumn("n_chars", F.when(some, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)

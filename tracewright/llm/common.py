@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The six bytes that separate words.
@@ -115,6 +115,16 @@ def rows_bound(df: DataFrame, most: int) -> bool:
     return df.limit(most + 1).count() <= most
 
 
+#: Bytes of rows that are broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def checked(df: DataFrame, width: Column) -> DataFrame:
+    """df, broadcast if its rows, of ``width`` bytes each, come to BROADCAST_BYTES at most; beyond, it is left to a shuffle, whose skewed side Spark splits. For settled rows, which are summed up here."""
+    size = df.agg(F.sum(width.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
 def of_worker(key: str, make: Callable[[], object]) -> object:
     """What a Python worker keeps from task to task under a key. It keeps one thing: another key drops it, so memory stays that of one operator."""
     held = sys.__dict__.setdefault("_tracewright_held", {})

@@ -2,9 +2,9 @@
 
 Base spans are seeds, each of its kind. What stands around a span or an identifier-like token (a token with
 several digits) is a lexical pattern: two words on a side or one on each, and, backed off, one word with the
-token's shape, or the shapes of all three. Patterns and instances make a bipartite graph that is scored in
+token's shape, the shapes of all three, or the token's shape alone. Contexts reach 48 characters (REACH) to either side. Patterns and instances make a bipartite graph that is scored in
 turns: for each kind a pattern is worth the lower bound (Wilson) of the share of its distinct instances that are
-believed so far, an instance the noisy-or of the patterns trusted for a kind. Instances believed enough count as
+believed so far (tokens that a kind's own test refutes, like numbers that fail Luhn's, are no instances of it), an instance the noisy-or of the patterns trusted for a kind. Instances believed enough count as
 seeds of the next turn, so what one turn finds can induce patterns in the next. Trusted patterns then give the
 tokens that no base pattern knows. The texts are read once; the turns run over aggregated edges.
 
@@ -18,8 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import rows_bound, settle, texts
-from tracewright.llm.spans import Kind, count_of, flat, joined, with_spans
+from tracewright.llm.common import checked, settle, texts
+from tracewright.llm.spans import SPAN_BYTES, Kind, count_of, flat, joined, with_spans
 
 #: Possessive where nothing that follows could take back what was matched, so that long runs need no stack.
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})){3}\z"
@@ -33,8 +33,6 @@ KINDS = (
 TOKENS = Kind("token", r"(?<![A-Za-z0-9])(?=[A-Za-z/.-]*+[0-9])[A-Za-z0-9]++(?:[-/.][A-Za-z0-9]++)*+", lambda m: (F.length(m) >= 6) & (_digits(m) >= 4), "rlike(text, '[0-9]')")
 #: As far as contexts reach, in characters.
 REACH = 48
-#: Trusted patterns, believed instances and rows with added spans are broadcast up to so many; beyond, they meet the rest by a shuffle.
-BROADCAST_ROWS = 100_000
 
 
 def _digits(m: Column) -> Column:
@@ -47,7 +45,7 @@ def _shape(x: Column, digits: str) -> Column:
 
 
 def _contexts(text: Column, s: Column) -> Column:
-    """The patterns of a span: two words before it, one on each side, two after it; one word and its own shape; the shapes of both words and its own."""
+    """The patterns of a span: two words before it, one on each side, two after it; one word and its own shape; the shapes of both words and its own; its own alone."""
     before = F.lower(F.substring(text, F.greatest(s["start"] - REACH + 1, F.lit(1)), F.least(s["start"], F.lit(REACH))))
     after = F.lower(F.substring(text, s["stop"] + 1, F.lit(REACH)))
     left2 = F.regexp_extract(before, r"(\S+\s+\S+)\s*$", 1)
@@ -62,6 +60,7 @@ def _contexts(text: Column, s: Column) -> Column:
         F.when(left1 != "", F.concat_ws(" ", F.lit("l"), left1, own)),
         F.when(right1 != "", F.concat_ws(" ", F.lit("r"), own, right1)),
         F.concat_ws(" ", F.lit("s"), wide(left1), own, wide(right1)),
+        F.concat(F.lit("o "), own),
     )
     return F.array_compact(patterns)
 
@@ -93,28 +92,37 @@ def bootstrap(items: DataFrame, *, turns: int = 3, trust: float = 0.5, least: in
     the bound at 1.64 and trust at 0.5 five of five, fourteen of twenty, fifty-nine of a hundred. Unseen identifiers
     count against it until a turn has found them.
     """
-    edges = settle(items.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pii-edges")
-    sizes = edges.groupBy("pattern").agg(F.count("*").alias("n"))
+    edges = items.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
+    edges = settle(edges.withColumn("refuted", F.when(F.col("seed").isNull(), refuted("instance")).otherwise(F.array().cast("array<string>"))), "pii-edges")
+    out = F.create_map(*(x for k in KINDS for x in (F.lit(k.name), F.count_if(F.array_contains("refuted", k.name)))))
+    sizes = edges.groupBy("pattern").agg(F.count("*").alias("all"), out.alias("out"))
     sure = edges.where("seed is not null").groupBy("pattern", F.col("seed").alias("kind")).agg(F.count("*").cast("double").alias("k"))
-    open_ = edges.where("seed is null").select("pattern", "instance")
+    open_ = edges.where("seed is null").select("pattern", "instance", "refuted")
     trusted = None
     for turn in range(turns):
         told = sure
         if turn:
             # candidates that trusted patterns vouch for are seeds from now on, weighed by belief
-            heard = open_.join(few(trusted), "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.col("belief"))))).alias("belief"))
+            heard = open_.join(few(trusted, "pattern"), "pattern").where(~F.array_contains("refuted", F.col("kind"))).groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.col("belief"))))).alias("belief"))
             heard = settle(heard.where(F.col("belief") >= trust).groupBy("instance").agg(F.max_by("kind", F.struct("belief", "kind")).alias("kind"), F.max("belief").alias("belief")), "pii-heard")
-            told = sure.union(open_.join(few(heard), "instance").groupBy("pattern", "kind").agg(F.sum("belief").alias("k"))).groupBy("pattern", "kind").agg(F.sum("k").alias("k"))
+            told = sure.union(open_.join(few(heard, "instance"), "instance").groupBy("pattern", "kind").agg(F.sum("belief").alias("k"))).groupBy("pattern", "kind").agg(F.sum("k").alias("k"))
         # k alone bounds the worth from above: most patterns go before they meet their sizes
         told = told.where((F.col("k") >= least) & (lower_bound(F.col("k"), F.col("k"), z) >= trust))
-        trusted = told.join(sizes, "pattern").withColumn("belief", lower_bound(F.col("k"), F.col("n"), z))
+        trusted = told.join(sizes, "pattern").withColumn("n", F.col("all") - F.col("out")[F.col("kind")]).withColumn("belief", lower_bound(F.col("k"), F.col("n"), z))
         trusted = settle(trusted.where(F.col("belief") >= trust).select("pattern", "kind", "belief"), "pii-trusted")
     return trusted
 
 
-def few(df: DataFrame) -> DataFrame:
-    """df, broadcast if it has at most BROADCAST_ROWS rows (of a pattern or an instance, which are short)."""
-    return F.broadcast(df) if rows_bound(df, BROADCAST_ROWS) else df
+def few(df: DataFrame, key: str) -> DataFrame:
+    """df, a pattern or an instance a row, broadcast if its bytes are few."""
+    return checked(df, 64 + F.octet_length(key))
+
+
+def refuted(instance: str | Column) -> Column:
+    """The kinds whose pattern an instance matches as a whole while it fails their test: it is certainly none of them, and says nothing about their patterns."""
+    c = F.col(instance) if isinstance(instance, str) else instance
+    none = F.lit(None).cast("string")
+    return F.array_compact(F.array(*(F.when(c.rlike(rf"\A(?:{k.pattern})\z") & ~k.valid(c), F.lit(k.name)).otherwise(none) for k in KINDS if k.valid)))
 
 
 def graph(rows: DataFrame) -> DataFrame:
@@ -127,11 +135,11 @@ def find_pii(docs: DataFrame, *, turns: int = 3, trust: float = 0.5) -> DataFram
     rows = settle(extract(docs), "pii-rows")
     items = graph(rows)
     trusted = bootstrap(items.select("instance", "seed", "pattern"), turns=turns, trust=trust)
-    found = items.where("seed is null").join(few(trusted), "pattern").groupBy("row", "start", "stop", "kind").agg(F.sum(F.log1p(-F.col("belief"))).alias("doubt"))
+    found = items.where("seed is null").join(few(trusted, "pattern"), "pattern").where(~F.array_contains(refuted("instance"), F.col("kind"))).groupBy("row", "start", "stop", "kind").agg(F.sum(F.log1p(-F.col("belief"))).alias("doubt"))
     found = found.groupBy("row", "start", "stop").agg(F.min_by("kind", F.struct("doubt", "kind")).alias("kind"))
     found = settle(found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(F.concat(F.lit("context-"), "kind").alias("kind"), "start", "stop"))).alias("added")), "pii-added")
     none = F.array().cast("array<struct<kind:string,start:int,stop:int>>")
-    return rows.select("row", "doc_id", "base").join(few(found), "row", "left").select("doc_id", "base", F.coalesce("added", none).alias("added"))
+    return rows.select("row", "doc_id", "base").join(checked(found, 64 + 2 * SPAN_BYTES * F.size("added")), "row", "left").select("doc_id", "base", F.coalesce("added", none).alias("added"))
 
 
 def masked(docs: DataFrame, *, turns: int = 3, trust: float = 0.5) -> DataFrame:
@@ -140,7 +148,7 @@ def masked(docs: DataFrame, *, turns: int = 3, trust: float = 0.5) -> DataFrame:
     hide = F.pmod(F.xxhash64("instance"), F.lit(3)) == 0
     items = settle(items.withColumn("seed", F.when(~hide, F.col("truth"))), "pii-masked")
     trusted = bootstrap(items.select("instance", "seed", "pattern"), turns=turns, trust=trust)
-    said = items.where("seed is null").join(few(trusted), "pattern").groupBy("instance", "truth", "kind").agg(F.sum(F.log1p(-F.col("belief"))).alias("doubt"))
+    said = items.where("seed is null").join(few(trusted, "pattern"), "pattern").where(~F.array_contains(refuted("instance"), F.col("kind"))).groupBy("instance", "truth", "kind").agg(F.sum(F.log1p(-F.col("belief"))).alias("doubt"))
     said = said.groupBy("instance", "truth").agg(F.min_by("kind", F.struct("doubt", "kind")).alias("kind"))
     asked = items.where("truth is not null and seed is null").select("instance", "truth").distinct().groupBy(F.col("truth").alias("kind")).agg(F.count("*").alias("hidden"))
     told = said.groupBy("kind").agg(F.count_if(F.col("kind") == F.col("truth")).alias("found"), F.count("*").alias("claimed"))

@@ -16,8 +16,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import own_path, rows_bound, settle, texts
-from tracewright.llm.spans import Kind, count_of, flat, joined, with_spans
+from tracewright.llm.common import checked, own_path, settle, texts
+from tracewright.llm.spans import SPAN_BYTES, Kind, count_of, flat, joined, with_spans
 
 ASSIGN = r"""((?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: {24,} and {16,} take the same whole runs as + with a test of the length, without a match at every letter.
@@ -33,8 +33,6 @@ MORE = (
 )
 #: Of the patterns as they stand: a changed one makes every pair unseen.
 RULES_VERSION = "rules-" + hashlib.sha256(repr([(k.name, k.pattern) for k in (*BASE, *MORE)]).encode()).hexdigest()[:12]
-#: Blobs with findings are broadcast up to so many; beyond, they meet the paths by a shuffle, whose skewed side Spark splits.
-BROADCAST_ROWS = 100_000
 LEDGER_SCHEMA = "blob string, rules string, base array<struct<kind:string,start:int,stop:int>>, added array<struct<kind:string,start:int,stop:int>>"
 
 
@@ -78,7 +76,7 @@ def scan(docs: DataFrame, *, ledger: str | None = None, rules: str = RULES_VERSI
     new.write.mode("append").option("compression", "zstd").parquet(ledger)
     known = read_ledger(spark, ledger, rules).where("size(base) + size(added) > 0")
     known = settle(known.join(wanted.select("blob"), "blob", "left_semi").dropDuplicates(["blob"]), "secret-known")
-    out = paths.join(F.broadcast(known) if rows_bound(known, BROADCAST_ROWS) else known, "blob", "left")
+    out = paths.join(checked(known, 160 + SPAN_BYTES * F.size(F.concat("base", "added"))), "blob", "left")
     none = F.array().cast("array<struct<kind:string,start:int,stop:int>>")
     return out.select("doc_id", "blob", F.coalesce("base", none).alias("base"), F.coalesce("added", none).alias("added"))
 

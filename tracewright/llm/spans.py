@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPAN = "struct<start:int,stop:int,text:string>"
+#: Of a (kind, start, stop) in memory.
+SPAN_BYTES = 56
 
 
 @dataclass(frozen=True)
