@@ -2,11 +2,12 @@
 
 import json
 import os
+import random
 import time
+from collections import Counter
 from datetime import datetime, timezone
 
-import pandas as pd
-import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import TRANSCRIPT
@@ -118,14 +119,26 @@ def test_ledger_tail(spark, tmp_path):
     assert read_ledger_tail(spark, str(file)).count() == 100
 
 
-def test_throttle_over_batches():
-    times = pd.to_datetime([0, 5, 10, 12, 21, 3, 4, 14], unit="m")
-    keys = ["a"] * 5 + [None] * 3
-    whole = pa.RecordBatch.from_pydict({"k": keys, "ts": pa.array(times, pa.timestamp("us"))})
-    for size in (1, 2, 3, 8):
-        parts = [whole.slice(i, size) for i in range(0, 8, size)]
-        got = pa.Table.from_batches(list(ledger._spaced(iter(parts), 1, 10 * 60_000_000)))
-        assert [(k, t.minute) for k, t in zip(got["k"].to_pylist(), got["ts"].to_pylist())] == [("a", 0), ("a", 10), ("a", 21), (None, 3), (None, 14)]
+@pytest.mark.parametrize(("hot", "run"), [(1_000_000, 10_000), (0, 10_000), (0, 3), (40, 0)])
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_throttle_matches_a_loop(spark, monkeypatch, hot, run, kind):
+    """Keys in one task, and hot ones split over tasks, whose runs are folded or followed by doubled pointers."""
+    monkeypatch.setattr(ledger, "HOT", hot)
+    monkeypatch.setattr(ledger, "RUN", run)
+    rng = random.Random(5)
+    data = [(k, s, rng.choice([1, 1, 1, 50]) * rng.randrange(40_000)) for k in ("a", None) for s in (1, 2) for _ in range(80)]
+    data += [("hot", 1, 97 * i) for i in range(400)] + [("same", 1, 5)] * 3 + [("edge", 1, 600 * i) for i in range(5)] + [("none", 1, None)]
+    rows = spark.createDataFrame([(k, s, None if t is None else t) for k, s, t in data], "k string, s int, sec long").selectExpr("k", "s", f"cast(timestamp_seconds(sec) as {kind}) as ts")
+    want = []
+    for key in {d[:2] for d in data}:
+        last = None
+        for t in sorted({d[2] for d in data if d[:2] == key and d[2] is not None}):
+            if last is None or t >= last + 600:
+                want.append((*key, t))
+                last = t
+    got = ledger.throttle(rows, ["k", "s"], "ts")
+    assert got.schema["ts"].dataType.typeName() == kind
+    assert Counter((r.k, r.s, r.t) for r in got.selectExpr("k", "s", "unix_seconds(cast(ts as timestamp)) as t").collect()) == Counter(want)
 
 
 def test_counted(spark):
