@@ -13,7 +13,7 @@ from tracewright.functions import vocab as V
 from tracewright.functions.regex import java
 from tracewright.operators import ledger, metrics, records, sessionize
 from tracewright.operators import prompts as quality
-from tracewright.plans import fixtures, session_fixtures
+from tracewright.plans import fixtures, session_fixtures, table_sessions
 from tracewright.sources.tables import event_sessions, prompts, table
 from tracewright.sources.transcripts import is_subagent_path
 
@@ -349,8 +349,8 @@ def sql_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     assert session_fixtures  # registers with the other fixtures
-    return QUERIES | fixtures.queries()
+    return QUERIES | table_sessions.queries() | fixtures.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | fixtures.oracle_sql()
+    return SQL | table_sessions.oracle_sql() | fixtures.oracle_sql()

@@ -52,7 +52,17 @@ BLOCKS = Rows(
 )
 
 
-def json_lines(l: DataFrame, b: DataFrame) -> DataFrame:  # noqa: E741
+def tool_results(l: DataFrame) -> Column:  # noqa: E741
+    """What a host notes beside a result: edits (as hunks, or as a written file) and commits; null for lines that have none of it."""
+    if "noted" not in l.columns:
+        return F.lit(None).cast("struct<userModified:boolean>")
+    hunk = F.struct(F.concat(F.array_repeat(F.lit("+a"), F.col("added")), F.array_repeat(F.lit("-b"), F.col("removed")), F.array(F.lit(" c"))).alias("lines"))
+    git = F.struct(F.lit("abc").alias("commit"), F.when(F.col("pushed"), F.lit(True)).alias("push"))
+    noted = F.struct(F.col("modified").alias("userModified"), F.when(F.col("added").isNotNull(), F.array(hunk)).alias("structuredPatch"), F.when(F.col("written").isNotNull(), F.struct(F.col("written").alias("content"))).alias("file"), F.when(F.col("committed"), git).alias("gitOperation"))
+    return F.when(F.col("noted"), noted)
+
+
+def json_lines(l: DataFrame, b: DataFrame, project: Column | None = None) -> DataFrame:  # noqa: E741
     """session_id, line_no, path and the JSON text of every line."""
     kind = F.col("kind")
     of = lambda k, c: F.when(kind == k, F.col(c))
@@ -63,9 +73,10 @@ def json_lines(l: DataFrame, b: DataFrame) -> DataFrame:  # noqa: E741
     blocks = b.groupBy("s", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", block.alias("b")))), lambda x: x["b"]).alias("blocks"), F.max(of("string", "t")).alias("said"))
     usage = F.struct(F.col("o").alias("output_tokens"), F.col("i").alias("input_tokens"), F.col("cr").alias("cache_read_input_tokens"), F.col("cc").alias("cache_creation_input_tokens"), F.col("tier").alias("service_tier"))
     message = lambda content: F.when(F.col("type") != "system", F.struct(F.col("msg").alias("id"), "model", F.when(F.col("type") == "assistant", usage).alias("usage"), F.col(content).alias("content")))
-    line = lambda content: F.to_json(F.struct("type", "subtype", F.col("ts").alias("timestamp"), "cwd", F.col("branch").alias("gitBranch"), F.col("mode").alias("permissionMode"), message(content).alias("message")))
+    line = lambda content: F.to_json(F.struct("type", "subtype", F.col("ts").alias("timestamp"), "cwd", F.col("branch").alias("gitBranch"), F.col("mode").alias("permissionMode"), message(content).alias("message"), tool_results(l).alias("toolUseResult")))
     rows = l.join(blocks, ["s", "n"], "left").withColumn("line", F.when(F.col("said").isNotNull(), line("said")).otherwise(line("blocks")))
-    project = F.when(F.col("s") == A, "-Users-kim-code-shop").when(F.col("s") == B, "-home-kim-api").otherwise("plain")
+    if project is None:
+        project = F.when(F.col("s") == A, "-Users-kim-code-shop").when(F.col("s") == B, "-home-kim-api").otherwise("plain")
     return rows.select(F.col("s").alias("session_id"), F.col("n").cast("int").alias("line_no"), F.concat(project, F.lit("/"), "s", F.lit(".jsonl")).alias("path"), "line")
 
 
@@ -78,16 +89,16 @@ def _told(array: str, *fields: str) -> Column:
     return F.array_join(F.transform(array, lambda x: F.concat_ws("/", *(F.coalesce(x[f].cast("string"), F.lit("")) for f in fields))), ",")
 
 
-@query(
-    """, f AS (SELECT s, n, row_number() OVER (PARTITION BY s, coalesce(msg, 'anon-' || n) ORDER BY n) AS r FROM l WHERE type = 'assistant')
+LINES_SQL = """, f AS (SELECT s, n, row_number() OVER (PARTITION BY s, coalesce(msg, 'anon-' || n) ORDER BY n) AS r FROM l WHERE type = 'assistant')
 SELECT l.s AS session_id, CAST(count(*) FILTER (f.r = 1) AS BIGINT) AS turns, CAST(coalesce(sum(o) FILTER (f.r = 1), 0) AS BIGINT) AS token_total, CAST(coalesce(sum(i) FILTER (f.r = 1), 0) AS BIGINT) AS input_tokens,
 CAST(coalesce(sum(cr) FILTER (f.r = 1), 0) AS BIGINT) AS cache_read, CAST(coalesce(sum(cc) FILTER (f.r = 1), 0) AS BIGINT) AS cache_creation, arg_min(ts, l.n) FILTER (ts IS NOT NULL) AS started_at, arg_max(ts, l.n) FILTER (ts IS NOT NULL) AS ended_at,
 CAST(greatest(0, round((epoch_ms(strptime(arg_max(ts, l.n) FILTER (ts IS NOT NULL), '%Y-%m-%dT%H:%M:%S.%fZ')) - epoch_ms(strptime(arg_min(ts, l.n) FILTER (ts IS NOT NULL), '%Y-%m-%dT%H:%M:%S.%fZ'))) / 1000)) AS BIGINT) AS duration_s,
 coalesce(arg_max(model, l.n) FILTER (model IS NOT NULL), '') AS model, coalesce(arg_max(tier, l.n) FILTER (tier IS NOT NULL AND f.r = 1), '') AS tier, coalesce(arg_max(cwd, l.n) FILTER (cwd IS NOT NULL), '') AS cwd,
 coalesce(arg_max(branch, l.n) FILTER (branch IS NOT NULL), '') AS branch, coalesce(arg_max(mode, l.n) FILTER (mode IS NOT NULL), '') AS mode, CAST(count(*) FILTER (type = 'system' AND contains(lower(subtype), 'compact')) AS BIGINT) AS compactions
-FROM l LEFT JOIN f ON f.s = l.s AND f.n = l.n GROUP BY l.s""",
-    LINES, BLOCKS,
-)
+FROM l LEFT JOIN f ON f.s = l.s AND f.n = l.n GROUP BY l.s"""
+
+
+@query(LINES_SQL, LINES, BLOCKS)
 def fx_session_lines(l: DataFrame, b: DataFrame) -> DataFrame:  # noqa: E741
     """What a session's lines say: times, tokens without repeated messages, model, place, compactions."""
     n = lambda c, a: F.col(c).cast("long").alias(a)
@@ -100,21 +111,26 @@ def fx_session_lines(l: DataFrame, b: DataFrame) -> DataFrame:  # noqa: E741
 SAYS = "regexp_matches(t, '^\\s*<') OR regexp_matches(t, '^\\s*Caveat:') OR contains(t, '[Request interrupted by user')"
 
 
-@query(
-    f""", t AS (SELECT b.*, l.type, trim(b.t, ' ' || chr(10)) AS said, l.n * 1000 + k AS o, coalesce(l.msg, 'anon-' || l.n) AS m FROM b JOIN l ON l.s = b.s AND l.n = b.n),
+#: Blocks with their line (t), results with the name of their call (r), events (e), calls a message (p).
+BLOCK_TABLES = """, t AS (SELECT b.*, l.type, trim(b.t, ' ' || chr(10)) AS said, l.n * 1000 + k AS o, coalesce(l.msg, 'anon-' || l.n) AS m FROM b JOIN l ON l.s = b.s AND l.n = b.n),
 r AS (SELECT r.s, r.o, r.id, r.t, coalesce(r.err, false) AS err, coalesce(arg_max(c.name, c.o), '') AS name FROM t r LEFT JOIN t c ON c.kind = 'tool_use' AND c.s = r.s AND c.id = r.id AND c.o < r.o WHERE r.kind = 'tool_result' GROUP BY ALL),
 e AS (SELECT s, o, kind || '/' || name AS x FROM t WHERE kind = 'tool_use' UNION ALL SELECT s, o, 'tool_result/' || name FROM r UNION ALL SELECT s, o, kind || '/' FROM t WHERE type = 'assistant' AND ((kind = 'text' AND said <> '') OR kind = 'thinking')),
 p AS (SELECT s, m, count(*) FILTER (kind = 'tool_use') AS n FROM t WHERE type = 'assistant' GROUP BY ALL)
-SELECT s AS session_id, coalesce((SELECT string_agg(name || '/' || coalesce(id, '') || '/' || coalesce(path, ''), ',' ORDER BY o) FROM t WHERE t.s = x.s AND kind = 'tool_use'), '') AS calls,
+"""
+
+
+def blocks_sql(project: str) -> str:
+    return f"""{BLOCK_TABLES}SELECT s AS session_id, coalesce((SELECT string_agg(name || '/' || coalesce(id, '') || '/' || coalesce(path, ''), ',' ORDER BY o) FROM t WHERE t.s = x.s AND kind = 'tool_use'), '') AS calls,
 coalesce((SELECT string_agg(id || '/' || name || '/' || t || '/' || err, ',' ORDER BY o) FROM r WHERE r.s = x.s), '') AS results, coalesce((SELECT string_agg(e.x, ',' ORDER BY o) FROM e WHERE e.s = x.s), '') AS events,
 coalesce((SELECT string_agg(name, ',' ORDER BY o) FROM (SELECT name, min(o) AS o FROM t WHERE t.s = x.s AND kind = 'tool_use' GROUP BY name)), '') AS tools, coalesce((SELECT string_agg(sub, ',' ORDER BY o) FROM t WHERE t.s = x.s AND sub IS NOT NULL), '') AS subagents,
 coalesce((SELECT string_agg(said, '|' ORDER BY o) FROM t WHERE t.s = x.s AND type = 'user' AND kind IN ('text', 'string') AND said <> ''), '') AS typed, coalesce((SELECT string_agg(said, '|' ORDER BY o) FROM t WHERE t.s = x.s AND type = 'user' AND kind IN ('text', 'string') AND said <> '' AND NOT ({SAYS})), '') AS prompts,
-coalesce((SELECT string_agg(said, chr(10) ORDER BY o) FROM t WHERE t.s = x.s AND type = 'assistant' AND kind = 'text' AND said <> ''), '') AS shown, coalesce((SELECT arg_min(said, o) FROM t WHERE t.s = x.s AND type = 'user' AND kind IN ('text', 'string') AND said <> '' AND NOT ({SAYS})), '') AS first_user_text,
+left(coalesce((SELECT string_agg(said, chr(10) ORDER BY o) FROM t WHERE t.s = x.s AND type = 'assistant' AND kind = 'text' AND said <> ''), ''), 4000) AS shown, coalesce((SELECT arg_min(said, o) FROM t WHERE t.s = x.s AND type = 'user' AND kind IN ('text', 'string') AND said <> '' AND NOT ({SAYS})), (SELECT arg_min(said, o) FROM t WHERE t.s = x.s AND type = 'user' AND kind IN ('text', 'string') AND said <> ''), '') AS first_user_text,
 CAST(coalesce((SELECT max(n) FROM p WHERE p.s = x.s), 0) AS BIGINT) AS parallel, CAST(coalesce((SELECT sum(length(t)) FROM t WHERE t.s = x.s AND kind = 'thinking'), 0) AS BIGINT) AS thinking_chars, CAST((SELECT count(*) FROM t WHERE t.s = x.s AND kind = 'thinking') AS BIGINT) AS thinking_blocks,
 CAST((SELECT count(*) FROM r WHERE r.s = x.s AND contains(t, 'doesn''t want to proceed')) AS BIGINT) AS denials, CAST((SELECT count(*) FROM t WHERE t.s = x.s AND type = 'user' AND contains(t, '[Request interrupted by user')) AS BIGINT) AS interruptions,
-(SELECT count(*) > 0 FROM t WHERE t.s = x.s AND type = 'user' AND contains(t, 'session is being continued from a previous conversation')) AS continued, CASE s WHEN '{A}' THEN 'shop' WHEN '{B}' THEN 'api' ELSE 'plain' END AS project FROM (SELECT DISTINCT s FROM l) x""",
-    LINES, BLOCKS,
-)
+(SELECT count(*) > 0 FROM t WHERE t.s = x.s AND type = 'user' AND contains(t, 'session is being continued from a previous conversation')) AS continued, {project} AS project FROM (SELECT DISTINCT s FROM l) x"""
+
+
+@query(blocks_sql(f"CASE s WHEN '{A}' THEN 'shop' WHEN '{B}' THEN 'api' ELSE 'plain' END"), LINES, BLOCKS)
 def fx_session_blocks(l: DataFrame, b: DataFrame) -> DataFrame:  # noqa: E741
     """What a session's blocks say: calls, results with the name of their call, events, texts, and the project of its path."""
     n = lambda c, a: F.col(c).cast("long").alias(a)
