@@ -1,7 +1,9 @@
-"""Sessions from transcript lines: an ordered fold of each session's lines, as grouped aggregates.
+"""Sessions from transcript lines: an ordered fold of each session's lines, as aggregates that merge.
 
-Lines are dealt by session once; the dedupe of messages, the look-up of a result's call and all aggregates
-reuse that partitioning. Order is (line_no, block_no), the place in the file.
+What lines say is summed in two levels, by message (many lines repeat one message, the first counts) and by session, so
+a task sums what it has read and sums meet in order. Blocks are dealt by session and call to find the call of a result, and
+then meet by session. So a session's lines may lie in any number of tasks. Order is (line_no, block_no), the place in
+the file; line_no is whatever is ordered, a number or a place (see read_lines).
 """
 
 from __future__ import annotations
@@ -39,12 +41,13 @@ def line_table(lines: DataFrame) -> DataFrame:
         text_of("v", "$.type").alias("type"), text_of("v", "$.subtype").alias("subtype"), text_of("v", "$.sessionId").alias("inner_id"), text_of("v", "$.timestamp").alias("ts"),
         text_of("v", "$.cwd").alias("cwd"), text_of("v", "$.gitBranch").alias("git_branch"), text_of("v", "$.permissionMode").alias("permission_mode"),
         truthy("v", "$.message").alias("has_message"), text_of("v", "$.message.id").alias("msg_id"), text_of("v", "$.message.model").alias("model"), text_of("v", "$.message.usage.service_tier").alias("service_tier"),
+        F.coalesce(F.size(F.filter(array_of("v", "$.message.content"), lambda b: F.coalesce(F.try_variant_get(b, "$.type", "string") == "tool_use", F.lit(False)))), F.lit(0)).alias("n_calls"), *(("path",) if "path" in lines.columns else ()),
         *(number_of("v", f"$.message.usage.{k}").alias(k) for k in ("output_tokens", "input_tokens", "cache_read_input_tokens", "cache_creation_input_tokens")),
     )
     return d.withColumns({
         "is_assistant": (F.col("type") == "assistant") & F.col("has_message"),
         "is_user": (F.col("type") == "user") & F.col("has_message"),
-        "msg": F.coalesce("msg_id", F.concat(F.lit("anon-"), F.col("line_no"))),
+        "msg": F.coalesce("msg_id", F.concat(F.lit("anon-"), F.col("line_no").cast("string"))),
     })
 
 
@@ -52,7 +55,7 @@ def block_table(line: DataFrame) -> DataFrame:
     """One row a content block, and one for content that is a string."""
     content = F.when(F.col("is_user") & is_string("v", "$.message.content"), F.array(F.parse_json(F.to_json(F.named_struct(F.lit("type"), F.lit("string"), F.lit("text"), F.try_variant_get("v", "$.message.content", "string")))))).when(F.col("is_assistant") | F.col("is_user"), array_of("v", "$.message.content"))
     d = line.select("session_id", "line_no", "ts", "is_assistant", "is_user", "msg", "v", F.posexplode(content).alias("block_no", "b")).where(~F.is_variant_null("b"))
-    d = d.withColumns({"ord": F.col("line_no").cast("long") * (1 << 20) + F.col("block_no"), "kind": text_of("b", "$.type"), "name": text_of("b", "$.name"), "call_id": F.coalesce(text_of("b", "$.id"), text_of("b", "$.tool_use_id"))})
+    d = d.withColumns({"ord": F.struct("line_no", "block_no"), "kind": text_of("b", "$.type"), "name": text_of("b", "$.name"), "call_id": F.coalesce(text_of("b", "$.id"), text_of("b", "$.tool_use_id"))})
     return d.withColumns({
         "is_call": F.col("is_assistant") & (F.col("kind") == "tool_use"),
         "is_result": F.col("is_user") & (F.col("kind") == "tool_result"),
@@ -66,13 +69,15 @@ def result_text(b: str = "b") -> Column:
 
 
 def enriched_blocks(blocks: DataFrame) -> DataFrame:
-    """Blocks with what is derived from each, and results with the name of the latest earlier call that has their id."""
-    earlier = Window.partitionBy("session_id", "call_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    call_name = F.last(F.when(F.col("is_call"), F.col("name")), ignorenulls=True).over(earlier)
+    """Blocks with what is derived from each, and results with the name of the latest earlier call that has their id.
+
+    The lines' own JSON is read before blocks are dealt by session and call, and left behind; blocks of no call are spread.
+    """
     shown = F.when(F.col("is_assistant") & (F.col("kind") == "text"), trim(F.coalesce(text_of("b", "$.text"), F.lit(""))))
     typed = F.when(F.col("is_user") & F.col("kind").isin("text", "string"), F.left(trim(F.coalesce(text_of("b", "$.text"), F.lit(""))), F.lit(V.TEXT_CAP)))
+    hunks = F.filter(F.flatten(F.transform(array_of("v", "$.toolUseResult.structuredPatch"), lambda h: F.coalesce(array_of(h, "$.lines"), F.array().cast("array<variant>")))), lambda x: F.schema_of_variant(x) == "STRING")
+    signed = lambda sign: F.size(F.filter(hunks, lambda x: F.try_variant_get(x, "$", "string").startswith(sign)))
     d = blocks.withColumns({
-        "result_name": F.when(F.col("is_result"), F.coalesce(F.when(F.col("call_id").isNotNull(), call_name), F.lit(""))),
         "file_path": F.when(F.col("is_call"), F.coalesce(*(text_of("b", f"$.input.{k}") for k in ("file_path", "notebook_path", "path")), F.lit(""))),
         "subagent": F.when(F.col("is_call") & F.col("name").isin("Task", "Agent") & is_string("b", "$.input.subagent_type"), F.left(F.try_variant_get("b", "$.input.subagent_type", "string"), F.lit(V.SUBAGENT_CAP))),
         "result": F.when(F.col("is_result"), F.left(result_text(), F.lit(V.RESULT_CAP))),
@@ -80,20 +85,24 @@ def enriched_blocks(blocks: DataFrame) -> DataFrame:
         "shown": F.nullif(shown, F.lit("")),
         "typed": F.nullif(typed, F.lit("")),
         "thinking": F.when(F.col("is_assistant") & (F.col("kind") == "thinking"), F.length(F.coalesce(text_of("b", "$.thinking"), F.lit("")))),
+        "noted": F.col("is_result") & kind_of("v", "$.toolUseResult").startswith("OBJECT"),
+        "patched": F.coalesce(F.size(array_of("v", "$.toolUseResult.structuredPatch")), F.lit(0)) > 0,
+        "written": F.when(is_string("v", "$.toolUseResult.file.content"), F.size(F.split(F.try_variant_get("v", "$.toolUseResult.file.content", "string"), "\n", -1))),
+        "modified": truthy("v", "$.toolUseResult.userModified"),
+        "commit": F.col("is_result") & truthy("v", "$.toolUseResult.gitOperation.commit"),
+        "push": F.col("is_result") & truthy("v", "$.toolUseResult.gitOperation.push"),
     })
-    edit = F.col("result_name").isin(*V.EDIT_TOOLS) & kind_of("v", "$.toolUseResult").startswith("OBJECT")
-    hunks = F.filter(F.flatten(F.transform(array_of("v", "$.toolUseResult.structuredPatch"), lambda h: F.coalesce(array_of(h, "$.lines"), F.array().cast("array<variant>")))), lambda x: F.schema_of_variant(x) == "STRING")
-    patched = F.coalesce(F.size(array_of("v", "$.toolUseResult.structuredPatch")), F.lit(0)) > 0
-    signed = lambda sign: F.size(F.filter(hunks, lambda x: F.try_variant_get(x, "$", "string").startswith(sign)))
-    written = F.when((F.col("result_name") == "Write") & is_string("v", "$.toolUseResult.file.content"), F.size(F.split(F.try_variant_get("v", "$.toolUseResult.file.content", "string"), "\n", -1)))
+    d = d.withColumns({"added": F.when(F.col("noted") & F.col("patched"), signed("+")), "removed": F.when(F.col("noted") & F.col("patched"), signed("-"))}).drop("v", "b")
+    calls = Window.partitionBy("session_id", F.coalesce("call_id", F.concat_ws(" ", F.lit("of none"), F.col("line_no").cast("string"), "block_no"))).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    call_name = F.last(F.when(F.col("is_call"), F.col("name")), ignorenulls=True).over(calls)
+    d = d.withColumn("result_name", F.when(F.col("is_result"), F.coalesce(F.when(F.col("call_id").isNotNull(), call_name), F.lit(""))))
+    edit = F.col("noted") & F.col("result_name").isin(*V.EDIT_TOOLS)
     injected = matches("typed", r"^\s*<") | matches("typed", r"^\s*Caveat:") | matches("typed", V.INTERRUPT)
     return d.withColumns({
         "is_edit": F.coalesce(edit, F.lit(False)),
-        "lines_added": F.when(edit, F.coalesce(F.when(patched, signed("+")), written, F.lit(0))),
-        "lines_removed": F.when(edit & patched, signed("-")),
-        "user_modified": F.coalesce(edit & truthy("v", "$.toolUseResult.userModified"), F.lit(False)),
-        "commit": F.col("is_result") & truthy("v", "$.toolUseResult.gitOperation.commit"),
-        "push": F.col("is_result") & truthy("v", "$.toolUseResult.gitOperation.push"),
+        "lines_added": F.when(edit, F.coalesce("added", F.when(F.col("result_name") == "Write", F.col("written")), F.lit(0))),
+        "lines_removed": F.when(edit, F.col("removed")),
+        "user_modified": F.coalesce(edit & F.col("modified"), F.lit(False)),
         "is_prompt": F.col("typed").isNotNull() & ~injected,
         "event_kind": F.when(F.col("is_call"), "tool_use").when(F.col("is_result"), "tool_result").when(F.col("shown").isNotNull(), "text").when(F.col("thinking").isNotNull(), "thinking"),
     })
@@ -129,19 +138,29 @@ def first_user_text(prompts: Column, typed: Column) -> Column:
     return F.coalesce(F.get(prompts, F.lit(0)), F.get(typed, F.lit(0)), F.lit(""))
 
 
+def message_sums(line: DataFrame) -> DataFrame:
+    """One row a session of what its lines say, summed by message first. Ends are kept with their places, so sums of any parts of a session add up."""
+    at = lambda c, on=F.lit(True): F.when(on & F.col(c).isNotNull(), F.struct(F.col("line_no").alias("o"), F.col(c).alias("x")))
+    ends = {"inner_id": (F.min, at("inner_id")), "started_at": (F.min, at("ts")), "ended_at": (F.max, at("ts")), "model": (F.max, at("model", F.col("is_assistant"))), **{n: (F.max, at(n)) for n in ("cwd", "git_branch", "permission_mode")}}
+    usage = ("output_tokens", "input_tokens", "cache_read_input_tokens", "cache_creation_input_tokens")
+    first = F.when(F.col("is_assistant"), F.struct(F.col("line_no").alias("o"), F.col("service_tier").alias("tier"), *usage))
+    path = {"path": (F.min, F.col("path"))} if "path" in line.columns else {}
+    by_message = line.groupBy("session_id", F.when(F.col("is_assistant"), F.col("msg")).alias("msg")).agg(
+        F.min(first).alias("turn"), F.sum(F.when(F.col("is_assistant"), F.col("n_calls"))).alias("calls"), F.count_if((F.col("type") == "system") & F.lower("subtype").contains("compact")).alias("compactions"), *(f(c).alias(n) for n, (f, c) in (ends | path).items()),
+    )
+    tier = F.when(F.col("turn.tier").isNotNull(), F.struct(F.col("turn.o").alias("o"), F.col("turn.tier").alias("x")))
+    s = by_message.groupBy("session_id").agg(
+        F.count("turn").alias("turn_count"), F.sum("compactions").alias("compactions"), F.coalesce(F.max("calls"), F.lit(0)).cast("long").alias("max_parallel_tools"), F.max(tier)["x"].alias("service_tier"), *(f(F.col(n)).alias(n) for n, (f, _) in (ends | path).items()),
+        *(F.coalesce(F.sum(f"turn.{a}"), F.lit(0)).alias(b) for a, b in zip(usage, ("token_total", "input_tokens", "cache_read_tokens", "cache_creation_tokens"))),
+    )
+    return s.withColumns({n: F.col(n)["x"] for n in ends})
+
+
 def sessionize(lines: DataFrame, project: Callable[[str], Column] | None = None) -> DataFrame:
     """One row a session: counts, and arrays of what is kept for local analysis. project: the project's name from the column ``path`` of lines."""
-    dealt = lines.repartition("session_id")
-    line = line_table(dealt)
-    line = line.withColumn("is_turn", F.col("is_assistant") & first_of_message("session_id", "msg", F.col("is_assistant").cast("int").desc(), "line_no"))
-    per_line = line.groupBy("session_id").agg(
-        _first("inner_id").alias("inner_id"), _first("ts").alias("started_at"), _last("ts").alias("ended_at"), _last("cwd").alias("cwd"), _last("git_branch").alias("git_branch"), _last("permission_mode").alias("permission_mode"),
-        F.count_if((F.col("type") == "system") & F.lower("subtype").contains("compact")).alias("compactions"),
-        F.count_if("is_turn").alias("turn_count"), F.max_by("model", F.when(F.col("is_assistant") & F.col("model").isNotNull(), F.col("line_no"))).alias("model"), F.max_by("service_tier", F.when(F.col("is_turn") & F.col("service_tier").isNotNull(), F.col("line_no"))).alias("service_tier"),
-        *(F.coalesce(F.sum(F.when(F.col("is_turn"), F.col(a))), F.lit(0)).alias(b) for a, b in (("output_tokens", "token_total"), ("input_tokens", "input_tokens"), ("cache_read_input_tokens", "cache_read_tokens"), ("cache_creation_input_tokens", "cache_creation_tokens"))),
-    )
+    line = line_table(lines)
+    per_line = message_sums(line if project is not None else line.drop("path"))
     block = enriched_blocks(block_table(line))
-    block = block.withColumns({"parallel": F.when(F.col("is_assistant"), calls_in_message(F.col("is_call"), "session_id", "msg")), "shown_before": length_before("shown", "session_id", "ord")})
     c = F.col
     per_block = block.groupBy("session_id").agg(
         _ordered(F.struct(c("name"), F.coalesce("call_id", F.lit("")).alias("id"), c("file_path")), c("is_call")).alias("tool_calls"),
@@ -150,15 +169,14 @@ def sessionize(lines: DataFrame, project: Callable[[str], Column] | None = None)
         _ordered("subagent", c("subagent").isNotNull()).alias("subagent_types"), _ordered("typed", c("typed").isNotNull()).alias("user_texts"),
         _ordered("typed", c("is_prompt")).alias("prompt_texts"), _ordered("ts", c("is_prompt")).alias("prompt_times"),
         _ordered(F.left("shown", F.lit(V.TEXT_CAP)), c("shown").isNotNull()).alias("assistant_texts"), _ordered("ts", c("shown").isNotNull()).alias("assistant_times"),
-        head_of("shown", c("shown_before"), V.TEXT_CAP, c("shown").isNotNull()).alias("assistant_text"),
-        F.coalesce(F.max("parallel"), F.lit(0)).alias("max_parallel_tools"), F.coalesce(F.sum("thinking"), F.lit(0)).alias("thinking_chars"), F.count("thinking").alias("thinking_blocks"),
+        F.coalesce(F.sum("thinking"), F.lit(0)).alias("thinking_chars"), F.count("thinking").alias("thinking_blocks"),
         F.count_if(matches("result", V.DENIAL)).alias("denials"), F.count_if(matches("typed", V.INTERRUPT)).alias("interruptions"), F.coalesce(F.bool_or(matches("typed", V.CONTINUATION)), F.lit(False)).alias("is_continuation"),
         F.count_if("commit").alias("commits"), F.coalesce(F.bool_or("push"), F.lit(False)).alias("pushed"), F.count_if("is_edit").alias("edit_results"), F.count_if("user_modified").alias("user_modified_edits"),
         F.coalesce(F.sum("lines_added"), F.lit(0)).alias("lines_added"), F.coalesce(F.sum("lines_removed"), F.lit(0)).alias("lines_removed"),
     )
     s = per_line.join(per_block, "session_id", "left")
-    if project is not None:
-        s = s.join(dealt.groupBy("session_id").agg(F.min("path").alias("path")), "session_id", "left")
+    # texts are not empty: so many fill the head, each of which is cut no shorter than that
+    s = s.withColumn("assistant_text", F.left(F.array_join(F.slice("assistant_texts", 1, V.TEXT_CAP // 2 + 1), "\n"), F.lit(V.TEXT_CAP)))
     empty = {f.name: F.coalesce(f.name, F.array().cast(f.dataType)) for f in s.schema if f.dataType.typeName() == "array"}
     zero = {n: F.coalesce(n, F.lit(0)) for n in ("max_parallel_tools", "thinking_chars", "thinking_blocks", "denials", "interruptions", "commits", "edit_results", "user_modified_edits", "lines_added", "lines_removed")}
     blank = {n: F.coalesce(n, F.lit("")) for n in ("cwd", "git_branch", "permission_mode", "service_tier", "model", "assistant_text")}
