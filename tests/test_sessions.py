@@ -1,12 +1,14 @@
+import json
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from tests.conftest import TRANSCRIPT
 from tracewright.operators.gate import DICTIONARY
 from tracewright.operators.metrics import session_metrics
 from tracewright.operators.sessionize import sessionize
 from tracewright.plans.pipeline import labelled_sessions, records
-from tracewright.sources.transcripts import lines, list_sessions, read_files
+from tracewright.sources.transcripts import lines, list_sessions, parse, read_files, read_lines
 from tracewright.streaming.live import brain_events
 
 NOW = datetime(2026, 1, 5)
@@ -75,3 +77,23 @@ def test_brain_events(spark, transcripts):
     assert by_task["Reading /w/app.py"].region == "visual" and by_task["Reading /w/app.py"].tokens == 100
     assert by_task["MCP · srv/do"].region == "parietal" and by_task["Extended thinking"].tokens == 75 and by_task["Generating code"].tokens == 5
     assert by_task["Subagent: reviewer"].tokens == 5
+
+
+def test_one_file_in_many_tasks(spark, transcripts, tmp_path):
+    """The same session whether its file is one row or cut into pieces of bytes, between lines and within them."""
+    big = tmp_path / "big" / "-Users-kim-code-shop"
+    big.mkdir(parents=True)
+    body = [json.dumps(x | {"message": x["message"] | {"id": f"{x['message']['id']}-{k}"}} if "id" in x.get("message", {}) else x) for k in range(60) for x in TRANSCRIPT]
+    (big / "0a1b2c3d-0000-4000-8000-00000000000c.jsonl").write_text("\n".join([*body, "", "{torn", '{"type": "system", "subtype": "é' + "x" * 40_000 + '"}']))
+    whole = sessionize(lines(read_files(spark, str(big)))).first()
+    settings = {"spark.sql.files.maxPartitionBytes": "8192", "spark.sql.files.openCostInBytes": "1024"}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        rows = read_lines(spark, str(big))
+        assert rows.rdd.getNumPartitions() > 20
+        assert sessionize(parse(rows)).first() == whole
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    assert len(whole.tool_calls) > 300

@@ -17,7 +17,7 @@ from tracewright.operators.prompts import prompt_quality
 from tracewright.operators.records import build_records
 from tracewright.operators.sessionize import sessionize
 from tracewright.sources import git as git_source
-from tracewright.sources.transcripts import below, configure, lines, read_files, read_ledger, session_of
+from tracewright.sources.transcripts import below, configure, parse, read_ledger, read_lines
 
 Ask = Callable[[str], str]
 
@@ -31,18 +31,19 @@ def labelled_sessions(transcript_lines: DataFrame, answer: Ask | None = None, ap
 
 def records(
     spark: SparkSession, root: str, now: datetime, *, salt: str | None = None, labels: dict[str, str] | None = None, ledger: str | None = None, git: DataFrame | None = None,
-    usage: bool = True, ship_facts: bool = True, tool_dir: str = "tool", answer: Ask | None = None, api: Ask | None = None, only: str | None = None,
+    usage: bool = True, ship_facts: bool = True, tool_dir: str = "tool", answer: Ask | None = None, api: Ask | None = None, only: str | DataFrame | None = None,
 ) -> DataFrame:
     """Gated records of all transcripts below root; none, before any work, if the tier ships no usage.
 
-    labels: names that the user gave to projects; ledger: the nudges' JSON lines; git: what git_truth gives; only: one session's id.
+    labels: names that the user gave to projects; ledger: the nudges' JSON lines; git: what git_truth gives; only: one session's id, or a table of session_id.
     """
     configure(spark)
-    files = read_files(spark, root, tool_dir=tool_dir)
-    files = files if usage else files.where(F.lit(False))
-    files = files.where(session_of("path") == only) if only else files
+    rows = read_lines(spark, root, tool_dir=tool_dir)
+    rows = rows if usage else rows.where(F.lit(False))
+    if only is not None:
+        rows = rows.where(F.col("session_id") == only) if isinstance(only, str) else rows.join(only.select("session_id"), "session_id", "left_semi")
     inside = below(spark, root)
-    sessions = labelled_sessions(lines(files, "path"), answer, api, lambda path: project_name(inside(path)))
+    sessions = labelled_sessions(parse(rows), answer, api, lambda path: project_name(inside(path)))
     nudges = nudges_shown(read_ledger(spark, ledger)) if ledger else None
     return build_records(sessions, now, salt=salt, labels=labels, nudges=nudges, git=git, ship_facts=ship_facts)
 

@@ -40,6 +40,17 @@ def read_files(spark: SparkSession, root: str, *, tool_dir: str = "tool") -> Dat
     return files.where(~is_subagent_path("path") & ~is_own_classifier_path("path", tool_dir))
 
 
+def read_lines(spark: SparkSession, root: str, *, tool_dir: str = "tool") -> DataFrame:
+    """session_id, path, line_no and line of the files that read_files gives, cut into as many tasks as their bytes ask for.
+
+    A line's place is where its piece of the file starts and its number in that reading of the piece, so places are
+    ordered like the lines, though their values change with the pieces.
+    """
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").option("lineSep", "\n").text(root)
+    rows = files.select(F.col("_metadata.file_path").alias("path"), F.struct(F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("nth")).alias("line_no"), F.col("value").alias("line"))
+    return rows.where(~is_subagent_path("path") & ~is_own_classifier_path("path", tool_dir)).select(session_of("path").alias("session_id"), "path", "line_no", "line")
+
+
 def list_sessions(spark: SparkSession, root: str) -> DataFrame:
     """path, session_id, ended_at (when the file last changed), from metadata alone."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").load(root)
@@ -62,12 +73,12 @@ def below(spark: SparkSession, root: str) -> Callable[[str | Column], Column]:
 def lines(files: DataFrame, *keep: str) -> DataFrame:
     """session_id, line_no and parsed JSON ``v`` of every line that is an object (or any other truthy value)."""
     rows = files.select(session_of("path").alias("session_id"), *keep, F.posexplode(F.split("raw", "\n")).alias("line_no", "line"))
-    return parse(rows.where(F.trim("line") != ""))
+    return parse(rows)
 
 
 def parse(rows: DataFrame) -> DataFrame:
     """rows with line (JSON text) -> rows with v; lines that do not parse, or are null, false, 0 or '', go."""
-    v = rows.withColumn("v", F.try_parse_json("line")).drop("line")
+    v = rows.where(F.trim("line") != "").withColumn("v", F.try_parse_json("line")).drop("line")
     return v.where(F.col("v").isNotNull() & ~F.is_variant_null("v") & ~F.to_json("v").isin("false", "0", '""'))
 
 
