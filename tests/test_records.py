@@ -177,3 +177,11 @@ def test_commands(spark, tmp_path):
     assert commands.resurvey(spark, root, now, settings, post=post) == "re-surveyed 1 sessions"
     assert json.loads((settings / "surveyed.jsonl").read_text())["session_id"] == ONE
     assert commands.resurvey(spark, root, now, settings, post=post) == "re-surveyed 0 sessions"
+    sent.write_text("")
+    file = str(next((tmp_path / "t").glob(f"*/{TWO}.jsonl")))
+    assert commands.finish(spark, json.dumps({"transcript_path": file}), now, settings, post=post) == "stored 1 of 1 records"
+    assert commands.finish(spark, "{", now, settings, post=post) == "no transcript"
+    told = hooks.Enrichment(file=file, url="http://h", token="t", settings=str(settings), labels={})
+    assert commands.enrich(spark, told, now, post=post) == "stored 1 of 1 records" and commands.enrich(spark, hooks.Enrichment(), now, post=post) == "nothing to enrich"
+    first, again = (json.loads(x) for x in sent.read_text().splitlines())
+    assert first["claude_session_id"] == again["claude_session_id"] == TWO and first["project_label"] == again["project_label"]

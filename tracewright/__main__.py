@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import argparse
+import os
+import sys
 from datetime import datetime, timezone
 from pathlib import Path
 
@@ -22,6 +24,11 @@ def main(argv: list[str] | None = None) -> None:
         command.add_argument("--settings", required=True, help="folder with config.json, the salt and the ledgers")
         command.add_argument("--root", default=".", help="folder of the transcripts")
         command.add_argument("--skip", action="store_true", help="backfill: declines the import")
+    hook = sub.add_parser("hook", help="sends the session that a host names on standard input")
+    hook.add_argument("--settings", required=True)
+    enrich = sub.add_parser("enrich", help="labels and sends the session that variables name")
+    enrich.add_argument("--prefix", default="TRACEWRIGHT_", help="of the variables")
+    enrich.add_argument("--old-prefix", default="TW_")
     sub.add_parser("dictionary", help="the fields of a record, as Markdown")
     args = parser.parse_args(argv)
     if args.command == "dictionary":
@@ -31,6 +38,16 @@ def main(argv: list[str] | None = None) -> None:
         return
     from pyspark.sql import SparkSession
 
+    if args.command in ("hook", "enrich"):
+        from tracewright.plans import commands
+        from tracewright.sources import hooks
+
+        spark, now = SparkSession.builder.getOrCreate(), datetime.now(timezone.utc)
+        if args.command == "hook":
+            print(commands.finish(spark, sys.stdin.read(), now, Path(args.settings)))
+        else:
+            print(commands.enrich(spark, hooks.of_environment(os.environ, (args.prefix, args.old_prefix)), now))
+        return
     if args.command in ("backfill", "resurvey", "status"):
         from tracewright.plans import commands
 

@@ -31,17 +31,16 @@ def labelled_sessions(transcript_lines: DataFrame, answer: Ask | None = None, ap
 
 def records(
     spark: SparkSession, root: str, now: datetime, *, salt: str | None = None, labels: dict[str, str] | None = None, ledger: str | None = None, git: DataFrame | None = None,
-    usage: bool = True, ship_facts: bool = True, tool_dir: str = "tool", answer: Ask | None = None, api: Ask | None = None, only: str | DataFrame | None = None,
+    usage: bool = True, ship_facts: bool = True, tool_dir: str = "tool", answer: Ask | None = None, api: Ask | None = None, only: str | None = None, files: list[str] | None = None,
 ) -> DataFrame:
     """Gated records of all transcripts below root; none, before any work, if the tier ships no usage.
 
-    labels: names that the user gave to projects; ledger: the nudges' JSON lines; git: what git_truth gives; only: one session's id, or a table of session_id.
+    labels: names that the user gave to projects; ledger: the nudges' JSON lines; git: what git_truth gives; only: one session's id; files: those of the transcripts below root that are to be read, all without.
     """
     configure(spark)
-    rows = read_lines(spark, root, tool_dir=tool_dir)
+    rows = read_lines(spark, root if files is None else files, tool_dir=tool_dir)
     rows = rows if usage else rows.where(F.lit(False))
-    if only is not None:
-        rows = rows.where(F.col("session_id") == only) if isinstance(only, str) else rows.join(only.select("session_id"), "session_id", "left_semi")
+    rows = rows.where(F.col("session_id") == only) if only else rows
     inside = below(spark, root)
     sessions = labelled_sessions(parse(rows), answer, api, lambda path: project_name(inside(path)))
     nudges = nudges_shown(read_ledger(spark, ledger)) if ledger else None

@@ -40,8 +40,8 @@ def read_files(spark: SparkSession, root: str, *, tool_dir: str = "tool") -> Dat
     return files.where(~is_subagent_path("path") & ~is_own_classifier_path("path", tool_dir))
 
 
-def read_lines(spark: SparkSession, root: str, *, tool_dir: str = "tool") -> DataFrame:
-    """session_id, path, line_no and line of the files that read_files gives, cut into as many tasks as their bytes ask for.
+def read_lines(spark: SparkSession, root: str | list[str], *, tool_dir: str = "tool") -> DataFrame:
+    """session_id, path, line_no and line of the files that read_files gives (or of the files named), cut into as many tasks as their bytes ask for.
 
     A line's place is where its piece of the file starts and its number in that reading of the piece, so places are
     ordered like the lines, though their values change with the pieces.
