@@ -38,9 +38,8 @@ def resurvey(spark: SparkSession, root: str, now: datetime, settings: Path, *, m
     if not config.usage:
         return "re-surveyed 0 sessions"
     held = [(json.loads(x)["session_id"],) for x in done.read_text().splitlines() if x.strip()] if done.exists() else []
-    listed = list_sessions(spark, root)
-    due = survey_queue(listed, spark.createDataFrame(held, "session_id string"), now, most=most)
-    due = due.join(listed.select("session_id", "path"), "session_id").select("session_id", "path").collect()  # as many as the queue's limit
+    due = survey_queue(list_sessions(spark, root), spark.createDataFrame(held, "session_id string"), now, most=most)
+    due = due.select("session_id", "path").collect()  # as many as the queue's limit
     if not due:
         return "re-surveyed 0 sessions"
     files = [r.path for r in due]
