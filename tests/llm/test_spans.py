@@ -98,3 +98,19 @@ def test_a_turn_seeds_the_next(spark):
     data += [(200 + i, f"refund for QX-{7000 + i}-B granted", None, None, None) for i in range(6)] + [(300, "refund for QX-9999-B granted", None, None, None)]
     got = {r.doc_id: r.spans for r in pii.digest(pii.find_pii(frame(spark, data))).collect()}
     assert got[100].startswith("context-email:") and got[200].startswith("context-email:") and got[300].startswith("context-email:")
+
+
+def test_refuted_tokens_do_not_count_against_patterns(spark):
+    """Numbers that fail Luhn's test are no cards: they neither wear out a card's contexts nor are found in them."""
+    def card(n):
+        body = f"4{n:014d}"
+        return next(body + d for d in "0123456789" if luhn(body + d))
+
+    good = [card(7 * i + 1) for i in range(40)]
+    bad = [g[:-1] + str((int(g[-1]) + 5) % 10) for g in good]
+    data = [(i, f"paid by card {x} on that day", None, None, None) for i, x in enumerate(good[:12] + bad)]
+    data += [(100, f"paid by card {good[20]} {good[21]} on that day", None, None, None)]  # one match of the base pattern, which fails
+    found = {r.doc_id: r for r in pii.find_pii(frame(spark, data)).collect()}
+    assert all(len(found[i].base) == (i < 12) and not found[i].added for i in range(52))
+    text = data[-1][1]
+    assert not found[100].base and [(s.kind, text[s.start : s.stop]) for s in found[100].added] == [("context-card", good[20]), ("context-card", good[21])]
