@@ -68,11 +68,8 @@ def result_text(b: str = "b") -> Column:
     return F.coalesce(F.when(is_string(b, "$.content"), F.try_variant_get(b, "$.content", "string")), F.array_join(each, "\n", ""), F.lit(""))
 
 
-def enriched_blocks(blocks: DataFrame) -> DataFrame:
-    """Blocks with what is derived from each, and results with the name of the latest earlier call that has their id.
-
-    The lines' own JSON is read before blocks are dealt by session and call, and left behind; blocks of no call are spread.
-    """
+def told_blocks(blocks: DataFrame) -> DataFrame:
+    """Blocks with what each tells by itself; their JSON is read here and left behind. Stateless, so it serves files and streams alike."""
     shown = F.when(F.col("is_assistant") & (F.col("kind") == "text"), trim(F.coalesce(text_of("b", "$.text"), F.lit(""))))
     typed = F.when(F.col("is_user") & F.col("kind").isin("text", "string"), F.left(trim(F.coalesce(text_of("b", "$.text"), F.lit(""))), F.lit(V.TEXT_CAP)))
     hunks = F.filter(F.flatten(F.transform(array_of("v", "$.toolUseResult.structuredPatch"), lambda h: F.coalesce(array_of(h, "$.lines"), F.array().cast("array<variant>")))), lambda x: F.schema_of_variant(x) == "STRING")
@@ -92,18 +89,28 @@ def enriched_blocks(blocks: DataFrame) -> DataFrame:
         "commit": F.col("is_result") & truthy("v", "$.toolUseResult.gitOperation.commit"),
         "push": F.col("is_result") & truthy("v", "$.toolUseResult.gitOperation.push"),
     })
-    d = d.withColumns({"added": F.when(F.col("noted") & F.col("patched"), signed("+")), "removed": F.when(F.col("noted") & F.col("patched"), signed("-"))}).drop("v", "b")
+    injected = matches("typed", r"^\s*<") | matches("typed", r"^\s*Caveat:") | matches("typed", V.INTERRUPT)
+    return d.withColumns({
+        "added": F.when(F.col("noted") & F.col("patched"), signed("+")), "removed": F.when(F.col("noted") & F.col("patched"), signed("-")),
+        "is_prompt": F.col("typed").isNotNull() & ~injected,
+    }).drop("v", "b")
+
+
+def enriched_blocks(blocks: DataFrame) -> DataFrame:
+    """Blocks with what is derived from each, and results with the name of the latest earlier call that has their id.
+
+    Blocks are dealt by session and call; blocks of no call are spread.
+    """
+    d = told_blocks(blocks)
     calls = Window.partitionBy("session_id", F.coalesce("call_id", F.concat_ws(" ", F.lit("of none"), F.col("line_no").cast("string"), "block_no"))).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     call_name = F.last(F.when(F.col("is_call"), F.col("name")), ignorenulls=True).over(calls)
     d = d.withColumn("result_name", F.when(F.col("is_result"), F.coalesce(F.when(F.col("call_id").isNotNull(), call_name), F.lit(""))))
     edit = F.col("noted") & F.col("result_name").isin(*V.EDIT_TOOLS)
-    injected = matches("typed", r"^\s*<") | matches("typed", r"^\s*Caveat:") | matches("typed", V.INTERRUPT)
     return d.withColumns({
         "is_edit": F.coalesce(edit, F.lit(False)),
         "lines_added": F.when(edit, F.coalesce("added", F.when(F.col("result_name") == "Write", F.col("written")), F.lit(0))),
         "lines_removed": F.when(edit, F.col("removed")),
         "user_modified": F.coalesce(edit & F.col("modified"), F.lit(False)),
-        "is_prompt": F.col("typed").isNotNull() & ~injected,
         "event_kind": F.when(F.col("is_call"), "tool_use").when(F.col("is_result"), "tool_result").when(F.col("shown").isNotNull(), "text").when(F.col("thinking").isNotNull(), "thinking"),
     })
 

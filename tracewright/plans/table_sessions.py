@@ -70,9 +70,14 @@ def line_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return spark.sql(f"{with_} {LINES}"), spark.sql(f"{with_} {BLOCKS}")
 
 
+def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as JSON text: session_id, line_no, path, line."""
+    return json_lines(*line_rows(spark, sf_dir), F.concat(F.lit("-home-kim-p"), F.substring("s", 8, 1)))
+
+
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines, written as JSON and read back."""
-    return parse(json_lines(*line_rows(spark, sf_dir), F.concat(F.lit("-home-kim-p"), F.substring("s", 8, 1))))
+    return parse(json_rows(spark, sf_dir))
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
