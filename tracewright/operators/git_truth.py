@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import vocab as V
 from tracewright.functions.scalars import round3
+from tracewright.operators.intervals import within
 
 
 def in_window(commits: DataFrame, sessions: DataFrame, slack_hours: int = V.GIT_SLACK_HOURS) -> DataFrame:
     """Commits (repo, sha, subject, committed_at) of each session's repository between its start and an hour after its end."""
-    slack = F.expr(f"interval {slack_hours} hours")
-    on = (F.col("c.repo") == F.col("s.repo")) & F.col("c.committed_at").between(F.col("s.started_at"), F.col("s.ended_at") + slack)
-    return commits.alias("c").join(sessions.alias("s"), on).select("s.session_id", "c.sha", "c.subject", "c.committed_at")
+    until = F.col("ended_at") + F.expr(f"interval {slack_hours} hours")
+    pairs = within(commits, sessions, "repo", "committed_at", "started_at", until)
+    return pairs.select("s.session_id", "p.sha", "p.subject", "p.committed_at")
 
 
 def capped(commits: DataFrame, most: int = V.COMMITS_CAP) -> DataFrame:
@@ -35,12 +36,29 @@ def touched(commits: DataFrame, numstat: DataFrame, most: int = V.FILES_CAP) ->
     return added, seen.withColumn("n", n).where(F.col("n") <= most).select("session_id", "path")
 
 
+def mention_keys(text: Column | str) -> Column:
+    """Keys under which a message can name commits: what each ``revert "`` is followed by up to the next quote, and every seven hex digits in a row."""
+    t = F.lower(text)
+    named, hexes = F.regexp_extract_all(t, F.lit('(?<=revert ")[^"]*(?=")'), F.lit(0)), F.regexp_extract_all(t, F.lit("(?=([0-9a-f]{7}))"), F.lit(1))
+    return F.array_distinct(F.concat(F.transform(named, lambda x: F.concat(F.lit("s"), x)), F.transform(hexes, lambda x: F.concat(F.lit("h"), x))))
+
+
 def reverted(commits: DataFrame, later_log: DataFrame) -> DataFrame:
-    """Commits that a later message names by their subject or short sha. The message text is one per session, so this is no product."""
-    text, subject = F.lower("text"), F.lower(F.coalesce("subject", F.lit("")))
-    by_subject = (subject != "") & F.contains(text, F.concat(F.lit('revert "'), subject, F.lit('"')))
-    hit = by_subject | F.contains(text, F.lower(F.substring("sha", 1, 7)))
-    return commits.join(later_log, "session_id").where(hit).select("session_id", "sha")
+    """Commits (session_id, sha, subject) that a later message of their session (session_id, text; any number of rows) names: ``revert "subject"`` or the first seven digits of sha stand in it, in any case.
+
+    Messages are indexed by mention_keys; session and key are the join's key, so a session with most rows is many tasks. The key of a
+    subject is its part before a quote: without a quote in it the key proves the mention, others are looked for in the text, and so is
+    what is no seven hex digits. An empty or null subject, or a null sha, names nothing.
+    """
+    subject, short = F.lower("subject"), F.lower(F.substring("sha", 1, 7))
+    named = commits.where(F.length("subject") > 0).select("session_id", "sha", F.concat(F.lit("s"), F.substring_index(subject, '"', 1)).alias("key"), F.concat(F.lit('revert "'), subject, F.lit('"')).alias("needle"), F.contains(subject, F.lit('"')).alias("doubtful"))
+    hexes = commits.where(short.rlike(r"^[0-9a-f]{7}\z")).select("session_id", "sha", F.concat(F.lit("h"), short).alias("key"), short.alias("needle"), F.lit(False).alias("doubtful"))
+    index = later_log.select("session_id", F.explode(mention_keys("text")).alias("key"))
+    hits = named.unionByName(hexes).join(index, ["session_id", "key"], "left_semi")
+    other = commits.where(~short.rlike(r"^[0-9a-f]{7}\z")).select("session_id", "sha", short.alias("needle"))
+    looked = hits.where("doubtful").select("session_id", "sha", "needle").unionByName(other)
+    seen = looked.join(later_log.select("session_id", F.lower("text").alias("text")), "session_id").where(F.contains("text", "needle"))
+    return hits.where("not doubtful").select("session_id", "sha").unionByName(seen.select("session_id", "sha")).distinct()
 
 
 def survival_rate(surviving: Column, superseded: Column, added: Column) -> Column:

@@ -11,7 +11,7 @@ from tracewright.functions import scalars as S
 from tracewright.functions import text as X
 from tracewright.functions import vocab as V
 from tracewright.functions.regex import java
-from tracewright.operators import ledger, metrics, records, sessionize
+from tracewright.operators import git_truth, ledger, metrics, records, sessionize
 from tracewright.operators import prompts as quality
 from tracewright.plans import fixtures, session_fixtures, table_sessions
 from tracewright.sources.tables import event_sessions, prompts, table
@@ -347,6 +347,28 @@ def sql_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT event_type, count(*) AS n, avg(value) AS mean FROM tracewright_events WHERE value IS NOT NULL GROUP BY event_type HAVING count(*) > 0")
 
 
+@query("""WITH s AS (SELECT CAST(user_id AS VARCHAR) || '/' || strftime(ts, '%Y-%m-%d') AS session_id, event_type AS repo, min(ts) AS a, max(ts) AS b FROM events GROUP BY ALL)
+SELECT s.session_id, s.repo, CAST(count(*) AS BIGINT) AS commits, min(c.event_id) AS first_sha, max(c.event_id) AS last_sha FROM s JOIN events c ON c.event_type = s.repo AND c.ts BETWEEN s.a AND s.b + INTERVAL 1 HOUR GROUP BY ALL""")
+def commit_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as commits of few repositories (their types), a user's day of a type as a session: the commits between its start and an hour after its end."""
+    e = table(spark, sf_dir, "events").withColumn("repo", F.col("event_type"))
+    s = e.groupBy(F.concat(F.col("user_id").cast("string"), F.lit("/"), F.date_format("ts", "yyyy-MM-dd")).alias("session_id"), "repo").agg(F.min("ts").alias("started_at"), F.max("ts").alias("ended_at"))
+    found = git_truth.in_window(e.select("repo", F.col("event_id").alias("sha"), F.lit("").alias("subject"), F.col("ts").alias("committed_at")), s.withColumn("session_id", F.struct("session_id", "repo")))
+    return found.groupBy("session_id").agg(F.count("*").alias("commits"), F.min("sha").alias("first_sha"), F.max("sha").alias("last_sha")).select("session_id.session_id", "session_id.repo", "commits", "first_sha", "last_sha")
+
+
+@query("""WITH c AS (SELECT source AS session_id, md5(CAST(doc_id AS VARCHAR)) AS sha, substring(text, 1, 24) AS subject FROM documents),
+l AS (SELECT source AS session_id, lower(text || CASE doc_id % 4 WHEN 0 THEN ' Revert "' || substring(text, 1, 24) || '" and more' WHEN 1 THEN ' This reverts commit ' || md5(CAST(doc_id - 20 AS VARCHAR)) ELSE '' END) AS text FROM documents)
+SELECT DISTINCT session_id, sha FROM c JOIN l USING (session_id) WHERE (subject <> '' AND contains(l.text, 'revert "' || lower(subject) || '"')) OR contains(l.text, substring(sha, 1, 7))""")
+def later_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as commits (their first characters are the subject) and as later messages of their source, some of which revert one by subject or by hash."""
+    d = table(spark, sf_dir, "documents").withColumn("subject", F.substring("text", 1, 24))
+    sha = lambda n: F.md5(n.cast("string").cast("binary"))
+    said = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit(' Revert "'), "subject", F.lit('" and more'))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit(" This reverts commit "), sha(F.col("doc_id") - 20))).otherwise("")
+    commits = d.select(F.col("source").alias("session_id"), sha(F.col("doc_id")).alias("sha"), "subject")
+    return git_truth.reverted(commits, d.select(F.col("source").alias("session_id"), F.concat("text", said).alias("text")))
+
+
 def queries() -> dict[str, Query]:
     assert session_fixtures  # registers with the other fixtures
     return QUERIES | table_sessions.queries() | fixtures.queries()
