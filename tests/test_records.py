@@ -100,6 +100,31 @@ def test_git_truth_of_sessions(spark):
     assert [(r.session_id, r.lines_surviving, r.reverts, r.survival_rate) for r in out] == [("s1", 3, 1, 0.75)]
 
 
+def test_git_truth_of_one_repository(spark):
+    """Sessions that saw the same commit count its lines once each; no session at all is no row; nothing runs on the driver."""
+    driver = os.getpid()
+
+    def run_in(folder: str):
+        assert os.getpid() != driver
+
+        def run(args: list[str]) -> str | None:
+            if args[0] == "log":
+                return f"{SHA}\tAdd cart\n" if any("--until" in a for a in args) else f'fix\tbody\n\nRevert "add"\tThis reverts {SHA[:9]}\n'
+            if args[0] == "blame":
+                return "\n".join([SHA + " 1) x"] * 3)
+            if args[0] == "show":
+                return "4\t0\ta.py\n-\t-\tx.png\n" if "--numstat" in args else "k@x\t1767348000"
+            return "true"
+
+        return run
+
+    span = ("/repo", 1, "2026-01-02T10:00:00Z", "2026-01-02T11:00:00Z")
+    schema = "session_id string, cwd string, commits int, started_at string, ended_at string"
+    out = git_truth_of(spark, spark.createDataFrame([(f"s{i}", *span) for i in range(5)], schema), NOW, run_in).collect()
+    assert sorted((r.session_id, r.commits_in_window, r.lines_added, r.lines_surviving, r.reverts) for r in out) == [(f"s{i}", 1, 4, 3, 1) for i in range(5)]
+    assert git_truth_of(spark, spark.createDataFrame([], schema), NOW, run_in).count() == 0
+
+
 def test_hook_channel():
     assert hooks.transcript_path('{"transcript_path": "/t/a.jsonl"}') == "/t/a.jsonl"
     assert [hooks.transcript_path(x) for x in (None, "", "[1]", "{", '{"transcript_path": 3}')] == [""] * 5

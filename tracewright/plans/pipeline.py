@@ -48,19 +48,13 @@ def records(
 
 
 def git_truth_of(spark: SparkSession, sessions: DataFrame, now: datetime, run_in: Callable[[str], git_source.Run] = git_source.git_in) -> DataFrame:
-    """What became of the commits of sessions (session_id, cwd, commits, started_at, ended_at; the bounded queue of a re-survey), as build_records takes it.
+    """What became of the commits of sessions (session_id, cwd, commits, started_at, ended_at), as build_records takes it.
 
-    Only sessions with a folder and a commit are asked for, in the folder that they ran in on this machine.
+    Only sessions with a folder and a commit are asked for, in the folder that they ran in, by the tasks of one job.
     """
     due = sessions.where("commits > 0 and coalesce(cwd, '') <> ''").select("session_id", "cwd", F.try_to_timestamp(F.col("started_at").cast("string")).alias("started"), F.try_to_timestamp(F.col("ended_at").cast("string")).alias("ended"))
-    rows: dict[str, list[tuple]] = {k: [] for k in git_source.SCHEMAS}
-    asked = []
-    for s in due.where("started is not null and ended is not null").selectExpr("session_id", "cwd", "unix_millis(started) a", "unix_millis(ended) b").collect():
-        found = git_source.read(s.session_id, datetime.fromtimestamp(s.a / 1000).astimezone(), datetime.fromtimestamp(s.b / 1000).astimezone(), run_in(s.cwd))
-        if found is not None:
-            asked.append((s.session_id, s.b))
-            for k, v in found.items():
-                rows[k] += v
-    frames = {k: spark.createDataFrame(v, git_source.SCHEMAS[k]) for k, v in rows.items()}
-    truth = git_truth.analyze(spark.createDataFrame(asked, "session_id string, ended_ms long"), **frames)
+    due = due.where("started is not null and ended is not null").selectExpr("session_id", "cwd", "unix_millis(started) a", "unix_millis(ended) b")
+    found = git_source.relations(due, run_in)
+    asked = due.join(found.pop("asked"), "session_id", "left_semi").selectExpr("session_id", "b AS ended_ms")
+    truth = git_truth.analyze(asked, **found)
     return truth.where("commits_in_window > 0").withColumn("git_analyzed_at", F.lit(now).cast("timestamp"))
