@@ -8,9 +8,7 @@ the whole corpus are summed and go back to the blocks that asked, which sum scor
 S(w | u v) = c(u v w) / c(u v) if c(u v w) >= min_count, else backoff * S(w | v); at the end c(w) / N. A
 document's score is the sum of log S over its words (A-Z in lower case, split at white space).
 
-n-grams are told apart by the leading bits of 64-bit hashes: by default 24 bits more than the corpus has words (64
-at most), so that one n-gram in about 16 million shares its count with another, whatever the size; with
-``key_bits=64`` by all of them, for a third more disk. Defined results: a null or empty text has
+n-grams are told apart by their 64-bit hashes, at every size (``key_bits`` takes fewer leading bits). Defined results: a null or empty text has
 no words and score 0. A null doc_id is returned as such. Repeated rows are counted and scored each. Columns
 other than doc_id and text are never read.
 """
@@ -23,7 +21,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,39 +31,41 @@ from tracewright.llm.shingles import WordHashes, ngrams, words_of
 BLOCK_BYTES = 12 << 20
 #: Words of the corpus for each hash range.
 RANGE_WORDS = 1 << 20
+#: A block of documents.
+BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("n_words", pa.int64()), ("vocabulary", pa.binary()), ("ranks", pa.binary())])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
-    ids, bodies, size = [], [], 0
+    """Documents by blocks: how many words each has, the block's words (hashes, the frequent ones first, then by hash, as differences) and each place's rank among them. Ranks take a third of the room of compressed text."""
+    known, ids, counts, hashes, size = WordHashes.of_worker(), [], [], [], 0
 
     def out() -> pa.RecordBatch:
-        body = zstandard.ZstdCompressor(level=3).compress(b"".join(bodies))
-        n_words = sum(len(b.split()) for b in bodies)
+        vocabulary, place, uses = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+        order = np.argsort(-uses, kind="stable")
+        rank = np.empty(len(order), np.uint64)
+        rank[order] = np.arange(len(order), dtype=np.uint64)
         block = int.from_bytes(os.urandom(8), "little") >> 1
-        kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((block, ids, list(map(len, bodies)), n_words, body), kinds)], ["block", "ids", "lengths", "n_words", "body"])
+        data = (block, ids, counts, len(place), pack(np.diff(vocabulary[order], prepend=np.uint64(0))), pack(rank[place]))
+        return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(data, BLOCK)], schema=BLOCK)
 
     for batch in small_batches(batches):
         for doc, body in zip(*columns(batch)):
+            words = words_of(body)
             ids.append(doc)
-            bodies.append(body)
+            counts.append(len(words))
+            hashes.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
             size += len(body)
             if size >= block_bytes:
                 yield out()
-                ids, bodies, size = [], [], 0
+                ids, counts, hashes, size = [], [], [], 0
     if ids:
         yield out()
 
 
-def _hashes(lengths: list[int], body: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """How many words each document has, and the words' hashes."""
-    text, known, counts, hashes, at = zstandard.ZstdDecompressor().decompress(body), WordHashes.of_worker(), [], [], 0
-    for n in lengths:
-        words = words_of(text[at : at + n])
-        counts.append(len(words))
-        hashes.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
-        at += n
-    return np.array(counts, np.int64), np.concatenate([*hashes, np.zeros(0, np.uint64)])
+def _words(blocks: pa.RecordBatch | pa.Table) -> Iterator[tuple[int, list, np.ndarray, np.ndarray]]:
+    """Of each block its number, documents, how many words each has, and the words' hashes."""
+    for block, ids, counts, vocabulary, ranks in zip(*(blocks.column(c).to_pylist() for c in ("block", "ids", "counts", "vocabulary", "ranks"))):
+        yield block, ids, np.array(counts, np.int64), np.cumsum(unpack(vocabulary), dtype=np.uint64)[unpack(ranks).astype(np.int64)]
 
 
 def _grams(counts: np.ndarray, flat: np.ndarray, k: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,8 +82,7 @@ def _grams(counts: np.ndarray, flat: np.ndarray, k: int, bits: int) -> tuple[np.
 
 def _requests(batches: Iterator[pa.RecordBatch], order: int, bits: int, range_bits: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for block, lengths, body in zip(batch.column("block").to_pylist(), batch.column("lengths").to_pylist(), batch.column("body").to_pylist()):
-            sizes, flat = _hashes(lengths, body)
+        for block, _, sizes, flat in _words(batch):
             for k in range(1, order + 1):
                 keys, counts = np.unique(_grams(sizes, flat, k, bits)[0], return_counts=True)
                 ranges = (keys >> np.uint64(bits - range_bits)).astype(np.int64)
@@ -114,8 +112,7 @@ def _score(block: pa.Table, answers: pa.Table, order: int, bits: int, n_words: i
     told: dict[int, list] = {}
     for n, r, t in zip(*(answers.column(c).to_pylist() for c in ("n", "range", "totals"))):
         told.setdefault(n, []).append((r, t))
-    for ids, lengths, body in zip(*(block.column(c).to_pylist() for c in ("ids", "lengths", "body"))):
-        counts, flat = _hashes(lengths, body)
+    for _, ids, counts, flat in _words(block):
         words = len(flat)
         seen, last = [], []  # by order: the count of the n-gram that ends at a word (0 where there is none), and the words where one ends
         for k in range(1, order + 1):
@@ -148,9 +145,9 @@ def _score(block: pa.Table, answers: pa.Table, order: int, bits: int, n_words: i
 
 def score(docs: DataFrame, *, order: int = 3, backoff: float = 0.4, min_count: int = 2, block_bytes: int = BLOCK_BYTES, key_bits: int | None = None) -> DataFrame:
     """doc_id, n_words, log_score (sum of natural logs) and n_full (words scored without backing off) of every row."""
-    blocks = settle(mapped(texts(docs), lambda it: _blocks(it, block_bytes), "block long, ids array<long>, lengths array<long>, n_words long, body binary"), "lm-blocks")
+    blocks = settle(mapped(texts(docs), lambda it: _blocks(it, block_bytes), "block long, ids array<long>, counts array<long>, n_words long, vocabulary binary, ranks binary"), "lm-blocks")
     n_words = blocks.agg(F.sum("n_words")).first()[0] or 0
-    bits = key_bits or min(64, max(1, n_words).bit_length() + 24)
+    bits = key_bits or 64
     range_bits = max(0, (max(1, n_words) // RANGE_WORDS).bit_length())
     asked = blocks.mapInArrow(lambda it: _requests(it, order, bits, range_bits), "n int, range int, block long, keys binary, counts binary")
     answers = asked.groupBy("n", "range").applyInArrow(_count, "n int, range int, block long, totals binary")
