@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tracewright.functions import vocab as V
 from tracewright.functions.scalars import domain_of_extensions, extension, general_tool
 from tracewright.functions.text import Text, col, counted, matches, scrub
+from tracewright.sources.notes import BUCKETS, Notes, bucket_of
+from tracewright.sources.scratch import cut, shared_folder
 
 
 def ask_category(ask: Text, editing: Column) -> Column:
@@ -164,37 +166,58 @@ def probe(status: Text, failure: Text) -> Column:
     return F.when(col(failure).isNotNull(), F.concat(F.lit("unreachable ("), col(failure), F.lit(")"))).when(col(status).isin(401, 403), "token rejected").otherwise("connected")
 
 
-def classify(labelled: DataFrame, answer: Callable[[str], str] | None = None, api: Callable[[str], str] | None = None) -> DataFrame:
+Ask = Callable[[str], str]
+
+
+def answers_once(requests: DataFrame, ask: Ask, folder: str) -> DataFrame:
+    """key, asker and answer of requests (key, request, asker): each distinct key is asked once, for its least asker, however often its task is tried.
+
+    An answer is noted in ``folder`` (reached by all tasks) as soon as it is there, with who asked; with the same folder later runs
+    take it from there. A request that failed has a null answer and no note, so the next run asks it again.
+    """
+    first = requests.where("key IS NOT NULL").groupBy("key").agg(F.min_by("request", "asker").alias("request"), F.min("asker").alias("asker")).withColumn("bucket", bucket_of("key"))
+
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        notes: dict[int, Notes] = {}
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                held = notes.get(row["bucket"]) or notes.setdefault(row["bucket"], Notes(folder, row["bucket"]))
+                if row["key"] not in held.held:
+                    try:
+                        held.add(row["key"], json.dumps([row["asker"], ask(row["request"])]))
+                    except Exception:  # noqa: BLE001  a failed call has no answer
+                        out.append((row["key"], row["asker"], None))
+                        continue
+                out.append((row["key"], *json.loads(held.held[row["key"]])))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*out)] or [pa.array([], pa.string())] * 3, ["key", "asker", "answer"])
+        for held in notes.values():
+            held.seal()
+
+    return first.repartition(BUCKETS, "bucket").mapInArrow(answered, "key string, asker string, answer string")
+
+
+def classify(labelled: DataFrame, answer: Ask | None = None, api: Ask | None = None, folder: str | None = None) -> DataFrame:
     """Sessions with a column ``digest`` get a model's labels and facts; without a model nothing runs and the deterministic ones stay.
 
     The ladder: with ``api`` (a request's body -> the answer's) that alone is asked, else ``answer`` (a digest -> what a
-    headless run printed). Where it fails or says nothing useful the deterministic labels stay. Answers go along with
-    the rows in one pass, so sessions are folded once.
+    headless run printed). Where it fails or says nothing useful the deterministic labels stay. Sessions are folded once and
+    written to the shared folder; a session's request is asked once, however often its task is tried (see answers_once), so what it cost is counted once.
+
+    folder: where answers are kept; without one they serve this call alone.
     """
     if answer is None and api is None:
         return labelled
-    ask = api or answer
-    asked = labelled.withColumn("asked", api_request(condensed()) if api else F.col("digest"))
-
-    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            said = []
-            for request in batch.column("asked").to_pylist():
-                try:
-                    said.append(ask(request))
-                except Exception:  # noqa: BLE001  a failed call leaves the deterministic label
-                    said.append(None)
-            rest = batch.drop_columns(["asked"])
-            yield rest.append_column("answer", pa.array(said, pa.string()))
-
-    schema = T.StructType([*labelled.schema.fields, T.StructField("answer", T.StringType())])
-    out = asked.mapInArrow(answers, schema).withColumn("a", parse_api_answer("answer") if api else parse_answer("answer"))
+    folder = folder or f"{shared_folder(labelled.sparkSession)}/answers-{uuid.uuid4().hex}"
+    asked = cut(labelled.withColumn("asked", api_request(condensed()) if api else F.col("digest")).withColumn("key", F.sha2(F.concat_ws("\n", "session_id", "asked"), 256)))
+    told = answers_once(asked.selectExpr("key", "asked as request", "session_id as asker"), api or answer, folder)
+    out = asked.drop("asked").join(told, "key", "left").withColumn("a", parse_api_answer("answer") if api else parse_answer("answer"))
     ran = F.col("a").isNotNull()
     return out.withColumns({
         "activity_category": F.when(ran, F.col("a.activity_category")).otherwise(F.col("activity_category")), "domain": F.when(ran, F.col("a.domain")).otherwise(F.col("domain")),
         "facts": F.when(ran, F.col("a.facts")).otherwise(F.col("facts")),
         "classifier": F.when(ran, "haiku_api" if api else "haiku_headless").otherwise(F.col("classifier")), "classify_cost_usd": F.when(ran, F.col("a.cost_usd")).otherwise(F.col("classify_cost_usd")),
-    }).drop("a", "answer")
+    }).drop("a", "answer", "key", "asker")
 
 
 def model_prompt(digest_text: Text) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +12,10 @@ from tracewright.functions import scalars as S
 from tracewright.functions import text as X
 from tracewright.functions import vocab as V
 from tracewright.functions.regex import java
-from tracewright.operators import git_truth, ledger, metrics, records, sessionize
+from tracewright.operators import git_truth, labels, ledger, metrics, records, sessionize, store
 from tracewright.operators import prompts as quality
 from tracewright.plans import fixtures, session_fixtures, table_sessions
+from tracewright.sources.scratch import shared_folder
 from tracewright.sources.tables import event_sessions, prompts, table
 from tracewright.sources.transcripts import is_subagent_path
 
@@ -369,6 +371,28 @@ def later_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return git_truth.reverted(commits, d.select(F.col("source").alias("session_id"), F.concat("text", said).alias("text")))
 
 
+@query("""SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice FROM orders
+QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1""")
+def keyed_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's last order, from a stored table that took the orders in three batches, by their state."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice", F.coalesce("o_orderstatus", F.lit("")).alias("state"))
+    kept = store.KeyedStore(spark, f"{shared_folder(spark)}/orders-{uuid.uuid4().hex}", "o_custkey", "o_orderdate", "o_orderkey", buckets=16)
+    for batch in ("state = 'F'", "state = 'O'", "state NOT IN ('F', 'O')"):
+        kept.merge(orders.where(batch).drop("state"))
+    return kept.read()
+
+
+@query("""WITH t AS (SELECT conv_id, coalesce(role, '') || ': ' || coalesce(text, '') AS request, lpad(CAST(conv_id AS VARCHAR), 12, '0') || '/' || lpad(CAST(turn AS VARCHAR), 6, '0') AS asker FROM conversations),
+f AS (SELECT request, min(asker) AS first FROM t GROUP BY ALL)
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n, CAST(count_if(first = asker) AS BIGINT) AS n_asked, CAST(sum(length(request)) AS BIGINT) AS n_chars FROM t JOIN f USING (request) GROUP BY ALL""")
+def answers_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as requests, answered with their length: equal ones are asked once, for the first turn."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", F.concat(F.coalesce("role", F.lit("")), F.lit(": "), F.coalesce("text", F.lit(""))).alias("request"), F.concat_ws("/", F.lpad(F.col("conv_id").cast("string"), 12, "0"), F.lpad(F.col("turn").cast("string"), 6, "0")).alias("by"))
+    t = t.withColumn("key", F.sha2("request", 256)).withColumn("by", F.when(F.length("by") == 19, F.col("by")))
+    told = labels.answers_once(t.select("key", "request", F.col("by").alias("asker")), lambda request: str(len(request)), f"{shared_folder(spark)}/answers-{uuid.uuid4().hex}")
+    return t.join(told, "key").groupBy("conv_id").agg(F.count("*").alias("n"), F.count_if(F.col("by") == F.col("asker")).alias("n_asked"), F.sum(F.col("answer").cast("long")).alias("n_chars"))
+
+
 def queries() -> dict[str, Query]:
     assert session_fixtures  # registers with the other fixtures
     return QUERIES | table_sessions.queries() | fixtures.queries()

@@ -22,27 +22,27 @@ from tracewright.sources.transcripts import below, configure, parse, read_ledger
 Ask = Callable[[str], str]
 
 
-def labelled_sessions(transcript_lines: DataFrame, answer: Ask | None = None, api: Ask | None = None, project: Callable[[str], Column] | None = None) -> DataFrame:
+def labelled_sessions(transcript_lines: DataFrame, answer: Ask | None = None, api: Ask | None = None, project: Callable[[str], Column] | None = None, answers: str | None = None) -> DataFrame:
     """Sessions with at least one turn, with metrics, prompt quality and labels."""
     s = deterministic_labels(prompt_quality(session_metrics(sessionize(transcript_lines, project))))
     s = s.where("turn_count > 0").withColumn("digest", digest(s))
-    return classify(s, answer, api)
+    return classify(s, answer, api, answers)
 
 
 def records(
     spark: SparkSession, root: str, now: datetime, *, salt: str | None = None, labels: dict[str, str] | None = None, ledger: str | None = None, git: DataFrame | None = None,
-    usage: bool = True, ship_facts: bool = True, tool_dir: str = "tool", answer: Ask | None = None, api: Ask | None = None, only: str | None = None, files: list[str] | None = None,
+    usage: bool = True, ship_facts: bool = True, tool_dir: str = "tool", answer: Ask | None = None, api: Ask | None = None, only: str | None = None, files: list[str] | None = None, answers: str | None = None,
 ) -> DataFrame:
     """Gated records of all transcripts below root; none, before any work, if the tier ships no usage.
 
-    labels: names that the user gave to projects; ledger: the nudges' JSON lines; git: what git_truth gives; only: one session's id; files: those of the transcripts below root that are to be read, all without.
+    labels: names that the user gave to projects; ledger: the nudges' JSON lines; git: what git_truth gives; only: one session's id; files: those of the transcripts below root that are to be read, all without; answers: the folder where a model's answers are kept for later runs.
     """
     configure(spark)
     rows = read_lines(spark, root if files is None else files, tool_dir=tool_dir)
     rows = rows if usage else rows.where(F.lit(False))
     rows = rows.where(F.col("session_id") == only) if only else rows
     inside = below(spark, root)
-    sessions = labelled_sessions(parse(rows), answer, api, lambda path: project_name(inside(path)))
+    sessions = labelled_sessions(parse(rows), answer, api, lambda path: project_name(inside(path)), answers)
     nudges = nudges_shown(read_ledger(spark, ledger)) if ledger else None
     return build_records(sessions, now, salt=salt, labels=labels, nudges=nudges, git=git, ship_facts=ship_facts)
 
