@@ -3,8 +3,10 @@
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 from tests.test_catalogue import rows
+from tracewright.operators.intervals import summed, within
 from tracewright.plans import catalogue
 
 DAY = 86_400_000_000
@@ -42,3 +44,22 @@ def test_session_bounds_round_to_milliseconds(spark, tmp_path):
     events(tmp_path, [(t, user, "view") for user, pair in enumerate(pairs) for t in pair])
     got = compared(spark, tmp_path, "session_bounds")
     assert dict(zip(got.session_id, got.duration_s))["0"] == 1
+
+
+def test_commit_window_at_its_ends(spark, tmp_path):
+    """Ends that meet, one time for many events, nulls, and crowds."""
+    hour = DAY // 24
+    found = [(0, 1, "a"), (hour, 2, "a"), (hour + 1, 3, "a"), (2 * hour, 1, "a"), (DAY - 1, 1, "a"), (DAY, 1, "a"), (5, None, "a"), (6, 1, None), (None, 1, "a"), (7, 1, "b")]
+    events(tmp_path, found + [(3 * hour, k % 7, "a") for k in range(50)] + [(k * 7919 * 1_000_003 % (3 * DAY), k % 5, "a") for k in range(400)])
+    compared(spark, tmp_path, "commit_window")
+
+
+def test_points_of_spans_by_brute_force(spark):
+    """Counts and ends of spans from none to years long are those of the pairs."""
+    points = spark.range(300).select((F.col("id") % 2).alias("k"), F.timestamp_micros(F.pmod(F.xxhash64("id"), F.pow(F.lit(2.0), 12 + F.col("id") % 40).cast("long")) - 5_000).alias("t"), F.col("id").alias("v"))
+    spans = spark.range(200).select("id", (F.col("id") % 2).alias("k"), F.timestamp_micros(F.pmod(F.xxhash64("id", F.lit(1)), F.pow(F.lit(2.0), 12 + F.col("id") % 40).cast("long")) - 5_000).alias("a"))
+    spans = spans.withColumn("b", F.timestamp_micros(F.unix_micros("a") + F.when(F.col("id") % 9 == 0, 0).otherwise(F.pmod(F.xxhash64("id", F.lit(2)), F.pow(F.lit(2.0), F.col("id") % 50).cast("long"))))).unionByName(points.where("v < 20").select((1_000 + F.col("v")).alias("id"), "k", F.col("t").alias("a"), F.col("t").alias("b")))
+    pairs = within(points, spans, "k", "t", "a", "b").groupBy("s.id").agg(F.count("*"), F.min("p.v"), F.max("p.v"))
+    for unit in (1, 1_000, 3_600_000_000):
+        got = summed(points, spans, "k", "t", "a", "b", "id", "v", unit_us=unit)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, pairs.collect()))

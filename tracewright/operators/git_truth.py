@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import vocab as V
 from tracewright.functions.scalars import round3
-from tracewright.operators.intervals import within
+from tracewright.operators.intervals import summed, within
 
 
 def in_window(commits: DataFrame, sessions: DataFrame, slack_hours: int = V.GIT_SLACK_HOURS) -> DataFrame:
@@ -21,6 +21,13 @@ def in_window(commits: DataFrame, sessions: DataFrame, slack_hours: int = V.GIT_
     return pairs.select("s.session_id", "p.sha", "p.subject", "p.committed_at")
 
 
+def counts_in_window(commits: DataFrame, sessions: DataFrame, slack_hours: int = V.GIT_SLACK_HOURS) -> DataFrame:
+    """session_id, commits, first_sha, last_sha of what in_window gives, summed up without its pairs. A session_id is one session's."""
+    until = F.col("ended_at") + F.expr(f"interval {slack_hours} hours")
+    found = summed(commits, sessions, "repo", "committed_at", "started_at", until, "session_id", "sha", unit_us=max(1, slack_hours) * 3_600_000_000)
+    return found.select(F.col("span").alias("session_id"), F.col("n").alias("commits"), F.col("least").alias("first_sha"), F.col("greatest").alias("last_sha"))
+
+
 def capped(commits: DataFrame, most: int = V.COMMITS_CAP) -> DataFrame:
     """The first commits of each session, in log order."""
     n = F.row_number().over(Window.partitionBy("session_id").orderBy("ord"))
