@@ -97,3 +97,13 @@ def test_one_file_in_many_tasks(spark, transcripts, tmp_path):
         for k in settings:
             spark.conf.unset(k)
     assert len(whole.tool_calls) > 300
+
+
+def test_lines_are_read_and_parsed_once(spark, transcripts):
+    """Files are scanned once for lines and blocks, and no test on what is parsed parses it anew."""
+    optimized = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    parsed = parse(read_lines(spark, transcripts))
+    assert optimized(parsed).lower().count("parsejson") + optimized(parsed).count("parse_json") == 1
+    assert optimized(sessionize(parsed)).count("Relation [") == 1
+    odd = spark.createDataFrame([(x,) for x in ("{}", " {\"a\": 1} ", "[]", "0", "0.0", "false", "true", "null", '""', '"0"', '"x"', "7", "", "  ", "{torn")], "line string")
+    assert parse(odd).count() == 7
