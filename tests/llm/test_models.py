@@ -258,3 +258,11 @@ def test_rules_go_on_after_an_imprecise_one():
     rules = quality.learn_rules(x, bad, np.arange(n) % 3 == 0)
     assert rules and any(t.feature == "b" and t.above and 0.9 < t.threshold < 0.97 for r in rules for t in r)
     assert bad[quality._any_of(rules, x, n)].mean() >= 0.85
+
+
+def test_blocks_of_words_are_not_shuffled(spark):
+    """Blocks lie in buckets where answers meet them: requests and answers alone are shuffled."""
+    docs = spark.createDataFrame([(i, f"a b c d{i % 3}") for i in range(40)], "doc_id long, text string")
+    scored = lmscore.score(docs, block_bytes=64)
+    assert scored._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 2
+    assert scored.count() == 40

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import columns, mapped, settle, small_batches, texts
+from tracewright.llm.common import columns, mapped, own_path, small_batches, texts
 from tracewright.llm.packed import pack, unpack
 from tracewright.llm.shingles import WordHashes, ngrams, words_of
 
@@ -143,9 +144,19 @@ def _score(block: pa.Table, answers: pa.Table, order: int, bits: int, n_words: i
     return pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), "n_words": pa.array(out["n_words"], pa.int64()), "log_score": pa.array(out["log_score"], pa.float64()), "n_full": pa.array(out["n_full"], pa.int64())})
 
 
+def _bucketed(df: DataFrame, by: str, label: str) -> DataFrame:
+    """df, written once to the shared folder in buckets of a column: rows that meet answers by it are not shuffled. Tasks write few rows, so files are no more than rows."""
+    spark = df.sparkSession
+    path = own_path(spark, label)
+    name = f"{label}_{uuid.uuid4().hex}"
+    buckets = min(4096, max(8, 2 * df.rdd.getNumPartitions()))
+    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, by).format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def score(docs: DataFrame, *, order: int = 3, backoff: float = 0.4, min_count: int = 2, block_bytes: int = BLOCK_BYTES, key_bits: int | None = None) -> DataFrame:
     """doc_id, n_words, log_score (sum of natural logs) and n_full (words scored without backing off) of every row."""
-    blocks = settle(mapped(texts(docs), lambda it: _blocks(it, block_bytes), "block long, ids array<long>, counts array<long>, n_words long, vocabulary binary, ranks binary"), "lm-blocks")
+    blocks = _bucketed(mapped(texts(docs), lambda it: _blocks(it, block_bytes), "block long, ids array<long>, counts array<long>, n_words long, vocabulary binary, ranks binary"), "block", "lm_blocks")
     n_words = blocks.agg(F.sum("n_words")).first()[0] or 0
     bits = key_bits or 64
     range_bits = max(0, (max(1, n_words) // RANGE_WORDS).bit_length())
