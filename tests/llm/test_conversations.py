@@ -5,9 +5,10 @@ import zlib
 from functools import cache
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import awkward, frame, rows
-from tracewright.llm import automata, prefixes, repair
+from tracewright.llm import automata, common, prefixes, repair
 
 CONV = "conv_id long, turn long, role string, text string"
 
@@ -240,6 +241,22 @@ def test_removed_words_match_brute_force(spark, monkeypatch, pieces, shard, broa
     assert sum(x[1] for x in got.values()) > 1000
 
 
+def test_no_row_holds_a_shard(spark, monkeypatch):
+    """What is written between stages is small however large the shards are: Parquet is read thousands of rows at a time."""
+    widest = []
+
+    def settle(df, label):
+        out = common.settle(df, label)
+        widest.extend((label, c, out.agg(F.max(F.octet_length(c))).first()[0] or 0) for c, kind in out.dtypes if kind == "binary")
+        return out
+
+    monkeypatch.setattr(automata, "settle", settle)
+    data = passages()
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in automata.digest(automata.deduplicate(frame(spark, data))).collect()}
+    assert got == cut_words(data)
+    assert widest and all(n <= 8 * 2 * automata.WINDOW for _, _, n in widest), widest
+
+
 def test_kept_words_and_spans(spark):
     data = passages(8)
     for r in automata.deduplicate(frame(spark, data)).collect():

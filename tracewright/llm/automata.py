@@ -7,8 +7,8 @@ windows choose equal anchors; neighbouring windows with one anchor make a piece
    sorted. Of equal pieces all but the earliest repeat as a whole, which pre-aggregates groups of copies. An
    earliest piece whose anchor has other pieces as well is searched further; any other is new.
 2. Searched pieces are the reference. They are dealt to shards by their anchor, each shard of a bounded size, and every shard
-   becomes a suffix automaton whose states know where their string starts first. Automata are broadcast while
-   their bytes fit a checked bound, and joined by shard beyond it.
+   becomes a suffix automaton whose states know where their string starts first. It is built in the task that has the shard's
+   pieces and lives no longer: an automaton takes some forty bytes a word, so it is neither written nor sent.
 3. Pieces stream, in packs, past the automaton of their shard: all of a pack advance by one word at a
    time and keep their matching statistics up to 20. A window repeats if the state it reaches starts earlier than it does.
 4. An anchor with too many different pieces for a shard (the edge of a passage that a third of all documents share)
@@ -39,14 +39,14 @@ from tracewright.llm.shingles import WordHashes, ngrams
 
 #: Words of a window, and of the anchors of each turn.
 WINDOW, ANCHORS = 20, (8, 14, 20)
-#: Different pieces of an anchor and words of a shard, bytes of automata that are broadcast, words of a pack.
+#: Different pieces of an anchor and words of a shard, bytes of keys that are broadcast, words of a pack.
 PIECES, SHARD, BROADCAST_BYTES, PACK = 1_000, 60_000, 32 << 20, 60_000
 #: Bytes of text that are split into words at once.
 STEP = 1 << 20
 _SPACE = re.compile(rb"[ \t\n\x0b\x0c\r]")
 _PLACES = np.uint64((1 << 32) - 1)
-#: Keys that are broadcast, at most.
-BROADCAST_KEYS = 500_000
+#: Bytes that a key takes in a broadcast.
+KEY_BYTES = 64
 ENTRY = suffix.ENTRY + ", shape int"
 #: A piece that is searched: where its first window starts, and the hashes of its words.
 PIECE = "t1 long, doc long, place long, words binary"
@@ -253,45 +253,6 @@ class Automaton:
         return state, length
 
 
-def _built(shard: pa.Table) -> pa.Table:
-    """The automaton of a shard's pieces, put in by place, as a row; with the document and place of each state's first last word."""
-    shard = shard.sort_by([("doc", "ascending"), ("place", "ascending")])
-    words = [np.frombuffer(w, np.uint64) for w in shard.column("words").to_pylist()]
-    a, ends = Automaton.of(words)
-    sizes = np.array([len(w) for w in words])
-    piece = np.repeat(np.arange(len(words)), sizes)
-    within = np.arange(len(piece)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    doc = shard.column("doc").to_numpy()[piece[ends]]
-    place = (shard.column("place").to_numpy()[piece] + within)[ends]
-    return pa.table({"shard": shard.column("shard")[:1], **{k: pa.array([v.tobytes()], pa.binary()) for k, v in zip(AUTOMATON, (a.length, a.link, doc, place, a.letters, a.keys, a.to))}})
-
-
-AUTOMATON = ("length", "link", "first_doc", "first_place", "letters", "keys", "goes")
-_TYPES = (np.int32, np.int32, np.int64, np.int64, np.uint64, np.int64, np.int32)
-
-
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces sorted by shard -> packs of up to PACK words each."""
-    held: list[tuple] = []
-    size, on = 0, None
-
-    def pack() -> pa.RecordBatch:
-        doc, place, words = zip(*held)
-        row = [np.array(doc, np.int64).tobytes(), np.array(place, np.int64).tobytes(), np.array([len(w) // 8 for w in words], np.int32).tobytes(), b"".join(words)]
-        return pa.RecordBatch.from_arrays([pa.array([on], pa.int32()), *(pa.array([x], pa.binary()) for x in row)], ["shard", "docs", "places", "sizes", "words"])
-
-    for batch in batches:
-        for shard, doc, place, words in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc", "place", "words"))):
-            if held and (shard != on or size >= PACK):
-                yield pack()
-                held, size = [], 0
-            on = shard
-            held.append((doc, place, words))
-            size += len(words) // 8
-    if held:
-        yield pack()
-
-
 def matched(automaton: Automaton, first: tuple[np.ndarray, np.ndarray], docs: np.ndarray, places: np.ndarray, sizes: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Places (index of a piece, window in it) of windows that start earlier too, by matching statistics of all pieces at once."""
     at = np.searchsorted(automaton.letters, words).clip(0, len(automaton.letters) - 1)
@@ -310,31 +271,37 @@ def matched(automaton: Automaton, first: tuple[np.ndarray, np.ndarray], docs: np
     return np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
 
 
-def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packs, each with the automaton of its shard -> marks."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            length, link, doc, place, letters, keys, to = (np.frombuffer(row[c], t) for c, t in zip(AUTOMATON, _TYPES))
-            a = Automaton(length, link, letters, keys, to)
-            docs, places = np.frombuffer(row["docs"], np.int64), np.frombuffer(row["places"], np.int64)
-            piece, window = matched(a, (doc, place), docs, places, np.frombuffer(row["sizes"], np.int32), np.frombuffer(row["words"], np.uint64))
-            begin = places[piece] + window
-            yield pa.RecordBatch.from_arrays([pa.array(docs[piece]), pa.array(begin), pa.array(begin + WINDOW)], ["doc", "a", "b"])
+def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The one shard of a partition: the automaton of its pieces, put in by place, and the pieces past it in packs of about PACK words -> marks."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    shard = pa.Table.from_batches(held).sort_by([("doc", "ascending"), ("place", "ascending")])
+    docs, places = (shard.column(c).to_numpy() for c in ("doc", "place"))
+    words = [np.frombuffer(w, np.uint64) for w in shard.column("words").to_pylist()]
+    del shard, held
+    automaton, ends = Automaton.of(words)
+    sizes = np.array([len(w) for w in words])
+    start = np.cumsum(sizes) - sizes
+    piece = np.repeat(np.arange(len(words)), sizes)
+    first = docs[piece][ends], (places[piece] + np.arange(len(piece)) - start[piece])[ends]
+    cuts = np.flatnonzero(np.diff(start // PACK)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(words)]):
+        at, window = matched(automaton, first, docs[a:b], places[a:b], sizes[a:b], np.concatenate(words[a:b]))
+        begin = places[a:b][at] + window
+        yield pa.RecordBatch.from_arrays([pa.array(docs[a:b][at]), pa.array(begin), pa.array(begin + WINDOW)], ["doc", "a", "b"])
 
 
 def searched(found: DataFrame) -> DataFrame:
-    """doc, a, b of the windows of pieces (t1, doc, place, words) that start earlier in another piece with their anchor: reference shards, their automata, packs streamed past them."""
+    """doc, a, b of the windows of pieces (t1, doc, place, words) that start earlier in another piece with their anchor: a task a reference shard."""
     n = found.agg(F.sum(F.octet_length("words") / 8)).first()[0] or 0
     shards = max(1, -(-int(n) // SHARD))
     dealt = found.withColumn("shard", F.pmod(F.xxhash64("t1"), F.lit(shards)).cast("int")).select("shard", "doc", "place", "words")
-    automata = settle(dealt.groupBy("shard").applyInArrow(_built, "shard int, " + ", ".join(f"{c} binary" for c in AUTOMATON)), "automata")
-    size = automata.agg(F.sum(sum((F.octet_length(c) for c in AUTOMATON), F.lit(0)))).first()[0] or 0
-    packs = settle(dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(_packed, "shard int, docs binary, places binary, sizes binary, words binary"), "automata-packs")
-    return packs.join(F.broadcast(automata) if size <= BROADCAST_BYTES else automata, "shard").mapInArrow(_streamed, "doc long, a long, b long")
+    return mapped(dealt.repartitionById(shards, F.col("shard")), _searched, "doc long, a long, b long")
 
 
 def _small(keys: DataFrame) -> DataFrame:
-    return F.broadcast(keys) if rows_bound(keys, BROADCAST_KEYS) else keys
+    return F.broadcast(keys) if rows_bound(keys, BROADCAST_BYTES // KEY_BYTES) else keys
 
 
 def repeats(docs: DataFrame) -> DataFrame:
